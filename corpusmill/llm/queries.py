@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry, table
+from ..session import materialise
+from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings
 from .neardup import JoinSpec, expand_pairs, near_duplicates
 
 REGISTRY = Registry()
@@ -22,3 +24,16 @@ def p2_classes(spark, folder):
     found = near_duplicates(table(spark, folder, "chunks"), "chunk_id", "text", "ingest.ingested_at")
     links = found.pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     return found.members.join(links, "class", "left").select(F.col("id").alias("chunk_id"), "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@REGISTRY.query("p3_found")
+def p3_found(spark, folder):
+    checks = check_pairs(table(spark, folder, "request_captures"), "request_id", "raw_query", "final_answer", "stored_at")
+    return pair_defects(checks, refusal_labels(table(spark, folder, "judge_generation_results")))
+
+
+@REGISTRY.query("p3_templates")
+def p3_templates(spark, folder):
+    """The recurring refusal templates with their counts."""
+    checks = check_pairs(table(spark, folder, "request_captures"), "request_id", "raw_query", "final_answer", "stored_at")
+    return refusal_openings(materialise(checks, "checks"), refusal_labels(table(spark, folder, "judge_generation_results")))
