@@ -8,6 +8,8 @@ from ..plans.registry import Registry, table
 from ..session import materialise
 from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings
 from .neardup import JoinSpec, expand_pairs, near_duplicates
+from .splitting import split_oversized
+from .terms import TermCounts, marked, signed_counts, surplus_deliveries
 
 REGISTRY = Registry()
 
@@ -37,3 +39,36 @@ def p3_templates(spark, folder):
     """The recurring refusal templates with their counts."""
     checks = check_pairs(table(spark, folder, "request_captures"), "request_id", "raw_query", "final_answer", "stored_at")
     return refusal_openings(materialise(checks, "checks"), refusal_labels(table(spark, folder, "judge_generation_results")))
+
+
+def _term_counts(spark, folder):
+    """Counts of all chunks, and the number of chunks: every delivery is added, then the replaced
+    deliveries of a key are taken off by a signed delta."""
+    chunks = table(spark, folder, "chunks").where("chunk_id is not null")
+    counts = TermCounts(spark).apply(signed_counts(chunks.select(F.lit(1).alias("sign"), "text")))
+    surplus = surplus_deliveries(chunks, "chunk_id", "text", F.col("ingest.ingested_at"))
+    counts.apply(signed_counts(surplus.select(F.lit(-1).alias("sign"), "text")))
+    return counts, chunks.agg(F.count_distinct("chunk_id").alias("n"))
+
+
+@REGISTRY.query("p4_found")
+def p4_found(spark, folder):
+    counts, n = _term_counts(spark, folder)
+    return marked(counts.read(), n).where("mark is not null").select("term", "mark")
+
+
+@REGISTRY.query("p4_counts")
+def p4_counts(spark, folder):
+    counts, n = _term_counts(spark, folder)
+    return marked(counts.read(), n)
+
+
+@REGISTRY.query("p5_found")
+def p5_found(spark, folder):
+    pieces = split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunker_config"))
+    return pieces.groupBy("chunk_id").agg(F.when(F.max("forced"), F.lit("forced")).otherwise(F.lit("natural")).alias("cut"))
+
+
+@REGISTRY.query("p5_pieces")
+def p5_pieces(spark, folder):
+    return split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunker_config"))
