@@ -123,24 +123,26 @@ def entities(nodes: DataFrame, labels: dict[str, list[str]], numbers_of: str | N
 
     labels: for each column the plain labels that feed it; of several non-blank children the first
     in reading order holds.  numbers_of: a field whose objects also list all their numeric children
-    in ``numbers`` (numbers stored as text count).  Children are aggregated before the join, and
-    exact repeats of a delivery fall together.
+    in ``numbers`` (numbers stored as text count).  Exact repeats of a delivery fall together.
     """
     at = ["key", "stamp", "delivery", "field"]
-    scalar = nodes.where("kind in ('string', 'number', 'boolean')").withColumn("plain", plain(F.col("label")))
+    is_object = F.col("kind") == "object"
+    tagged = nodes.where("kind in ('object', 'string', 'number', 'boolean')").withColumn("plain", plain(F.col("label")))
     wanted = {x for names in labels.values() for x in names}
-    keep = F.col("plain").isin(sorted(wanted))
+    keep = is_object | F.col("plain").isin(sorted(wanted))
     number = F.when(F.col("kind").isin("string", "number"), F.expr(r"case when trim(scalar) rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast(trim(scalar) as double) end"))
     if numbers_of is not None:
         keep = keep | ((F.col("field") == numbers_of) & number.isNotNull())
-    filled = (F.col("kind") != "boolean") & F.expr(r"scalar rlike '(?U)\\S'")
+    filled = ~F.col("kind").isin("object", "boolean") & F.expr(r"scalar rlike '(?U)\\S'")
     columns = [F.min_by("scalar", F.when(F.col("plain").isin(names) & filled, F.col("node"))).alias(c) for c, names in labels.items()]
-    present = [F.max(F.col("plain").isin(names)).alias(f"has_{c}") for c, names in labels.items()]
+    present = [F.coalesce(F.max(F.when(~is_object, F.col("plain").isin(names))), F.lit(False)).alias(f"has_{c}") for c, names in labels.items()]
     if numbers_of is not None:
         columns.append(F.collect_set(F.when((F.col("field") == numbers_of) & number.isNotNull(), F.struct("label", number.alias("value")))).alias("numbers"))
-    children = scalar.where(keep).groupBy(*at, F.col("parent").alias("node")).agg(*columns, *present)
-    objects = nodes.where("kind = 'object'").select(*at, "node", "parent", "ordinal", plain(F.col("label")).alias("entity")).distinct()
-    return objects.join(children, [*at, "node"])
+    own = F.max(F.when(is_object, F.struct("parent", "ordinal", F.col("plain").alias("entity")))).alias("own")
+    # the object node and its scalar children meet under the object's number: the join and the pivot
+    # are one aggregation, combined in each task before its only shuffle
+    joined = tagged.where(keep).withColumn("object", F.when(is_object, F.col("node")).otherwise(F.col("parent"))).groupBy(*at, "object").agg(own, *columns, *present)
+    return joined.where("own is not null").select(*at, F.col("object").alias("node"), "own.*", *labels, *(["numbers"] if numbers_of is not None else []), *[f"has_{c}" for c in labels])
 
 
 def latest_delivery(rows: DataFrame) -> DataFrame:
