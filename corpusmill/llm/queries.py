@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry, table
 from ..session import materialise
 from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings
+from .keyword_pages import flag_pages, scan_pages
 from .neardup import JoinSpec, expand_pairs, near_duplicates
 from .splitting import split_oversized
 from .terms import TermCounts, marked, signed_counts, surplus_deliveries
@@ -72,3 +73,14 @@ def p5_found(spark, folder):
 @REGISTRY.query("p5_pieces")
 def p5_pieces(spark, folder):
     return split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunker_config"))
+
+
+@REGISTRY.query("p8_found")
+def p8_found(spark, folder):
+    return flag_pages(scan_pages(table(spark, folder, "documents"))).where("spam").select("doc_id")
+
+
+@REGISTRY.query("p8_curves")
+def p8_curves(spark, folder):
+    """Every page with its rank-frequency fit, flag and share of words outside sentences."""
+    return flag_pages(scan_pages(table(spark, folder, "documents")))
