@@ -8,8 +8,11 @@ from ..plans.registry import Registry, table
 from ..session import materialise
 from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings
 from .keyword_pages import flag_pages, scan_pages
+from .mixing import mix_plan, mix_report, select_copies, source_name
 from .neardup import JoinSpec, expand_pairs, near_duplicates
+from .packing import pack
 from .splitting import split_oversized
+from .tokens import sized
 from .terms import TermCounts, marked, signed_counts, surplus_deliveries
 
 REGISTRY = Registry()
@@ -84,3 +87,35 @@ def p8_found(spark, folder):
 def p8_curves(spark, folder):
     """Every page with its rank-frequency fit, flag and share of words outside sentences."""
     return flag_pages(scan_pages(table(spark, folder, "documents")))
+
+
+@REGISTRY.query("p6_found")
+def p6_found(spark, folder):
+    packed = p6_containers(spark, folder)
+    return packed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+
+
+@REGISTRY.query("p6_containers")
+def p6_containers(spark, folder):
+    return pack(sized(table(spark, folder, "documents"), "doc_id", "text", "fetched_at"), "doc_id", 2048)
+
+
+def _mixed(spark, folder):
+    docs = materialise(sized(table(spark, folder, "documents"), "doc_id", "text", "fetched_at", {"source": source_name(F.col("source"))}), "sized")
+    plan = mix_plan(docs, table(spark, folder, "mix_targets"))
+    return plan, select_copies(docs, plan)
+
+
+@REGISTRY.query("p7_found")
+def p7_found(spark, folder):
+    return mix_report(*_mixed(spark, folder)).where("not reachable").select("mix_name", "source")
+
+
+@REGISTRY.query("p7_shares")
+def p7_shares(spark, folder):
+    return mix_report(*_mixed(spark, folder))
+
+
+@REGISTRY.query("p7_selection")
+def p7_selection(spark, folder):
+    return _mixed(spark, folder)[1]

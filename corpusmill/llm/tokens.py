@@ -79,6 +79,7 @@ def sized(df: DataFrame, key: str, text: str, stamp: str | None = None, keep: di
     A null or empty text has 0 tokens; rows without a key are left out.
     """
     keep = keep or {}
+    kept = list(keep)
     when = F.unix_micros(F.col(stamp).cast("timestamp")) if stamp else F.lit(0)
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(when, F.lit(0)).cast("long").alias("stamp"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), *[e.cast("string").alias(c) for c, e in keep.items()])
 
@@ -86,7 +87,7 @@ def sized(df: DataFrame, key: str, text: str, stamp: str | None = None, keep: di
         count = counter(path)
         for batch in batches:
             tokens = pa.array([count(t) if t else 0 for t in batch["text"].to_pylist()], pa.int64())
-            yield pa.record_batch([batch["key"], batch["stamp"], batch["text_hash"], tokens, *[batch[c] for c in keep]], names=["key", "stamp", "text_hash", "tokens", *keep])
+            yield pa.record_batch([batch["key"], batch["stamp"], batch["text_hash"], tokens, *[batch[c] for c in kept]], names=["key", "stamp", "text_hash", "tokens", *kept])
 
     schema = "key long, stamp long, text_hash long, tokens long" + "".join(f", {c} string" for c in keep)
     latest = F.max_by(F.struct("tokens", *keep), F.struct("stamp", "text_hash"))
