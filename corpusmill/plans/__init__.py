@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import Registry, table
 
 #: Modules of this folder that hold queries.
-MODULES = ("shredding", "retrieval")
+MODULES = ("shredding", "retrieval", "evaluation")
 
 
 def all_queries() -> Registry:
