@@ -102,9 +102,9 @@ def _is_stuffed(got: list[str], pairs: Counter, single: Counter, total: int) ->
     own = Counter(got)
     covered = {k + d for k, p in enumerate(zip(got, got[1:])) if pairs[p] >= often for d in (0, 1)}
     again = Counter(p for p in zip(got, got[1:]) if pairs[p] >= often)
-    words = {k for k, w in enumerate(got) if own[w] > 1 and single[w] >= max(4, 0.06 * total)}
+    words = {k for k, w in enumerate(got) if single[w] >= max(4, 0.05 * total)}
     share = len(covered | words) / len(got)
-    return share >= 0.4 or share >= 0.27 and (bool(words) or any(n > 1 for n in again.values()))
+    return share >= 0.4 or share >= 0.27 and (any(own[got[k]] > 1 for k in words) or any(n > 1 for n in again.values()))
 
 
 def _language(found: list[str]) -> tuple[str | None, int]:
