@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def canonical_token(word: Column) -> Column:
     """Lower case, without ``##`` and without signs at both ends."""
@@ -57,6 +59,7 @@ def okapi_idf(df: DataFrame, corpus: DataFrame, epsilon: float = 0.25) -> DataFr
 
 def bm25_document_weights(tf: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """``key, token, weight`` = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))."""
+    tf = materialise(tf, "tf")
     df, corpus = term_stats(tf, key)
     lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
     rows = tf.join(lengths, key).join(okapi_idf(df, corpus, epsilon), "token").crossJoin(F.broadcast(corpus.select("avgdl")))
@@ -66,6 +69,7 @@ def bm25_document_weights(tf: DataFrame, key: str, k1: float = 1.2, b: float = 0
 
 def bm25_query_weights(query_tokens: DataFrame, tf: DataFrame, key: str) -> DataFrame:
     """``query_id, token, weight`` with idf = ln(1 + (N - df + .5) / (df + .5)); unknown tokens drop."""
+    tf = materialise(tf, "tf")
     df, corpus = term_stats(tf, key)
     rows = query_tokens.join(df, "token").crossJoin(F.broadcast(corpus.select("documents")))
     return rows.select("query_id", "token", F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))

@@ -57,14 +57,14 @@ def jon04(spark, folder):
     return requests(spark, folder).join(a.join(b, "request_id", "full"), "request_id", "left").select("request_id", "run_id", zero("chunks").alias("chunks"), zero("calls").alias("calls"), r(zero("s"), 4).alias("score"))
 
 
-PAIRS = f"""x as (select question_id % 50 as question, label, round(avg(score), 3) as score from req join ret using (request_id) where run_id = '{A_RUN}' group by 1, 2),
- y as (select question_id % 50 as question, label, round(avg(score * 0.9 + retrieval_score), 3) as score from req join ret using (request_id) where run_id = '{B_RUN}' and question_id % 7 <> 3 group by 1, 2)"""
+PAIRS = f"""x as (select question_id % 50 as question, label, (sum(cast(score * 2 as bigint)) * 5000 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{A_RUN}' group by 1, 2),
+ y as (select question_id % 50 as question, label, (sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{B_RUN}' and question_id % 7 <> 3 group by 1, 2)"""
 
 
 def _pairs(spark, folder):
     rows = requests(spark, folder).join(retrieval_results(spark, folder), "request_id").withColumn("question", F.col("question_id") % 50)
-    x = rows.where(F.col("run_id") == A_RUN).groupBy("question", "label").agg(r(F.avg("score"), 3).alias("score_a"))
-    y = rows.where((F.col("run_id") == B_RUN) & (F.col("question_id") % 7 != 3)).groupBy("question", "label").agg(r(F.avg(F.col("score") * 0.9 + F.col("retrieval_score")), 3).alias("score_b"))
+    x = rows.where(F.col("run_id") == A_RUN).groupBy("question", "label").agg(F.expr("(sum(cast(score * 2 as bigint)) * 5000 div count(*)) / 10000D").alias("score_a"))
+    y = rows.where((F.col("run_id") == B_RUN) & (F.col("question_id") % 7 != 3)).groupBy("question", "label").agg(F.expr("(sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 div count(*)) / 10000D").alias("score_b"))
     return x.join(y, ["question", "label"], "full")
 
 
