@@ -54,61 +54,73 @@ def words_outside(text: str) -> tuple[int, int]:
     single: Counter = Counter()
     bare: list[list[str]] = []  # punctuated like sentences, but without any function word
     worded: list[list[str]] = []
-    for line, code in _lines(text):
-        n = len(_WORD.findall(line))
-        total += n
-        if not n or code or (_HEADING.match(line) and "#" not in line.lstrip("#")) or _CODE_LINE.match(line) or (_SETTING.match(line) and not _URL.search(line)):
+    for line, code in _lines(text.lower()):
+        if code or (_HEADING.match(line) and "#" not in line.lstrip("#")) or _CODE_LINE.match(line) or (_SETTING.match(line) and not _URL.search(line)):
+            total += len(_WORD.findall(line))
             continue
         if _TAGGED.match(line):
+            n = len(_WORD.findall(line))
+            total += n
             outside += n
             continue
         item = _ITEM.match(line)
         numbered = bool(item and item.group(1))
         body = line[item.end() :] if item else line
+        total += numbered
+        linked = "://" in body or "www." in body or "](" in body
         at = 0
         for m in _END.finditer(body):
             part = body[at : m.end()]
             at = m.end()
-            got = _WORD.findall(part.lower())
+            got = _WORD.findall(part)
             if not got:
                 continue
-            if _URL.search(part) and len(_WORD.findall(_URL.sub(" ", part))) < 4:
+            total += len(got)
+            if linked and _URL.search(part) and len(_WORD.findall(_URL.sub(" ", part))) < 4:
                 outside += len(got)
             elif len(got) >= 9 and len(set(got)) < 0.45 * len(got):
                 outside += len(got)
-            elif not numbered and not any(w in _FUNCTION for w in got):
+            elif not numbered and _FUNCTION.isdisjoint(got):
                 pairs.update(zip(got, got[1:]))
                 bare.append(got)
             else:
-                pairs.update(p for p in zip(got, got[1:]) if p[0] not in _FUNCTION and p[1] not in _FUNCTION)
-                single.update(w for w in got if w not in _FUNCTION)
+                content = [w not in _FUNCTION for w in got]
+                pairs.update([p for p, x, y in zip(zip(got, got[1:]), content, content[1:]) if x and y])
+                single.update([w for w, x in zip(got, content) if x])
                 if not numbered:
                     worded.append(got)
         tail = _WORD.findall(body[at:])
-        if tail and not (numbered and len(tail) <= 25 and not _URL.search(body)):
-            outside += len(tail)
+        if tail:
+            total += len(tail)
+            if not (numbered and len(tail) <= 25 and not (linked and _URL.search(body))):
+                outside += len(tail)
     for got in bare:
         again = sum(pairs[p] >= 3 for p in zip(got, got[1:]))
         if len(got) > 1 and again >= 0.4 * (len(got) - 1):
             outside += len(got)
-    outside += sum(len(got) for got in worded if _is_stuffed(got, pairs, single, total))
+    often, common = max(3, 0.01 * total), max(4, 0.05 * total)
+    phrases, keywords = {p for p, n in pairs.items() if n >= often}, {w for w, n in single.items() if n >= common}
+    if phrases or keywords:
+        outside += sum([len(got) for got in worded if _is_stuffed(got, phrases, keywords)])
     return outside, total
 
 
-def _is_stuffed(got: list[str], pairs: Counter, single: Counter, total: int) -> bool:
+def _is_stuffed(got: list[str], phrases: set, keywords: set) -> bool:
     """Phrases that the page repeats again and again make up more than a quarter of a sentence that
     repeats one of them itself, or two fifths of any sentence."""
-    often = max(3, 0.01 * total)
-    own = Counter(got)
-    covered = {k + d for k, p in enumerate(zip(got, got[1:])) if pairs[p] >= often for d in (0, 1)}
-    again = Counter(p for p in zip(got, got[1:]) if pairs[p] >= often)
-    words = {k for k, w in enumerate(got) if single[w] >= max(4, 0.05 * total)}
-    share = len(covered | words) / len(got)
-    return share >= 0.4 or share >= 0.27 and (any(own[got[k]] > 1 for k in words) or any(n > 1 for n in again.values()))
-
-
-def _language(found: list[str]) -> tuple[str | None, int]:
-    score = {lang: sum(w in known for w in found) for lang, known in _WORDS.items()}
+    hits = [k for k, p in enumerate(zip(got, got[1:])) if p in phrases]
+    words = [] if keywords.isdisjoint(got) else [k for k, w in enumerate(got) if w in keywords]
+    if not hits and not words:
+        return False
+    share = len({*hits, *[k + 1 for k in hits], *words}) / len(got)
+    if share < 0.27:
+        return False
+    repeated = len({(got[k], got[k + 1]) for k in hits}) < len(hits) or len({got[k] for k in words}) < len(words)
+    return share >= 0.4 or repeated
+
+
+def _language(counts: Counter) -> tuple[str | None, int]:
+    score = {lang: sum([counts[w] for w in known & counts.keys()]) for lang, known in _WORDS.items()}
     best = max(score, key=score.get)
     return (best, score[best]) if score[best] else (None, 0)
 
@@ -121,7 +133,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, stamp, text_hash, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "stamp", "text_hash", "text"))):
             found = _WORD.findall(text.lower())
             counts = Counter(found)
-            lang, known = _language(found)
+            lang, known = _language(counts)
             spectrum = [{"f": f, "c": c} for f, c in sorted(Counter(counts.values()).items(), reverse=True)]
             outside, total = words_outside(text)
             rows.append((doc, stamp, text_hash, lang, len(found), spectrum, known / len(found) if found else 0.0, outside / total if total else 0.0))
