@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Runs of white space as Unicode has it (a union of code points in brackets is three times slower).
+BLANKS = r"(?U)\s+"
+
+
 def collapse(text: Column) -> Column:
     """Without NUL characters, runs of white space as one blank, no blanks at the ends."""
-    return F.trim(F.regexp_replace(F.translate(text, "\0", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, "\0", ""), BLANKS, " "))
 
 
 def collapse_lines(text: Column) -> Column:
@@ -54,7 +58,7 @@ def clean_title(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Rule-based sentences: cut at white space behind . ! ? (closing quotes may stand between)."""
-    marked = F.regexp_replace(text, r"([.!?…][\"'”’»)\]]*)(?U)\s+", "$1\u0001")
+    marked = F.regexp_replace(text, r"([.!?…][\"'”’»)\]]*)" + BLANKS, "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: F.length(F.trim(s)) > 0)
 
 

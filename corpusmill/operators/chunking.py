@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, sentences
+from ..functions.text import BLANKS, collapse, sentences
 
 
 def pack_windows(counts: list[int], target: int, overlap_ratio: float) -> list[tuple[int, int]]:
@@ -44,7 +44,7 @@ def sentence_units(pages: DataFrame, key: str = "doc_id", page: str = "page", te
     """``key, sent_idx, sentence, page, tokens``: sentences in page order; blank pages give none."""
     rows = pages.select(key, page, F.posexplode(sentences(collapse(F.col(text)))).alias("_pos", "sentence"))
     order = Window.partitionBy(key).orderBy(page, "_pos")
-    tokens = F.size(F.split(F.trim("sentence"), r"(?U)\s+"))
+    tokens = F.size(F.split(F.trim("sentence"), BLANKS))
     return rows.select(key, (F.row_number().over(order) - 1).alias("sent_idx"), "sentence", F.col(page).alias("page"), tokens.alias("tokens"))
 
 

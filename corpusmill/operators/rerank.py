@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANKS
+
 
 def min_max(score: Column, group: str) -> Column:
     """Score between the group's least and greatest; 1 where they are equal."""
@@ -15,7 +17,7 @@ def min_max(score: Column, group: str) -> Column:
 
 def query_terms(query: Column) -> Column:
     """White-space tokens of more than one byte, lower case, in order; signs stay on."""
-    return F.filter(F.split(F.lower(F.trim(query)), r"(?U)\s+"), lambda t: F.octet_length(t) > 1)
+    return F.filter(F.split(F.lower(F.trim(query)), BLANKS), lambda t: F.octet_length(t) > 1)
 
 
 def coverage(terms: Column, words: Column) -> Column:
@@ -37,18 +39,20 @@ def heuristic_rerank(candidates: DataFrame, weights: dict[str, float], digits: i
     candidates: query_id, query, item_id, body, head (title and section), score, rank.  Order: score
     descending, ties by the earlier rank.  Null bodies and heads count as empty.
     """
-    query = F.regexp_replace(F.lower(F.trim("query")), r"(?U)\s+", " ")
-    body, head = F.lower(F.coalesce("body", F.lit(""))), F.lower(F.coalesce("head", F.lit("")))
-    terms = query_terms(F.col("query"))
+    # texts are taken apart once, in a projection of their own that the optimiser doesn't inline
+    parts = candidates.withColumns({"_query": F.trim(F.regexp_replace(F.lower("query"), BLANKS, " ")), "_body": F.lower(F.coalesce("body", F.lit(""))), "_head": F.lower(F.coalesce("head", F.lit("")))})
+    parts = parts.withColumns({"_terms": query_terms(F.col("_query")), "_words": F.split("_body", BLANKS), "_titles": F.split("_head", BLANKS)})
+    terms = F.col("_terms")
     total = (
         weights["retrieval_score"] * min_max(F.col("score"), "query_id")
-        + weights["query_term_coverage"] * coverage(terms, F.split(body, r"(?U)\s+"))
-        + weights["phrase_match_bonus"] * phrase_bonus(query, terms, body)
-        + weights["title_section_match_bonus"] * coverage(terms, F.split(head, r"(?U)\s+"))
+        + weights["query_term_coverage"] * coverage(terms, F.col("_words"))
+        + weights["phrase_match_bonus"] * phrase_bonus(F.col("_query"), terms, F.col("_body"))
+        + weights["title_section_match_bonus"] * coverage(terms, F.col("_titles"))
     )
+    candidates = parts
     scored = candidates.withColumn("score", F.round(total, digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order)).drop("_query", "_body", "_head", "_terms", "_words", "_titles")
 
 
 def merge_batches(scored: DataFrame, group: str, batch_size: int, global_sort: bool) -> DataFrame:
@@ -63,14 +67,3 @@ def merge_batches(scored: DataFrame, group: str, batch_size: int, global_sort: b
 def select_final(ranked: DataFrame, final_k: int) -> DataFrame:
     """Mark the first final_k ranks as selected; nothing is cut off."""
     return ranked.withColumn("selected", F.col("rank") <= final_k)
-
-
-def demo_candidates(spark, folder: str) -> DataFrame:
-    """Requests paired with eight chunks each, for the queries of the registry."""
-    from ..plans.entities import captures, chunks
-    from .ordering import global_row_number
-
-    c = global_row_number(chunks(spark, folder).select("chunk_id", "text", "document_title", "section_title"), ["chunk_id"], "n")
-    q = global_row_number(captures(spark, folder).where("raw_query is not null and request_id like '%0'").select("request_id", "raw_query"), ["request_id"], "n")
-    c = c.select(F.col("chunk_id").alias("item_id"), F.col("text").alias("body"), F.concat_ws(" ", F.coalesce("document_title", F.lit("")), F.coalesce("section_title", F.lit(""))).alias("head"), (F.col("n") % 97 / 97.0).alias("score"), F.col("n").alias("rank"), F.floor(F.col("n") / 8).alias("grp"))
-    return q.withColumn("grp", (F.col("n") + 1) % 40).select("grp", F.col("request_id").alias("query_id"), F.col("raw_query").alias("query")).join(c, "grp")

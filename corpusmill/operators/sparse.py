@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANKS
+
 from ..session import materialise
 
 
@@ -17,7 +19,7 @@ def canonical_token(word: Column) -> Column:
 def tokens(df: DataFrame, key: str, text: str, min_length: int = 2) -> DataFrame:
     """``key, pos, token`` in reading order; tokens shorter than min_length characters are dropped.
     Null texts have none."""
-    words = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"(?U)\s+")).alias("pos", "word"))
+    words = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, BLANKS)).alias("pos", "word"))
     return words.select(key, (F.col("pos") + 1).alias("pos"), canonical_token(F.col("word")).alias("token")).where(F.length("token") >= min_length)
 
 

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANKS
+
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import cleanup as CL
 from ..operators import intervals as I
 from ..operators.metrics import ratio
-from .entities import captures, chunks, sql, texts
+from .entities import WHITE_SPACE, captures, chunks, sql, texts
 from .registry import Registry, table
 
 REGISTRY = Registry()
 Q = REGISTRY.query
-WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def collapsed(x: str) -> str:
     """SQL of the collapsed text."""
-    return f"trim(regexp_replace(replace({x}, chr(0), ''), '{WS}', ' ', 'g'))"
+    return f"trim(regexp_replace(replace({x}, chr(0), ''), '{WHITE_SPACE}', ' ', 'g'))"
 
 
 def r(c, digits=6):
@@ -362,7 +363,7 @@ def doc13(spark, folder):
 @Q("doc06_clean_pages")
 def doc06(spark, folder):
     """Documents laid out as pages of words, cleaned by the page rules."""
-    word = F.transform(F.slice(F.split("text", r"(?U)\s+"), 1, 400), lambda w, i: F.struct(w.alias("text"), (F.floor(i / 10) * 12.0).alias("top"), (i % 10 * 40.0).alias("x0"), F.lit(10.0).alias("size"), (F.floor(i / 10) * 12.0 + 10.0).alias("bottom")))
+    word = F.transform(F.split("text", BLANKS), lambda w, i: F.struct(w.alias("text"), (F.floor(i / 10) * 12.0).alias("top"), (i % 10 * 40.0).alias("x0"), F.lit(10.0).alias("size"), (F.floor(i / 10) * 12.0 + 10.0).alias("bottom")))
     pages = texts(spark, folder).select("doc_id", F.lit(1).alias("page"), word.alias("words"), F.lit(480.0).alias("page_height"))
     return CL.clean_pages(pages, CL.PageRules(drop_lines=(("regex", r"^https?://\S+$", "any"),), substitutions=((r"\s+,", ","),)))
 

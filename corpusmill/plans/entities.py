@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import global_row_number
 from .registry import table
 
 LABEL_SQL = "regexp_replace(lower(trim(label)), '[ _-]+', '_', 'g')"
 
+#: White space as Unicode has it, in DuckDB's regular expressions.
+WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 CTE = {
     "cap": "cap as (select * exclude (rn) from (select *, row_number() over (partition by request_id order by stored_at desc) as rn from request_captures where request_id is not null) where rn = 1)",
     "gen": f"gen as (select * exclude (rn, label), {LABEL_SQL} as label from (select *, row_number() over (partition by request_id, run_id, suite_name order by created_at desc) as rn from judge_generation_results) where rn = 1)",
@@ -77,3 +81,17 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _newest(table(spark, folder, "chunks").where("chunk_id is not null"), ["chunk_id"], F.desc_nulls_last("ingest.ingested_at"))
+
+
+def rerank_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request with eight chunks: query_id, query, item_id, body, head, score, rank.
+
+    Chunks are taken in eights by their position, requests go round over the eights.
+    """
+    c = global_row_number(chunks(spark, folder).select("chunk_id", "text", "document_title", "section_title"), ["chunk_id"], "n")
+    q = global_row_number(captures(spark, folder).where("raw_query is not null").select("request_id", "raw_query"), ["request_id"], "n")
+    eights = c.agg(F.ceil(F.count("*") / 8).alias("eights"))
+    head = F.concat_ws(" ", F.coalesce("document_title", F.lit("")), F.coalesce("section_title", F.lit("")))
+    c = c.select(F.col("chunk_id").alias("item_id"), F.col("text").alias("body"), head.alias("head"), (F.col("n") % 97 / 97.0).alias("score"), F.col("n").alias("rank"), F.floor(F.col("n") / 8).alias("grp"))
+    q = q.join(F.broadcast(eights)).select((F.col("n") % F.col("eights")).alias("grp"), F.col("request_id").alias("query_id"), F.col("raw_query").alias("query"))
+    return q.join(c, "grp")

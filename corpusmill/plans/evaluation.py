@@ -40,11 +40,11 @@ def jon02(spark, folder):
     return a.join(b, "request_id", "full").select("request_id", F.coalesce("n_gen", F.lit(0)).alias("judged"), F.coalesce("n_cap", F.lit(0)).alias("captured"))
 
 
-@Q("jon03_runs_for_request", sql("gen", "cap", body="""with a as (select run_id, count(*) as judged from gen where request_id like '%0' group by 1), b as (select runtime_run_id as run_id, count(*) as captured from cap where request_id like '%0' group by 1)
+@Q("jon03_runs_for_request", sql("gen", "cap", body="""with a as (select run_id, count(*) as judged from gen group by 1), b as (select runtime_run_id as run_id, count(*) as captured from cap group by 1)
  select coalesce(a.run_id, b.run_id) as run_id, coalesce(judged, 0) as judged, coalesce(captured, 0) as captured from a full join b on a.run_id = b.run_id"""))
 def jon03(spark, folder):
-    a = generation_results(spark, folder).where("request_id like '%0'").groupBy("run_id").agg(F.count("*").alias("judged"))
-    b = captures(spark, folder).where("request_id like '%0'").groupBy(F.col("runtime_run_id").alias("run_id")).agg(F.count("*").alias("captured"))
+    a = generation_results(spark, folder).groupBy("run_id").agg(F.count("*").alias("judged"))
+    b = captures(spark, folder).groupBy(F.col("runtime_run_id").alias("run_id")).agg(F.count("*").alias("captured"))
     return a.join(b, "run_id", "full").select("run_id", F.coalesce("judged", F.lit(0)).alias("judged"), F.coalesce("captured", F.lit(0)).alias("captured"))
 
 
@@ -57,14 +57,14 @@ def jon04(spark, folder):
     return requests(spark, folder).join(a.join(b, "request_id", "full"), "request_id", "left").select("request_id", "run_id", zero("chunks").alias("chunks"), zero("calls").alias("calls"), r(zero("s"), 4).alias("score"))
 
 
-PAIRS = f"""x as (select question_id % 50 as question, label, (sum(cast(score * 2 as bigint)) * 5000 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{A_RUN}' group by 1, 2),
- y as (select question_id % 50 as question, label, (sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{B_RUN}' and question_id % 7 <> 3 group by 1, 2)"""
+PAIRS = f"""x as (select question_id as question, label, (sum(cast(score * 2 as bigint)) * 5000 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{A_RUN}' group by 1, 2),
+ y as (select question_id as question, label, (sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 // count(*)) / 10000 as score from req join ret using (request_id) where run_id = '{B_RUN}' group by 1, 2)"""
 
 
 def _pairs(spark, folder):
-    rows = requests(spark, folder).join(retrieval_results(spark, folder), "request_id").withColumn("question", F.col("question_id") % 50)
+    rows = requests(spark, folder).join(retrieval_results(spark, folder), "request_id").withColumn("question", F.col("question_id"))
     x = rows.where(F.col("run_id") == A_RUN).groupBy("question", "label").agg(F.expr("(sum(cast(score * 2 as bigint)) * 5000 div count(*)) / 10000D").alias("score_a"))
-    y = rows.where((F.col("run_id") == B_RUN) & (F.col("question_id") % 7 != 3)).groupBy("question", "label").agg(F.expr("(sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 div count(*)) / 10000D").alias("score_b"))
+    y = rows.where(F.col("run_id") == B_RUN).groupBy("question", "label").agg(F.expr("(sum(cast(score * 90 as bigint) + cast(round(retrieval_score * 100) as bigint)) * 100 div count(*)) / 10000D").alias("score_b"))
     return x.join(y, ["question", "label"], "full")
 
 
@@ -101,9 +101,9 @@ LABELS = [("answer_completeness", x) for x in ("complete", "partial", "incomplet
 GRID = "grid as (select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in LABELS) + ") t(suite_name, label))"
 
 
-def _label_grid(spark, folder, where="true"):
+def _label_grid(spark, folder):
     grid = spark.createDataFrame(LABELS, "suite_name string, label string")
-    got = generation_results(spark, folder).where(where).where("label is not null")
+    got = generation_results(spark, folder).where("label is not null")
     n = got.groupBy("suite_name", "label").agg(F.count("*").alias("n"))
     total = got.groupBy("suite_name").agg(F.count("*").alias("total"))
     rows = F.broadcast(grid).join(n, ["suite_name", "label"], "left").join(total, "suite_name", "left")
@@ -116,9 +116,18 @@ def jon08(spark, folder):
     return _label_grid(spark, folder)
 
 
-@Q("agg08_label_distribution", sql("gen", body=f"with {GRID}, g as (select * from gen where request_id like '%1' and label is not null), n as (select suite_name, label, count(*) as n from g group by 1, 2), t as (select suite_name, count(*) as total from g group by 1) select suite_name, label, coalesce(n, 0) as n, round(case when coalesce(total, 0) > 0 then 100.0 * coalesce(n, 0) / total else 0 end, 4) as percent from grid left join n using (suite_name, label) left join t using (suite_name)"))
+RET_LABELS = ["relevant", "partial", "irrelevant", "unclear"]
+
+
+@Q("agg08_label_distribution", sql("ret", "req", body="with grid as (select run_id, label from (select distinct run_id from req) a, (select unnest(['relevant', 'partial', 'irrelevant', 'unclear']) as label) b), n as (select run_id, label, count(*) as n from req join ret using (request_id) group by 1, 2), t as (select run_id, sum(n) as total from n group by 1) select run_id, label, coalesce(n, 0) as n, round(case when total > 0 then 100.0 * coalesce(n, 0) / total else 0 end, 4) as percent from grid left join n using (run_id, label) left join t using (run_id)"))
 def agg08(spark, folder):
-    return _label_grid(spark, folder, "request_id like '%1'")
+    q = requests(spark, folder)
+    grid = q.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(x) for x in RET_LABELS])).alias("label"))
+    n = q.join(retrieval_results(spark, folder), "request_id").groupBy("run_id", "label").agg(F.count("*").alias("n"))
+    total = n.groupBy("run_id").agg(F.sum("n").alias("total"))
+    rows = grid.join(n, ["run_id", "label"], "left").join(total, "run_id", "left")
+    count = F.coalesce("n", F.lit(0))
+    return rows.select("run_id", "label", count.alias("n"), r(M.ratio(100.0 * count, F.coalesce("total", F.lit(0))), 4).alias("percent"))
 
 
 @Q("jon09_requests_of_judged_runs", sql("cap", "gen", body="select request_id, epoch_us(received_at) as received_us from cap where request_id in (select request_id from gen where suite_name = 'groundedness' and score < 0.6)"))
@@ -127,10 +136,10 @@ def jon09(spark, folder):
     return captures(spark, folder).join(low, "request_id", "left_semi").select("request_id", F.unix_micros("received_at").alias("received_us"))
 
 
-@Q("jon10_chunk_lookup", sql("ret", body="select request_id, rank, p_name as chunk_text from ret join part on p_partkey = chunk_id where rank <= 3"))
+@Q("jon10_chunk_lookup", sql("ret", body="select request_id, rank, p_name as chunk_text from ret join part on p_partkey = chunk_id"))
 def jon10(spark, folder):
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("chunk_text"))
-    return retrieval_results(spark, folder).where("rank <= 3").join(parts, "chunk_id").select("request_id", "rank", "chunk_text")
+    return retrieval_results(spark, folder).join(parts, "chunk_id").select("request_id", "rank", "chunk_text")
 
 
 NORM_SQL = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
@@ -483,11 +492,11 @@ def cmp10(spark, folder):
     return c.join(F.broadcast(start), F.col("received_at") >= F.col("start")).groupBy("runtime_run_id").agg(F.count("*").alias("requests"), F.unix_micros(F.min("received_at")).alias("first_us"), F.unix_micros(F.max("received_at")).alias("last_us"))
 
 
-@Q("cmp11_request_bundle", sql("cap", "gen", body="with g as (select request_id, list(suite_name || '=' || coalesce(label, '?') order by suite_name, run_id) as judged from gen group by 1) select cap.request_id, raw_query, coalesce(judged, []) as judged, len(coalesce(judged, [])) as n from cap left join g using (request_id) where cap.request_id like '%7'"))
+@Q("cmp11_request_bundle", sql("cap", "gen", body="with g as (select request_id, list(suite_name || '=' || coalesce(label, '?') order by suite_name, run_id) as judged from gen group by 1) select cap.request_id, raw_query, coalesce(judged, []) as judged, len(coalesce(judged, [])) as n from cap left join g using (request_id)"))
 def cmp11(spark, folder):
     g = generation_results(spark, folder).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("suite_name", "run_id", "label"))), lambda x: F.concat(x["suite_name"], F.lit("="), F.coalesce(x["label"], F.lit("?")))).alias("judged"))
     judged = F.coalesce("judged", F.array().cast("array<string>"))
-    return captures(spark, folder).where("request_id like '%7'").join(g, "request_id", "left").select("request_id", "raw_query", judged.alias("judged"), F.size(judged).alias("n"))
+    return captures(spark, folder).join(g, "request_id", "left").select("request_id", "raw_query", judged.alias("judged"), F.size(judged).alias("n"))
 
 
 # sets ---------------------------------------------------------------------------------------------
@@ -517,11 +526,12 @@ def set03d(spark, folder):
     return a.subtract(b)
 
 
-@Q("set04_missing_questions", sql("req", body="with e as (select list_sort(list(distinct question_id)) as all_ from req where question_id < 60), o as (select run_id, list(distinct question_id) as seen from req where question_id < 60 group by 1) select run_id, list_sort(list_filter(all_, lambda x: not list_contains(seen, x))) as missing from o, e"))
+@Q("set04_missing_questions", sql("req", body="select run_id, question_id from (select distinct run_id from req) a, (select distinct question_id from req) b except select run_id, question_id from req"))
 def set04(spark, folder):
-    q = requests(spark, folder).where("question_id < 60")
-    all_ = q.agg(F.collect_set("question_id").alias("all"))
-    return q.groupBy("run_id").agg(F.collect_set("question_id").alias("seen")).crossJoin(F.broadcast(all_)).select("run_id", F.array_sort(F.array_except("all", "seen")).alias("missing"))
+    q = requests(spark, folder).select("run_id", "question_id").distinct()
+    runs = q.select("run_id").distinct().agg(F.collect_set("run_id").alias("runs"))  # a run is a handful of rows
+    wanted = q.select("question_id").distinct().join(F.broadcast(runs)).select("question_id", F.explode("runs").alias("run_id"))
+    return wanted.join(q, ["run_id", "question_id"], "left_anti").select("run_id", "question_id")
 
 
 @Q("set06_strict_in_soft", sql("ret", body="select request_id, count(*) filter (score = 1.0 and score < 0.5) = 0 as subset from ret group by 1"))
@@ -583,10 +593,10 @@ def top11(spark, folder):
     return _state(spark, folder).where("status <> 'completed'").orderBy(F.desc("received_at"), "request_id").limit(50).select("request_id", "stage", "status")
 
 
-@Q("top12_runs_by_start", sql("cap", body="select request_id, try_cast(regexp_replace(raw_query, '[^0-9]', '', 'g') as bigint) as started from cap where request_id like '%3'"))
+@Q("top12_runs_by_start", sql("cap", body="select request_id, try_cast(regexp_replace(raw_query, '[^0-9]', '', 'g') as bigint) as started from cap"))
 def top12(spark, folder):
     started = F.expr("try_cast(regexp_replace(raw_query, '[^0-9]', '') as bigint)")
-    return captures(spark, folder).where("request_id like '%3'").select("request_id", started.alias("started")).orderBy(F.desc_nulls_last("started"))
+    return captures(spark, folder).select("request_id", started.alias("started")).orderBy(F.desc_nulls_last("started"))
 
 
 # projections --------------------------------------------------------------------------------------

@@ -10,20 +10,20 @@ from ..operators import services as SV
 from ..operators import upsert as U
 from ..operators import validate as VA
 from ..session import materialise
-from .entities import captures, chunks, generation_results, requests, retrieval_results, sql
+from .entities import captures, chunks, generation_results, requests, rerank_candidates, retrieval_results, sql
 from .registry import Registry, table
 
 REGISTRY = Registry()
 Q = REGISTRY.query
-OLD = "old as (select o_orderkey as request_id, o_orderstatus as status, o_totalprice as score, o_orderdate as summarized_at from orders where o_orderkey % 3 <> 0)"
-NEW = "new as (select o_orderkey as request_id, 'N' as status, o_totalprice * 2 as score, case when o_orderkey % 5 = 0 then o_orderdate - interval 1 day else o_orderdate + interval 1 day end as summarized_at from orders where o_orderkey % 2 = 0)"
+OLD = "old as (select l_orderkey as request_id, max(l_linestatus) as status, round(sum(l_extendedprice), 2) as score, max(l_shipdate) as summarized_at from lineitem group by 1)"
+NEW = "new as (select o_orderkey as request_id, o_orderstatus as status, o_totalprice as score, o_orderdate as summarized_at from orders)"
 
 
 def _old_new(spark, folder):
-    o = table(spark, folder, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").alias("summarized_at"))
-    shift = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") - F.expr("interval 1 day")).otherwise(F.col("o_orderdate") + F.expr("interval 1 day"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("request_id"), F.lit("N").alias("status"), (F.col("o_totalprice") * 2).alias("score"), shift.alias("summarized_at"))
+    """Summaries of the order lines as the old table, the orders as what comes in: some orders have
+    no lines, and either side may be the later one."""
+    old = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.max("l_linestatus").alias("status"), F.round(F.sum("l_extendedprice"), 2).alias("score"), F.max("l_shipdate").alias("summarized_at"))
+    new = table(spark, folder, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").alias("summarized_at"))
     return old, new
 
 
@@ -137,12 +137,13 @@ def val19(spark, folder):
 
 # state machine ------------------------------------------------------------------------------------
 
-STATE0 = "st as (select o_orderkey as request_id, 'judge_generation' as stage, case when o_orderkey % 4 = 0 then 'completed' else 'pending' end as status, (o_orderkey % 2)::int as attempts from orders where o_orderkey % 3 <> 0)"
+STATE0 = "st as (select o_orderkey as request_id, 'judge_generation' as stage, case when o_orderstatus = 'F' then 'completed' else 'pending' end as status, 0 as attempts from orders where o_orderkey in (select l_orderkey from lineitem))"
 
 
 def _state0(spark, folder):
-    o = table(spark, folder, "orders").where("o_orderkey % 3 <> 0")
-    return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("received_at"), F.lit("judge_generation").alias("stage"), F.when(F.col("o_orderkey") % 4 == 0, "completed").otherwise("pending").alias("status"), (F.col("o_orderkey") % 2).cast("int").alias("attempts"))
+    """A state row for every order with lines; the finished orders are completed."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("received_at"), F.lit("judge_generation").alias("stage"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"), F.lit(0).alias("attempts"))
 
 
 @Q("stm01_bootstrap", f"with {STATE0} select o_orderkey as request_id, 'judge_generation' as stage, 'pending' as status, 0 as attempts from orders where o_orderkey not in (select request_id from st)")
@@ -155,13 +156,13 @@ def stm03(spark, folder):
     return U.promote(_state0(spark, folder)).drop("received_at")
 
 
-@Q("stm04_transitions", f"with {STATE0}, oc as (select o_orderkey as request_id, o_orderstatus <> 'P' as ok from orders where o_orderkey % 5 = 1) select request_id, stage, case when ok is null then status when ok then 'completed' else 'failed' end as status, attempts + (ok is not null)::int as attempts from st left join oc using (request_id)")
+@Q("stm04_transitions", f"with {STATE0}, oc as (select o_orderkey as request_id, o_orderstatus = 'O' as ok from orders where o_orderstatus <> 'F') select request_id, stage, case when ok is null then status when ok then 'completed' else 'failed' end as status, attempts + (ok is not null)::int as attempts from st left join oc using (request_id)")
 def stm04(spark, folder):
-    outcome = table(spark, folder, "orders").where("o_orderkey % 5 = 1").select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderstatus") != "P").alias("ok"))
+    outcome = table(spark, folder, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderstatus") == "O").alias("ok"))
     return U.transition(_state0(spark, folder), outcome).drop("received_at")
 
 
-@Q("stm02_drain", f"with {STATE0} select status, count(*) as n from (select 'completed' as status from st) group by 1")
+@Q("stm02_drain", f"with {STATE0} select 'completed' as status, count(*) as n from st")
 def stm02(spark, folder):
     work = lambda todo: todo.select("request_id", ((F.col("request_id") + F.col("attempts")) % 3 != 0).alias("ok"))
     done = U.drain(materialise(_state0(spark, folder), "state"), "judge_generation", lambda todo: materialise(work(todo), "outcome"))
@@ -174,11 +175,11 @@ def stm05(spark, folder):
     return _state0(spark, folder).agg(n.alias("incomplete"), (n == 0).alias("complete"))
 
 
-@Q("stm07_resume_candidates", sql("req", body=f"with {STATE0}, scopes as (select run_id, list(request_id) as scope, max(received_at) as started from req where request_id % 11 = 0 group by 1), open_ as (select list(request_id) as ids from st where status <> 'completed') select run_id, len(list_intersect(scope, ids)) > 0 as overlaps from scopes, open_"))
+@Q("stm07_resume_candidates", sql("req", body=f"with {STATE0} select run_id, bool_or(coalesce(status <> 'completed', false)) as overlaps, count(*) filter (status <> 'completed') as open_requests from req left join st using (request_id) group by 1"))
 def stm07(spark, folder):
-    scopes = requests(spark, folder).where("request_id % 11 = 0").select("run_id", "request_id")
     open_ = _state0(spark, folder).where("status <> 'completed'").select("request_id").withColumn("hit", F.lit(True))
-    return scopes.join(open_, "request_id", "left").groupBy("run_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("overlaps"))
+    hit = F.coalesce("hit", F.lit(False))
+    return requests(spark, folder).join(open_, "request_id", "left").groupBy("run_id").agg(F.bool_or(hit).alias("overlaps"), F.count_if(hit).alias("open_requests"))
 
 
 # validation ---------------------------------------------------------------------------------------
@@ -212,12 +213,11 @@ def val16(spark, folder):
     return captures(spark, folder).select("request_id", "reranker_kind", ok.alias("config_ok"))
 
 
-@Q("val04_referential", "select 'customer' as child, o_custkey as key from orders where o_custkey not in (select c_custkey from customer where c_custkey % 50 <> 0) union all select 'nation', c_nationkey from customer where c_nationkey not in (select n_nationkey from nation)")
+@Q("val04_referential", "select 'customer without order' as finding, c_custkey as key from customer where c_custkey not in (select o_custkey from orders) union all select 'order without line', o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def val04(spark, folder):
-    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("key"))
-    c = table(spark, folder, "customer")
-    a = VA.orphans(o, c.where("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("key")), "key").withColumn("child", F.lit("customer"))
-    b = VA.orphans(c.select(F.col("c_nationkey").cast("bigint").alias("key")), table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("key")), "key").withColumn("child", F.lit("nation"))
+    o = table(spark, folder, "orders")
+    a = VA.orphans(table(spark, folder, "customer").select(F.col("c_custkey").alias("key")), o.select(F.col("o_custkey").alias("key")), "key").withColumn("finding", F.lit("customer without order"))
+    b = VA.orphans(o.select(F.col("o_orderkey").alias("key")), table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key")), "key").withColumn("finding", F.lit("order without line"))
     return a.unionByName(b)
 
 
@@ -282,10 +282,10 @@ def val21(spark, folder):
     return rows.groupBy("l_orderkey").agg(F.count("*").alias("children"), F.count_if(bad).alias("violations"))
 
 
-@Q("jon21_inherit", sql("chk", body="select chunk_id, i as part, document_title, page_start from chk, range(0, 3) t(i) where i <= page_end - page_start"))
+@Q("jon21_inherit", sql("chk", body="select chunk_id, i as part, document_title, page_start from (select chunk_id, document_title, page_start, unnest(range(0, page_end - page_start + 1)) as i from chk where page_end >= page_start)"))
 def jon21(spark, folder):
     c = chunks(spark, folder).where("page_end >= page_start")
-    return c.select("chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("page_end") - F.col("page_start"), F.lit(2)))).alias("part"), "document_title", "page_start")
+    return c.select("chunk_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("page_end") - F.col("page_start"))).alias("part"), "document_title", "page_start")
 
 
 # model calls and replies --------------------------------------------------------------------------
@@ -308,9 +308,9 @@ def udf07(spark, folder):
 
 @Q("udf03_cross_encoder")
 def udf03(spark, folder):
-    from ..operators.rerank import demo_candidates, merge_batches
+    from ..operators.rerank import merge_batches
 
-    scored = SV.score_pairs(demo_candidates(spark, folder).withColumnRenamed("rank", "original"), ["query_id", "item_id", "original"], "query", "body").withColumnRenamed("model_score", "score")
+    scored = SV.score_pairs(rerank_candidates(spark, folder).withColumnRenamed("rank", "original"), ["query_id", "item_id", "original"], "query", "body").withColumnRenamed("model_score", "score")
     return merge_batches(scored, "query_id", 4, True)
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANKS
+
 from .. import schemas
 from ..functions import jsonfix
 from ..functions import text as T
@@ -18,7 +20,7 @@ from ..operators import validate as VA
 from ..session import shared_folder
 from ..sources import readers, writers
 from .documents import collapsed
-from .entities import captures, chunks, generation_results, requests, retrieval_results, sql, texts
+from .entities import captures, chunks, generation_results, requests, rerank_candidates, retrieval_results, sql, texts
 from .registry import Registry, table
 
 REGISTRY = Registry()
@@ -138,9 +140,9 @@ def snk16(spark, folder):
     return generation_results(spark, folder).groupBy("suite_name").agg(F.count("*").alias("n"))
 
 
-@Q("stm06_resume_scope", sql("req", body="with s as (select request_id from req where request_id % 13 = 0), st as (select o_orderkey as request_id, o_orderstatus as status from orders) select request_id, status <> 'F' as open from s join st using (request_id)"))
+@Q("stm06_resume_scope", sql("req", body="with s as (select request_id from req where run_id = '1-URGENT'), st as (select o_orderkey as request_id, o_orderstatus as status from orders) select request_id, status <> 'F' as open from s join st using (request_id)"))
 def stm06(spark, folder):
-    scope = requests(spark, folder).where("request_id % 13 = 0").select("request_id")
+    scope = requests(spark, folder).where("run_id = '1-URGENT'").select("request_id")
     st = table(spark, folder, "orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderstatus") != "F").alias("open"))
     return scope.join(st, "request_id")
 
@@ -193,7 +195,7 @@ def top14(spark, folder):
 
 
 def _laid_out(spark, folder):
-    word = F.transform(F.slice(F.split("text", r"(?U)\s+"), 1, 600), lambda w, i: F.struct(w.alias("text"), (F.floor(i / 8) * 12.0).alias("top"), (i % 8 * 40.0).alias("x0"), F.when(i % 17 == 3, F.lit(5.0)).otherwise(F.lit(10.0)).alias("size"), (F.floor(i / 8) * 12.0 + 10.0).alias("bottom")))
+    word = F.transform(F.split("text", BLANKS), lambda w, i: F.struct(w.alias("text"), (F.floor(i / 8) * 12.0).alias("top"), (i % 8 * 40.0).alias("x0"), F.when(i % 17 == 3, F.lit(5.0)).otherwise(F.lit(10.0)).alias("size"), (F.floor(i / 8) * 12.0 + 10.0).alias("bottom")))
     return texts(spark, folder).select("doc_id", F.lit(1).alias("page"), word.alias("words"), F.lit(900.0).alias("page_height"))
 
 
@@ -315,7 +317,7 @@ def udf05(spark, folder):
 
 @Q("udf08_judge_chunks")
 def udf08(spark, folder):
-    return SV.score_pairs(R.demo_candidates(spark, folder), ["query_id", "item_id"], "query", "body", attempts=2)
+    return SV.score_pairs(rerank_candidates(spark, folder), ["query_id", "item_id"], "query", "body", attempts=2)
 
 
 @Q("udf10_row_predicates", sql("ret", body="select request_id, bool_and(score in (0.0, 0.5, 1.0) and chunk_id > 0) as valid from ret group by 1"))

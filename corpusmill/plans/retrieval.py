@@ -8,7 +8,7 @@ from ..operators import metrics as M
 from ..operators import rerank as R
 from ..operators import retrieval as V
 from ..operators import sparse as S
-from .entities import chunks, retrieval_results, sql
+from .entities import WHITE_SPACE, chunks, rerank_candidates, retrieval_results, sql
 from .registry import Registry, table
 
 REGISTRY = Registry()
@@ -163,14 +163,16 @@ def mth03(spark, folder):
     return S.bm25_document_weights(tf, "chunk_id").select("chunk_id", "token", F.round("weight", 5).alias("weight"))
 
 
-QTOK = """q as (select request_id as query_id, unnest(list_distinct(regexp_extract_all(lower(normalized_query), '[\\p{L}\\p{N}]{2,}'))) as token from cap where normalized_query is not null and request_id like '%00')"""
+QTOK = """q as (select request_id as query_id, unnest(list_distinct(regexp_extract_all(lower(normalized_query), '[\\p{L}\\p{N}]{2,}'))) as token from cap where normalized_query is not null)"""
+#: The search's queries: requests whose id, read as a number, is divisible by 100.
+QSET = QTOK.replace("normalized_query is not null)", "normalized_query is not null and ('0x' || right(request_id, 7))::bigint % 100 = 0)")
 
 
-def _query_tokens(spark, folder):
+def _query_tokens(spark, folder, where="true"):
     from .entities import captures
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("normalized_query"), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))
-    return captures(spark, folder).where("normalized_query is not null and request_id like '%00'").select(F.col("request_id").alias("query_id"), F.explode(words).alias("token"))
+    return captures(spark, folder).where("normalized_query is not null").where(where).select(F.col("request_id").alias("query_id"), F.explode(words).alias("token"))
 
 
 @Q("mth05_bow_query_weights", sql("cap", body=f"with {QTOK} select query_id, token, 1.0::double as weight from q"))
@@ -187,11 +189,11 @@ def mth04(spark, folder):
     return S.bm25_query_weights(_query_tokens(spark, folder), tf, "chunk_id").select("query_id", "token", F.round("weight", 6).alias("weight"))
 
 
-@Q("jon16_sparse_dot", sql("chk", "cap", body=f"""with {TOKENS} {STATS}, {QTOK}, s as (select query_id, chunk_id as item_id, round(sum(tf), 6)::double as score from q join tf using (token) group by 1, 2)
+@Q("jon16_sparse_dot", sql("chk", "cap", body=f"""with {TOKENS} {STATS}, {QSET}, s as (select query_id, chunk_id as item_id, round(sum(tf), 6)::double as score from q join tf using (token) group by 1, 2)
  select query_id, item_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) where rank <= 12"""))
 def jon16(spark, folder):
     docs = S.term_frequencies(tokens(spark, folder), "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("token").alias("token_id"), F.col("tf").cast("double").alias("weight"))
-    queries = _query_tokens(spark, folder).select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
+    queries = _query_tokens(spark, folder, "cast(conv(right(request_id, 7), 16, 10) as bigint) % 100 = 0").select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
     return V.top_k(V.sparse_scores(queries, docs), 12)
 
 
@@ -219,13 +221,13 @@ def top02(spark, folder):
 
 # reranking ----------------------------------------------------------------------------------------
 
-RERANK = r"""base as (select cap.request_id as query_id, lower(regexp_replace(trim(raw_query), '\s+', ' ', 'g')) as query, c.chunk_id as item_id, lower(c.text) as body, lower(coalesce(c.document_title, '') || ' ' || coalesce(c.section_title, '')) as head,
-   (hash_no % 97) / 97.0 as score, rank from (select request_id, raw_query, row_number() over (order by request_id) as n from cap where raw_query is not null and request_id like '%0') cap
-   join (select chunk_id, text, document_title, section_title, n as hash_no, n as rank, n // 8 as grp from (select *, row_number() over (order by chunk_id) - 1 as n from chk)) c on c.grp = cap.n % 40)"""
+RERANK = r"""base as (select cap.request_id as query_id, lower(trim(regexp_replace(raw_query, 'WS', ' ', 'g'))) as query, c.chunk_id as item_id, lower(c.text) as body, lower(coalesce(c.document_title, '') || ' ' || coalesce(c.section_title, '')) as head,
+   (hash_no % 97) / 97.0 as score, rank from (select request_id, raw_query, row_number() over (order by request_id) - 1 as n from cap where raw_query is not null) cap
+   join (select chunk_id, text, document_title, section_title, n as hash_no, n as rank, n // 8 as grp from (select *, row_number() over (order by chunk_id) - 1 as n from chk)) c on c.grp = cap.n % (select ceil(count(*) / 8)::bigint from chk))""".replace("WS", WHITE_SPACE)
 
 
 @Q("top03_heuristic_rerank", sql("cap", "chk", body=f"""with {RERANK},
- terms as (select *, list_filter(string_split(query, ' '), lambda t: strlen(t) > 1) as q, string_split_regex(body, '\\s+') as b, string_split_regex(head, '\\s+') as h from base),
+ terms as (select *, list_filter(string_split(query, ' '), lambda t: strlen(t) > 1) as q, string_split_regex(body, '{WHITE_SPACE}') as b, string_split_regex(head, '{WHITE_SPACE}') as h from base),
  lim as (select query_id, min(score) as lo, max(score) as hi from terms group by 1),
  parts as (select query_id, item_id, rank, case when hi > lo then (score - lo) / (hi - lo) else 1.0 end as norm,
    case when len(list_distinct(q)) > 0 then len(list_filter(list_distinct(q), lambda t: list_contains(b, t))) / len(list_distinct(q)) else 0 end as coverage,
@@ -236,7 +238,7 @@ RERANK = r"""base as (select cap.request_id as query_id, lower(regexp_replace(tr
  select query_id, item_id, score, cast(row_number() over (partition by query_id order by score desc, rank) as int) as rank from s"""))
 def top03(spark, folder):
     weights = {"retrieval_score": 0.5, "query_term_coverage": 2.0, "phrase_match_bonus": 1.0, "title_section_match_bonus": 1.0}
-    return R.heuristic_rerank(R.demo_candidates(spark, folder), weights).select("query_id", "item_id", "score", "rank")
+    return R.heuristic_rerank(rerank_candidates(spark, folder), weights).select("query_id", "item_id", "score", "rank")
 
 
 @Q("top06_final_k", sql("ret", body="select request_id, chunk_id, rank, rank <= 4 as selected from ret where rank <= 12"))

@@ -65,8 +65,8 @@ def stm14(spark, folder):
     return e.join(F.broadcast(lo), F.col("ts").between(F.col("a"), F.col("b"))).select("event_id", "event_type")
 
 
-@Q("src17_attribute_lookup", "select event_id, user_id from events where event_type = (select min(event_type) from events) and user_id % 10 = 3")
+@Q("src17_attribute_lookup", "select event_id, user_id from events where event_type = (select min(event_type) from events)")
 def src17(spark, folder):
     e = table(spark, folder, "events")
     first = e.agg(F.min("event_type").alias("event_type"))
-    return e.where("user_id % 10 = 3").join(F.broadcast(first), "event_type").select("event_id", "user_id")
+    return e.join(F.broadcast(first), "event_type").select("event_id", "user_id")
