@@ -50,3 +50,11 @@ def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCA
     """
     few = keys.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_semi")
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that this library wrote to the shared folder; results still to be computed
+    from them can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusmill")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -87,3 +87,11 @@ def test_keyed_table_follows_a_stream_once(spark, tmp_path):
     before = target.version()
     target.apply(spark.createDataFrame([(9, "z", 9)], schema), before)  # a batch that was merged before
     assert target.read().count() == 3
+
+
+def test_semi_join_beyond_the_broadcast_bound(spark):
+    from corpusmill.session import materialise, semi_join_keys
+
+    keys = materialise(spark.range(50).selectExpr("cast(id * 2 as string) as id"), "keys")
+    d = spark.range(100).selectExpr("cast(id as string) as id")
+    assert semi_join_keys(d, keys, "id").count() == semi_join_keys(d, keys, "id", limit=10).count() == 50
