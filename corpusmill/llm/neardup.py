@@ -170,9 +170,12 @@ def _postings(spec: JoinSpec, sketch, buckets: int):
                     else:
                         bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
                     by = np.argsort(bucket, kind="stable")
-                    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-                        out_bucket.append(int(bucket[part[0]]))
-                        out_post.append(head + np.uint32(len(part)).tobytes() + short[part].tobytes() + place[part].tobytes() + bitmap)
+                    ordered = bucket[by]
+                    cut = [0, *(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1).tolist(), len(by)]
+                    shorts, places = short[by].tobytes(), place[by].tobytes()
+                    out_bucket += ordered[cut[:-1]].tolist()
+                    for a, b in zip(cut, cut[1:]):
+                        out_post.append(head + (b - a).to_bytes(4, "little") + shorts[4 * a : 4 * b] + places[4 * a : 4 * b] + bitmap)
                 if out_bucket:
                     yield pa.record_batch([pa.array(out_bucket, pa.int32()), pa.array(out_post, pa.binary())], names=["bucket", "post"])
 
@@ -193,27 +196,24 @@ def _spread(token, short, place, splits, name: int, buckets: int):
     return np.concatenate(shorts), np.concatenate(places), np.concatenate(bs)
 
 
-def _fold(words: np.ndarray, size: int) -> np.ndarray:
-    while len(words) > size:
-        half = len(words) // 2
-        words = words[:half] ^ words[half:]
-    return words
-
-
 class _Bitmaps:
     """Bitmaps of several sizes; a pair is compared at the smaller one's size (the larger is folded)."""
 
     def __init__(self, maps: list[np.ndarray]):
         self.size = np.array([len(m) for m in maps])
         self.at: dict[int, np.ndarray] = {}
-        self.maps = maps
+        self.own = {int(s): (pick := np.flatnonzero(self.size == s), np.stack([maps[i] for i in pick])) for s in np.unique(self.size)}
+        self.count = len(maps)
 
     def level(self, size: int) -> np.ndarray:
         if size not in self.at:
-            rows = np.zeros((len(self.maps), size), np.uint64)
-            for i, m in enumerate(self.maps):
-                if len(m) >= size:
-                    rows[i] = _fold(m, size)
+            rows = np.zeros((self.count, size), np.uint64)
+            for s, (pick, words) in self.own.items():
+                if s >= size:
+                    while words.shape[1] > size:
+                        half = words.shape[1] // 2
+                        words = words[:, :half] ^ words[:, half:]
+                    rows[pick] = words
             self.at[size] = rows
         return self.at[size]
 
