@@ -1,10 +1,10 @@
 """Defects of prompt-response pairs.
 
 One pass over the pairs runs the checks that need one pair only (no content, copy of the question,
-language, ending) and cuts the openings of the response's first sentences.  Openings are reduced to
-distinct ones, clustered by MinHash with verified similarity, and a cluster that recurs under
-unrelated prompts is a template; a template is a refusal where its wording declines or the judge's
-labels of its responses mostly say so.  Refusals worded like no template are found by the wording.
+language, ending) and takes the response's first sentences.  These openings are reduced to distinct
+ones, clustered by MinHash with verified similarity, and a cluster that recurs under unrelated
+prompts is a template; a template is a refusal where the judge's labels of its responses mostly say
+so.  Refusals worded like no template are found by the wording.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ _LABELLED = re.compile(r"(?is)^\s*(?:question|frage|pregunta|q)\s*:\s*(.*?)\n\s*
 _PREFIX = re.compile(r"^\W*[^\W\d_][^:\n]{0,30}:\s*(?=\S)")
 _ASKED = re.compile(r"[\s(,;.?]*(?:please\s+)?(?:answer|reply|respond|write|bitte|antworte|responde|réponds|répondez)\b[^.?!()]{0,40}[.)]?\s*$", re.I)
 OPENINGS = 5
-OPENING_WORDS = 8
+HEAD_WORDS = 8
+BLOCK = 1024  # members of a bucket that are compared in one row
 CHECK_SCHEMA = "request_id string, stamp timestamp, prompt long, defect string, declines boolean, openings array<string>"
 
 
@@ -195,12 +196,12 @@ def check_pair(question: str | None, answer: str | None) -> str | None:
 
 
 def opening_sentences(answer: str) -> list[str]:
-    """The first words of the first sentences, quotations left out."""
+    """The words of the first sentences, quotations left out."""
     out = []
     for sentence in _SENTENCE.split(_QUOTED.sub(" ", answer.replace("’", "'"))):
         w = words(sentence)
         if len(w) >= 3:
-            out.append(" ".join(w[:OPENING_WORDS]))
+            out.append(" ".join(w))
         if len(out) == OPENINGS:
             break
     return out
@@ -233,6 +234,7 @@ def check_pairs(df: DataFrame, key: str, question: str, answer: str, stamp: str)
 
 def _signatures(width: int, bands: int, rows: int):
     salts = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weights, band = np.arange(1, rows + 1, dtype=np.uint64), np.arange(bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,26 +242,85 @@ def _signatures(width: int, bands: int, rows: int):
             values = []
             for s in sets:
                 mins = mix64(s[None, :] ^ salts[:, None]).min(axis=1).reshape(bands, rows)
-                values.append([int(x) for x in mix64(np.add.reduce(mins * np.arange(1, rows + 1, dtype=np.uint64), axis=1) + np.arange(bands, dtype=np.uint64)).astype(np.int64)])
-            yield pa.record_batch([batch["opening"], pa.array([[int(v) for v in s.astype(np.int64)] for s in sets], pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], names=["opening", "shingles", "bands"])
+                values.append(mix64(np.add.reduce(mins * weights, axis=1) + band).view(np.int64))
+            yield pa.record_batch([batch["id"], _lists([s.view(np.int64) for s in sets]), _lists(values)], names=["id", "shingles", "bands"])
 
     return run
 
 
-def cluster_openings(openings: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 4, rows: int = 2) -> DataFrame:
-    """``opening``, ``cluster`` of the distinct openings by MinHash with verified similarity.
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
-    In every band the smallest opening of a bucket speaks for it; an opening joins the smallest
-    speaker whose shingles really have the threshold's similarity to its own, else it stays alone.
-    No pairs within a bucket are built.
+
+def _links(threshold: float):
+    """Edges that join the members of each bucket which verified similarities connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for bucket in batch["members"].to_pylist():
+                rest = [(m["id"], frozenset(m["shingles"])) for m in bucket]
+                while rest:
+                    seed, *rest = rest
+                    reached = [seed]
+                    while reached and rest:
+                        _, said = reached.pop()
+                        far = []
+                        for other in rest:
+                            small, large = sorted((len(said), len(other[1])))
+                            common = len(said & other[1]) if small >= threshold * large - 1e-9 else 0
+                            if common and common >= threshold * (small + large - common) - 1e-9:
+                                reached.append(other)
+                                found.add((seed[0], other[0]))
+                            else:
+                                far.append(other)
+                        rest = far
+            yield pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (the smallest node connected with it) of the nodes of ``edges`` (a, b).
+
+    Every round takes the smallest root of the neighbours, then that root's own root, until nothing
+    changes.
+    """
+    both = materialise(edges.unionByName(edges.select(F.col("a").alias("b"), F.col("b").alias("a"))).distinct(), "links")
+    roots = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "roots")
+    while True:
+        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = roots.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        step = materialise(step, "step")
+        jumped = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root"), "old")
+        jumped = materialise(jumped, "roots")
+        roots = jumped.select("node", "root")
+        if jumped.where("root != old").isEmpty():
+            return roots
+
+
+def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8, bands: int = 32, rows: int = 8) -> DataFrame:
+    """``opening``, ``cluster`` (its smallest opening) of the distinct openings.
+
+    Openings are linked if they begin with the same ``HEAD_WORDS`` words, or if MinHash puts them in
+    one bucket and their shingles really have the threshold's similarity; links are transitive.  All
+    members of a bucket are compared: one with more than ``BLOCK`` is spread over pairs of blocks.
     """
-    signed = materialise(openings.select("opening").distinct().mapInArrow(_signatures(width, bands, rows), "opening string, shingles array<long>, bands array<long>"), "signed")
-    rows_ = signed.select("opening", "shingles", F.explode("bands").alias("band"))
-    speakers = rows_.groupBy("band").agg(F.min(F.struct("opening", "shingles")).alias("s"), F.count("*").alias("n")).where("n > 1").select("band", F.col("s.opening").alias("speaker"), F.col("s.shingles").alias("said"))
-    common = F.size(F.array_intersect("shingles", "said"))
-    close = common >= threshold * (F.size("shingles") + F.size("said") - common) - 1e-9
-    joined = rows_.join(speakers, "band").where(close).groupBy("opening").agg(F.min("speaker").alias("cluster"))
-    return signed.select("opening").join(joined, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+    source = materialise(openings.select("opening").distinct().select(F.xxhash64("opening").alias("id"), "opening"), "distinct")
+    signed = materialise(source.mapInArrow(_signatures(width, bands, rows), "id long, shingles array<long>, bands array<long>"), "signed")
+    buckets = signed.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").select(F.array_sort("ids").alias("ids")).distinct()
+    blocks = F.ceil(F.size("ids") / F.lit(BLOCK)).cast("int")
+    pairs = buckets.select("ids", blocks.alias("n")).select("ids", "n", F.explode(F.expr("sequence(0, greatest(0, n - 2))")).alias("i"))
+    pairs = pairs.select("ids", "n", "i", F.explode(F.expr("sequence(if(n = 1, 0, i + 1), n - 1)")).alias("j"))
+    part = F.expr(f"if(n = 1, ids, concat(slice(ids, i * {BLOCK} + 1, {BLOCK}), slice(ids, j * {BLOCK} + 1, {BLOCK})))")
+    members = pairs.select(part.alias("ids")).select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")).join(signed.select("id", "shingles"), "id")
+    near = members.groupBy("bucket").agg(F.collect_list(F.struct("id", "shingles")).alias("members")).select("members").mapInArrow(_links(threshold), "a long, b long")
+    head = source.select("id", F.substring_index("opening", " ", HEAD_WORDS).alias("head"))
+    same = head.join(head.groupBy("head").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "head").where("id != b").select(F.col("id").alias("a"), "b")
+    linked = source.join(components(near.unionByName(same)), F.col("id") == F.col("node")).select("opening", "root")
+    names = linked.groupBy("root").agg(F.min("opening").alias("cluster"))
+    return source.select("opening").join(linked.join(names, "root").select("opening", "cluster"), "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
 def refusal_openings(checks: DataFrame, refusal_labels: DataFrame, least_prompts: int = 4, least_share: float = 0.5) -> DataFrame:
@@ -268,13 +329,16 @@ def refusal_openings(checks: DataFrame, refusal_labels: DataFrame, least_prompts
     A template declines if at least ``least_share`` of its judged responses are labelled refusals.
     refusal_labels: request_id, refused (0 or 1).
     """
-    said = checks.select("request_id", "prompt", F.explode(F.array_distinct("openings")).alias("opening"))
-    counted = said.join(refusal_labels, "request_id", "left").groupBy("opening").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"))
-    counted = materialise(counted, "openings")
-    clusters = cluster_openings(counted)
-    template = counted.join(clusters, "opening").groupBy("cluster").agg(F.sum("prompts").alias("prompts"), F.sum("judged").alias("judged"), F.sum("refused").alias("refused"))
+    said = checks.select("request_id", "prompt", F.explode(F.array_distinct("openings")).alias("opening")).join(refusal_labels, "request_id", "left")
+    counted = materialise(said.groupBy("opening").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged")), "openings")
+    clusters = materialise(cluster_openings(counted), "clusters")
+    # a prompt or response with several openings of a cluster counts once: these sums are bounds
+    likely = counted.join(clusters, "opening").groupBy("cluster").agg(F.sum("prompts").alias("prompts"), F.sum("judged").alias("judged")).where((F.col("prompts") >= least_prompts) & (F.col("judged") >= least_prompts)).select("cluster")
+    kept = materialise(clusters.join(likely, "cluster"), "likely")
+    responses = said.join(kept, "opening").groupBy("cluster", "request_id").agg(F.first("prompt").alias("prompt"), F.first("refused").alias("refused"))
+    template = responses.groupBy("cluster").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"))
     template = template.where((F.col("prompts") >= least_prompts) & (F.col("judged") >= least_prompts) & (F.col("refused") >= least_share * F.col("judged")))
-    return clusters.join(template, "cluster").select("opening", "cluster", "prompts", "judged", "refused")
+    return kept.join(template, "cluster").select("opening", "cluster", "prompts", "judged", "refused")
 
 
 def pair_defects(checks: DataFrame, refusal_labels: DataFrame) -> DataFrame:

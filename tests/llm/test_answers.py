@@ -58,6 +58,35 @@ def test_clusters_are_verified(spark):
     assert got[o[0]] == got[o[1]] == o[0] and got[o[2]] == o[2] and got[o[3]] == o[3]
 
 
+def test_clusters_with_production_parameters(spark):
+    """Sentences that differ by a word meet, also over a third one; others that share words don't."""
+    core = "i can't answer that question"
+    refusals = [core, f"unfortunately {core}", f"sorry {core}", f"{core} now", "zu dieser frage finde ich leider in der sammlung nichts", "zu dieser frage finde ich leider in der sammlung wenig"]
+    others = ["the cache drops the stale lease and asks the leader", "the cache keeps the stale page and tells the follower"]
+    d = spark.createDataFrame([(x,) for x in refusals + others], "opening string")
+    got = {r.opening: r.cluster for r in A.cluster_openings(d).collect()}
+    assert {got[x] for x in refusals[:4]} == {core} and {got[x] for x in refusals[4:]} == {refusals[4]}
+    assert all(got[x] == x for x in others)
+
+
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 3)
+    d = spark.createDataFrame([(f"w{i} this matter is left to somebody else in the house",) for i in range(11)], "opening string")
+    assert A.cluster_openings(d).select("cluster").distinct().count() == 1
+
+
+def test_variants_make_one_template(spark):
+    """Each wording has one prompt, only their cluster has enough; one prompt's variants don't."""
+    words = ["sadly", "truly", "surely", "well"]
+    rows = [(f"r{i}", f"What about {i}?", f"{w} kindly ask somebody else about this whole matter today.", None) for i, w in enumerate(words)]
+    rows += [(f"s{i}", "What about it?", f"{w} the notes leave this topic to another team for good.", None) for i, w in enumerate(words)]
+    d = spark.createDataFrame(rows, "request_id string, q string, a string, s timestamp")
+    checks = A.check_pairs(d, "request_id", "q", "a", "s")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "request_id string, refused int")
+    got = A.refusal_openings(checks, labels).collect()
+    assert len(got) == 4 and {(r.prompts, r.judged, r.refused) for r in got} == {(4, 4, 4)} and all("kindly" in r.opening for r in got)
+
+
 def test_p3_query(spark, small):
     from corpusmill.llm.queries import REGISTRY
 
