@@ -1,10 +1,11 @@
 """Cutting oversized texts into pieces at natural boundaries by dynamic programming.
 
 Sizes are words (runs of characters other than white space).  Natural boundaries are line breaks,
-form feeds, and white space after sentence punctuation.  Over all boundary positions the cheapest
-chain of cuts is found: a cut costs by its kind, a piece by its distance from the ideal size and by
-the overlap it lacks; a piece has at most ``limit`` words, its overlap with the piece before
-included.  Only a stretch that is longer than the limit is cut between its words.
+form feeds, and white space after sentence punctuation.  Over all boundary positions those chains
+of cuts are found that lack the fewest words of overlap (none, where any chain keeps it whole), and
+of these the cheapest: a cut costs by its kind, a piece by its distance from the ideal size.  A piece
+has at most ``limit`` words, its overlap with the piece before included.  Only a stretch that is
+longer than the limit is cut between its words.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def has_long_stretch(cost: np.ndarray, limit: int) -> bool:
 
 
 def split_words(cost: np.ndarray, limit: int, overlap: int) -> list[Piece]:
-    """The cheapest pieces of ``len(cost)`` words; one piece if they fit the limit."""
+    """The cheapest pieces of ``len(cost)`` words among those that lack the least overlap; one piece if they fit the limit."""
     n = len(cost)
     if n <= limit:
         return [Piece(0, n, 0, "end")] if n else []
@@ -75,6 +76,7 @@ def split_words(cost: np.ndarray, limit: int, overlap: int) -> list[Piece]:
     price = np.append(cost, 0.0)[at]
     price[-1] = 0.0
     best = np.full(len(at), np.inf)
+    lost = np.zeros(len(at), np.int64)  # words of overlap that the best chain lacks
     back = np.zeros(len(at), np.int64)
     best[0] = 0.0
     for j in range(1, len(at)):
@@ -82,9 +84,10 @@ def split_words(cost: np.ndarray, limit: int, overlap: int) -> list[Piece]:
         i = np.arange(lo, j)
         fresh = at[j] - at[i]  # words that no earlier piece has
         shared = np.where(at[i] > 0, np.minimum(np.minimum(overlap, limit - fresh), at[i]), 0)
-        lacking = np.where(at[i] > 0, np.minimum(overlap, at[i]) - shared, 0)
+        lacking = lost[i] + np.where(at[i] > 0, np.minimum(overlap, at[i]) - shared, 0)
         off = (fresh - ideal) / limit
-        total = best[i] + off * off + (lacking / max(1, overlap)) * 0.5 + price[j]
+        lost[j] = lacking.min()
+        total = np.where(lacking == lost[j], best[i] + off * off + price[j], np.inf)
         k = int(np.argmin(total))
         best[j], back[j] = total[k], i[k]
     cuts = []

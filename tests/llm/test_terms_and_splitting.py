@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,37 @@ def test_natural_and_forced_cuts():
     assert out[0][4] and any(p.kind == "forced" for p, *_ in out)
 
 
+def test_overlap_goes_before_cheaper_cuts():
+    """A page break at word 165 would leave 25 words of overlap, the sentence end at 172 leaves 30."""
+    text = " ".join(["w"] * 165) + "\f" + " ".join(["w"] * 6) + " w. " + " ".join(["w"] * 168)
+    out = check_pieces(text, 200, 0.15)
+    assert [(p.end, p.overlap) for p, *_ in out] == [(172, 0), (340, 30)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=2, max_size=30), st.integers(8, 25), st.integers(0, 7))
+def test_overlap_is_whole_where_a_chain_keeps_it(sizes, limit, overlap):
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    cost = np.full(ends[-1], S.FORCED)
+    cost[ends[:-1]] = np.resize([S.PAGE, S.SENTENCE, S.LINE], len(ends) - 1)
+    reached = {0}
+    for b in ends:
+        if any(b - a + min(overlap, a) <= limit for a in reached):
+            reached.add(b)
+    if ends[-1] in reached:
+        pieces = S.split_words(cost, limit, overlap)
+        assert all(p.overlap == min(overlap, p.start + p.overlap) for p in pieces)
+        assert ends[-1] <= limit or max(sizes) > limit or all(p.kind != "forced" for p in pieces)
+
+
+def test_one_tight_stretch_shortens_its_own_overlap_only():
+    cost = np.full(100, S.FORCED)
+    cost[[10, 20, 30, 49, 60, 70, 80, 90]] = S.SENTENCE
+    pieces = S.split_words(cost, 20, 5)
+    assert [p.overlap for p in pieces if p.start < 49 <= p.end and p.start + p.overlap == 30] == [1]
+    assert all(p.overlap == 5 for p in pieces if p.start + p.overlap not in (0, 30))
+
+
 def test_pages_follow_form_feeds():
     out = S.split_text("a b c.\fd e f.\n\ng h i.\fj k l.", 6, 0.0)
     assert [(before, inside) for _, _, before, inside, _ in out] == [(0, 1), (1, 1)]
