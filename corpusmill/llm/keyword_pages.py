@@ -1,8 +1,8 @@
 """Pages that are keywords, links, navigation, tags or products instead of sentences.
 
 Every page's rank-frequency curve (log frequency over log rank of its words) is fitted with SQL
-windows.  Pages of the same language and comparable length say what prose looks like; a page whose
-slope, residual or divergence (of its share of function words) lies far from theirs is flagged.
+windows.  Prose pages (few words outside sentences) of the same language and comparable length say
+what prose looks like, however many other pages there are; a page whose slope, residual or divergence (of its share of function words) lies far from theirs is flagged.
 An exact reading of a flagged page then counts the words that stand outside sentences.
 """
 
@@ -171,25 +171,26 @@ def fit_curves(pages: DataFrame) -> DataFrame:
     return fitted.select("doc_id", "slope", "residual", (F.col("distinct_words") / F.col("words")).alias("variety"))
 
 
-def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, half: float = 0.5) -> DataFrame:
-    """Pages with curve, peers' medians, flag and the exact share of words outside sentences.
+def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, half: float = 0.5, prose: float = 0.25) -> DataFrame:
+    """Pages with curve, flag and the exact share of words outside sentences.
 
-    Peers are pages of the same language and of a length within the same power of two; with fewer
-    than ``least_peers`` all pages of the language are, then all pages.  A page is flagged if slope,
-    residual or variety lies more than ``spread`` robust deviations from its peers' median, or if its
-    share of function words is below three quarters of theirs (or it has no language at all).
+    Peers are the prose pages (at most ``prose`` of the words outside sentences) of the same language
+    and of a length within the same power of two; with fewer than ``least_peers`` those of the
+    language are, then all prose pages.  A page is flagged if slope, residual or variety lies more
+    than ``spread`` robust deviations from its peers' median, if its share of function words is below
+    three quarters of theirs, if it has no language at all, or if there is no prose to compare with.
     """
     curves = pages.select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("size"), "words", "function_share", "outside").where("words > 0").join(fit_curves(pages), "doc_id")
     curves = materialise(curves, "curves")
     measures = ["slope", "residual", "variety", "function_share"]
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in measures]
-    levels = curves.groupingSets([["lang", "size"], ["lang"], []], "lang", "size").agg(F.count("*").alias("peers"), *quartiles)
+    levels = curves.where(F.col("outside") <= prose).groupingSets([["lang", "size"], ["lang"], []], "lang", "size").agg(F.count("*").alias("peers"), *quartiles)
     levels = levels.where((F.col("peers") >= least_peers) | (F.col("lang").isNull() & F.col("size").isNull()))
     # a row for each language and power of two of lengths: some hundred at most
     fine = F.broadcast(levels.where("lang is not null and size is not null").select("lang", "size", F.struct(*measures).alias("fine")))
     mid = F.broadcast(levels.where("lang is not null and size is null").select("lang", F.struct(*measures).alias("mid")))
     whole = F.broadcast(levels.where("lang is null and size is null").select(F.struct(*measures).alias("whole")))
-    joined = curves.join(fine, ["lang", "size"], "left").join(mid, "lang", "left").crossJoin(whole)
+    joined = curves.join(fine, ["lang", "size"], "left").join(mid, "lang", "left").join(whole, F.lit(True), "left")
     peers = F.coalesce(F.when(F.col("lang") != "?", F.col("fine")), F.when(F.col("lang") != "?", F.col("mid")), F.col("whole"))
     joined = joined.withColumn("peers", peers)
 
@@ -198,4 +199,4 @@ def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, hal
         return F.abs(F.col(m) - mid_) > spread * F.greatest(high - low, F.lit(0.02)) / 1.35
 
     flagged = far("slope") | far("residual") | far("variety") | (F.col("function_share") < 0.75 * F.col("peers.function_share")[1]) | (F.col("lang") == "?")
-    return joined.select("doc_id", "lang", "words", "slope", "residual", "variety", "function_share", "outside", flagged.alias("flagged")).withColumn("spam", F.col("flagged") & (F.col("outside") > half))
+    return joined.select("doc_id", "lang", "words", "slope", "residual", "variety", "function_share", "outside", F.coalesce(flagged, F.lit(True)).alias("flagged")).withColumn("spam", F.col("flagged") & (F.col("outside") > half))

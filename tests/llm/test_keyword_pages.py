@@ -49,6 +49,22 @@ def test_flags(spark):
     assert K.flag_pages(K.scan_pages(d.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("spam", [6, 60, 240])
+def test_spam_among_peers_changes_no_flag(spark, spam):
+    """Keyword pages of one language and length are flagged however many of them there are."""
+    bad = "cheap cache and fast lease for the best store, " * 8
+    rows = [(i, (PROSE + f"Write {i} took {i} ms. ") * 2, None) for i in range(60)] + [(1000 + i, bad + f"buy item {i}, ", None) for i in range(spam)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fetched_at timestamp")
+    got = {r.doc_id: r for r in K.flag_pages(K.scan_pages(d)).collect()}
+    assert len({(r.lang, int(math.log2(r.words))) for r in got.values()}) == 1
+    assert {k for k, r in got.items() if r.spam} == set(range(1000, 1000 + spam))
+
+
+def test_spam_without_any_prose(spark):
+    d = spark.createDataFrame([(i, f"cheap cache and fast lease for the store {i}, " * 6, None) for i in range(40)], "doc_id long, text string, fetched_at timestamp")
+    assert K.flag_pages(K.scan_pages(d)).where("spam").count() == 40
+
+
 def test_p8_query(spark, small):
     from corpusmill.llm.queries import REGISTRY
 
