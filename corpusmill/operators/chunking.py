@@ -77,13 +77,10 @@ def page_cursor(marks: DataFrame, key: str, order: str, page: str) -> DataFrame:
     return marks.withColumn(page, F.last(page, ignorenulls=True).over(w))
 
 
-def shared_suffix(a: Column, b: Column, most: int = 8) -> Column:
-    """Greatest k up to ``most`` with the last k elements of a equal to the first k of b."""
-    out = F.lit(0)
-    for k in range(1, most + 1):
-        fits = (F.size(a) >= k) & (F.size(b) >= k)
-        out = F.when(fits & (F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), k) == F.slice(b, 1, k)), F.lit(k)).otherwise(out)
-    return out
+def shared_suffix(a: Column, b: Column) -> Column:
+    """Greatest k with the last k elements of a equal to the first k of b."""
+    sizes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.size(a), F.size(b))))
+    return F.coalesce(F.array_max(F.filter(sizes, lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k))), F.lit(0))
 
 
 def numeric_path(label: Column) -> Column:

@@ -236,3 +236,14 @@ def test_captures_with_odd_deliveries(spark, tmp_path):
     assert got == [("r1", "reranker_config.cross_encoder", 0, "big"), ("r1", "reranker_config.weights", 0, "n"), ("r1", "retrieval_results", 1, "c9")]
     d.limit(0).write.parquet(f"{tmp_path}/c/request_captures.parquet")
     assert p1(spark, f"{tmp_path}/c").count() == 0
+
+
+def test_shared_suffix_has_no_longest_length(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators.chunking import shared_suffix
+
+    long = [f"s{i}" for i in range(12)]
+    rows = [(["x", *long], [*long, "y"], 12), (long, long, 12), (["a", "b"], ["b", "a"], 1), (["a"], ["b", "a"], 0), ([], ["a"], 0), (None, ["a"], 0)]
+    d = spark.createDataFrame(rows, "a array<string>, b array<string>, k int")
+    assert d.where(shared_suffix(F.col("a"), F.col("b")) != F.col("k")).count() == 0
