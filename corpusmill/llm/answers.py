@@ -1,24 +1,25 @@
 """Defects of prompt-response pairs.
 
 One pass over the pairs runs the checks that need one pair only (no content, copy of the question,
-language, ending) and takes the response's first sentences.  These openings are reduced to distinct
-ones, clustered by MinHash with verified similarity, and a cluster that recurs under unrelated
-prompts is a template; a template is a refusal where the judge's labels of its responses mostly say
-so.  Refusals worded like no template are found by the wording.
+language, ending) and takes every clause of the response, quotations left out.  Words that belong to
+what is talked about are masked: those that prompts use at least half as often, word for word, as
+responses do.  What is left of a clause is its opening; openings are clustered by MinHash with
+verified similarity, and a cluster that recurs under unrelated prompts is a template.  A template is
+a refusal where the judge's labels of its responses mostly say so.  No list of wordings is used.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, semi_join_keys
 from .wordscan import mix64, shingle_sets
 
 # What stands for no content at all, letters and digits only, lower case.
@@ -43,32 +44,6 @@ LANGUAGE_NAMES = {
 }
 _NAMED = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names.split()}
 
-# Wordings that decline to answer.
-REFUSALS = [
-    r"\bi(?:'m| am)? (?:cannot|can not|can't|could not|couldn't|unable to|not able to|won't|will not|must decline|have to decline|decline to|must refuse|would rather not|prefer not)\b[^.!?]{0,60}\b(?:answer|help|say|provide|respond|discuss|assist|comment|tell|guess|support|share)",
-    r"\bi(?:'d| would) rather not (?:answer|say|comment|respond)",
-    r"\bi (?:do not|don't) have (?:sufficient|enough|any|the) (?:information|data|context|knowledge)",
-    r"\bnot possible for me to\b",
-    r"\bnobody could answer this\b",
-    r"\bno answer can be given\b",
-    r"\b(?:do|does) not contain enough information\b",
-    r"\bsomething i'm not able to\b",
-    r"\bi have no passage\b",
-    r"\bcontext says nothing (?:on|about)\b",
-    r"\bnothing in the given (?:chunks|passages|context)\b",
-    r"\bi will not guess\b",
-    r"\bkann ich (?:diese|ihre|die|darauf|dazu|das)\b[^.!?]{0,40}\bnicht\b",
-    r"\bich kann\b[^.!?]{0,60}\bnicht (?:beantworten|helfen|sagen|antworten)",
-    r"\bliegen mir\b[^.!?]{0,40}\bkeine\b",
-    r"\breichen\b[^.!?]{0,60}\bfür eine antwort nicht aus\b",
-    r"\bje ne (?:peux|puis) pas (?:répondre|vous|aider)",
-    r"\bje ne dispose pas\b",
-    r"\bextraits fournis ne permettent pas\b",
-    r"\bno puedo (?:responder|contestar|ayudar)\b",
-    r"\bno tengo (?:datos|información) suficientes?\b",
-    r"\bno bastan para dar una respuesta\b",
-]
-_REFUSAL = re.compile("|".join(REFUSALS))
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"\n]*\"|(?<!\w)'[^'\n]{6,}?'(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)\]']*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -80,10 +55,9 @@ _ITEM = re.compile(r"\s*(?:[-*•+–]|\(?\d{1,3}[.)])(?:\s+(.*))?$")
 _LABELLED = re.compile(r"(?is)^\s*(?:question|frage|pregunta|q)\s*:\s*(.*?)\n\s*(?:answer|antwort|réponse|respuesta|a)\s*:\s*(.*)$")
 _PREFIX = re.compile(r"^\W*[^\W\d_][^:\n]{0,30}:\s*(?=\S)")
 _ASKED = re.compile(r"[\s(,;.?]*(?:please\s+)?(?:answer|reply|respond|write|bitte|antworte|responde|réponds|répondez)\b[^.?!()]{0,40}[.)]?\s*$", re.I)
-OPENINGS = 5
-HEAD_WORDS = 8
+_CLAUSE = re.compile(r"[,;:()]\s+|\s[–—-]\s")
 BLOCK = 1024  # members of a bucket that are compared in one row
-CHECK_SCHEMA = "request_id string, stamp timestamp, prompt long, defect string, declines boolean, openings array<string>"
+CHECK_SCHEMA = "request_id string, stamp timestamp, prompt long, defect string, asked array<string>, clauses array<string>"
 
 
 def words(text: str) -> list[str]:
@@ -97,26 +71,29 @@ def is_empty(answer: str | None) -> bool:
     return not bare or bare in PLACEHOLDERS
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """The answer is the question, once or several times over, up to a few letters or a word, markup,
-    quotes and a label in front."""
+def _trigrams(text: str) -> Counter:
+    return Counter(t for w in words(text) for t in (f" {w} "[i : i + 3] for i in range(len(w))))
+
+
+def is_copy(question: str, answer: str, similar: float = 0.75) -> bool:
+    """The answer is the question, once or any number of times over, up to a few letters or a word,
+    markup, quotes and a label in front.
+
+    The letter trigrams of the words are compared as multisets (Dice), those of the question as often
+    as the answer is longer, in time linear in both texts.
+    """
     labelled = _LABELLED.match(answer)
-    asked = [" ".join(words(q)) for q in dict.fromkeys((question, _ASKED.sub("", question)))]
+    asked = [_trigrams(q) for q in dict.fromkeys((question, _ASKED.sub("", question)))]
     for text in dict.fromkeys((labelled.group(2) if labelled else answer, _PREFIX.sub("", answer))):
-        a = " ".join(words(text))
-        if not a:
-            continue
+        said = _trigrams(text)
+        n = said.total()
         for q in asked:
-            if not q:
-                continue
-            times = max(1, round((len(a) + 1) / (len(q) + 1)))
-            if times > 4 or not 0.7 <= len(a) / (times * len(q)) <= 1.4:
-                continue
-            if len(set(q.split()) & set(a.split())) < 0.5 * len(set(q.split())):
-                continue  # most words differ: no need to align letters
-            whole = " ".join([q] * times)
-            if a == whole or difflib.SequenceMatcher(None, whole, a, autojunk=False).ratio() >= 0.8:
-                return True
+            m = q.total()
+            if n and m:
+                times = max(1, round(n / m))
+                common = sum(min(times * k, said[t]) for t, k in q.items())
+                if 2 * common >= similar * (n + times * m):
+                    return True
     return False
 
 
@@ -195,43 +172,71 @@ def check_pair(question: str | None, answer: str | None) -> str | None:
     return "truncated" if is_truncated(answer) else None
 
 
-def opening_sentences(answer: str) -> list[str]:
-    """The words of the first sentences, quotations left out."""
-    out = []
-    for sentence in _SENTENCE.split(_QUOTED.sub(" ", answer.replace("’", "'"))):
-        w = words(sentence)
-        if len(w) >= 3:
-            out.append(" ".join(w))
-        if len(out) == OPENINGS:
-            break
-    return out
-
-
-def declines(answer: str) -> bool:
-    text = _QUOTED.sub(" ", answer.lower().replace("’", "'"))
-    return any(_REFUSAL.search(s) for s in [s for s in _SENTENCE.split(text) if s.strip()][:OPENINGS])
+def clauses(answer: str) -> list[str]:
+    """The words of each different clause of all sentences, quotations left out."""
+    text = _QUOTED.sub(" ", answer.replace("’", "'"))
+    parts = (" ".join(words(c)) for s in _SENTENCE.split(text) for c in _CLAUSE.split(s))
+    return list(dict.fromkeys(p for p in parts if p))
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        defects, refuses, openings = [], [], []
+        defects, asked, said = [], [], []
         for q, a in zip(batch["question"].to_pylist(), batch["answer"].to_pylist()):
             defect = check_pair(q, a)
-            refusal = defect != "empty" and defect != "copies_question" and declines(a)
             defects.append(defect)
-            refuses.append(refusal)
-            openings.append(opening_sentences(a) if defect != "empty" and defect != "copies_question" else [])
-        yield pa.record_batch([batch["request_id"], batch["stamp"], batch["prompt"], pa.array(defects, pa.string()), pa.array(refuses, pa.bool_()), pa.array(openings, pa.list_(pa.string()))], names=["request_id", "stamp", "prompt", "defect", "declines", "openings"])
+            asked.append(words(q or ""))
+            said.append(clauses(a) if defect != "empty" and defect != "copies_question" else [])
+        lists = [pa.array(x, pa.list_(pa.string())) for x in (asked, said)]
+        yield pa.record_batch([batch["request_id"], batch["stamp"], batch["prompt"], pa.array(defects, pa.string()), *lists], names=["request_id", "stamp", "prompt", "defect", "asked", "clauses"])
 
 
 def check_pairs(df: DataFrame, key: str, question: str, answer: str, stamp: str) -> DataFrame:
-    """One row a key (of several deliveries the latest, ties by prompt hash): checks and openings."""
+    """One row a key (of several deliveries the latest, ties by prompt hash): checks, the words of
+    the question and the clauses of the answer.  Rows without a key are left out, a null question is
+    an empty one."""
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("request_id"), F.col(stamp).cast("timestamp").alias("stamp"), F.xxhash64(F.lower(F.trim(question))).alias("prompt"), F.col(question).alias("question"), F.col(answer).alias("answer"))
     checked = source.mapInArrow(_check, CHECK_SCHEMA)
-    latest = F.max_by(F.struct("prompt", "defect", "declines", "openings"), F.struct(F.coalesce("stamp", F.timestamp_micros(F.lit(0))), "prompt"))
+    latest = F.max_by(F.struct("prompt", "defect", "asked", "clauses"), F.struct(F.coalesce("stamp", F.timestamp_micros(F.lit(0))), "prompt"))
     return checked.groupBy("request_id").agg(latest.alias("c")).select("request_id", "c.*")
 
 
+def topic_words(checks: DataFrame, ratio: float = 0.5, floor: float = 1e-6) -> DataFrame:
+    """``word``: the words that prompts use at least ``ratio`` times as often as responses do, both
+    relative to all their words.
+
+    Words below ``floor`` of the prompts' words are no topic words, so there are at most 1 / floor of
+    them, whatever the collection: their shares add up to one at most.
+    """
+    asked = checks.select(F.explode("asked").alias("word"), F.lit(1).alias("q"), F.lit(0).alias("r"))
+    said = checks.select(F.explode("clauses").alias("c")).select(F.explode(F.split("c", " ")).alias("word"), F.lit(0).alias("q"), F.lit(1).alias("r"))
+    counted = materialise(asked.unionByName(said).groupBy("word").agg(F.sum("q").alias("q"), F.sum("r").alias("r")), "words")
+    total = counted.agg(F.sum("q").alias("nq"), F.sum("r").alias("nr"))
+    rated = counted.where("q > 0").crossJoin(F.broadcast(total))
+    return rated.where((F.col("q") * F.col("nr") >= ratio * F.col("r") * F.col("nq")) & (F.col("q") >= floor * F.col("nq"))).select("word")
+
+
+def _mask(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        topics = shared.value
+        for batch in batches:
+            out = []
+            for said in batch["clauses"].to_pylist():
+                kept = ([w for w in c.split(" ") if w not in topics] for c in said)
+                out.append(list(dict.fromkeys(" ".join(k) for k in kept if len(k) > 1)))
+            yield pa.record_batch([batch["request_id"], batch["prompt"], pa.array(out, pa.list_(pa.string()))], names=["request_id", "prompt", "openings"])
+
+    return run
+
+
+def response_openings(checks: DataFrame) -> DataFrame:
+    """``request_id, prompt, opening``: each clause's words outside the topics, if there are two."""
+    spark = checks.sparkSession
+    topics = frozenset(r["word"] for r in topic_words(checks).collect())  # at most 1 / floor words
+    masked = checks.select("request_id", "prompt", "clauses").mapInArrow(_mask(spark.sparkContext.broadcast(topics)), "request_id string, prompt long, openings array<string>")
+    return masked.select("request_id", "prompt", F.explode("openings").alias("opening"))
+
+
 def _signatures(width: int, bands: int, rows: int):
     salts = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     weights, band = np.arange(1, rows + 1, dtype=np.uint64), np.arange(bands, dtype=np.uint64)
@@ -303,9 +308,9 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8, bands: int = 32, rows: int = 8) -> DataFrame:
     """``opening``, ``cluster`` (its smallest opening) of the distinct openings.
 
-    Openings are linked if they begin with the same ``HEAD_WORDS`` words, or if MinHash puts them in
-    one bucket and their shingles really have the threshold's similarity; links are transitive.  All
-    members of a bucket are compared: one with more than ``BLOCK`` is spread over pairs of blocks.
+    Openings are linked if MinHash puts them in one bucket and their sets of words (``width`` words in
+    a shingle) really have the threshold's similarity; links are transitive.  All members of a bucket
+    are compared: one with more than ``BLOCK`` is spread over pairs of blocks.
     """
     source = materialise(openings.select("opening").distinct().select(F.xxhash64("opening").alias("id"), "opening"), "distinct")
     signed = materialise(source.mapInArrow(_signatures(width, bands, rows), "id long, shingles array<long>, bands array<long>"), "signed")
@@ -316,28 +321,37 @@ def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8
     part = F.expr(f"if(n = 1, ids, concat(slice(ids, i * {BLOCK} + 1, {BLOCK}), slice(ids, j * {BLOCK} + 1, {BLOCK})))")
     members = pairs.select(part.alias("ids")).select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")).join(signed.select("id", "shingles"), "id")
     near = members.groupBy("bucket").agg(F.collect_list(F.struct("id", "shingles")).alias("members")).select("members").mapInArrow(_links(threshold), "a long, b long")
-    head = source.select("id", F.substring_index("opening", " ", HEAD_WORDS).alias("head"))
-    same = head.join(head.groupBy("head").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1"), "head").where("id != b").select(F.col("id").alias("a"), "b")
-    linked = source.join(components(near.unionByName(same)), F.col("id") == F.col("node")).select("opening", "root")
+    linked = source.join(components(near), F.col("id") == F.col("node")).select("opening", "root")
     names = linked.groupBy("root").agg(F.min("opening").alias("cluster"))
     return source.select("opening").join(linked.join(names, "root").select("opening", "cluster"), "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
-def refusal_openings(checks: DataFrame, refusal_labels: DataFrame, least_prompts: int = 4, least_share: float = 0.5) -> DataFrame:
+def _mostly(refused: Column, judged: Column, share: float) -> Column:
+    """The lower end of the one-sigma Wilson interval of refused / judged is at least the share."""
+    p = refused / judged
+    low = (p + 0.5 / judged - F.sqrt(p * (1 - p) / judged + 0.25 / (judged * judged))) / (1 + 1 / judged)
+    return low >= share - 1e-9
+
+
+def refusal_openings(said: DataFrame, refusal_labels: DataFrame, least_prompts: int = 3, least_share: float = 0.5) -> DataFrame:
     """Openings of the templates that recur under unrelated prompts and decline to answer.
 
-    A template declines if at least ``least_share`` of its judged responses are labelled refusals.
-    refusal_labels: request_id, refused (0 or 1).
+    A template declines if it has at least ``least_prompts`` different prompts and judged responses,
+    and the share of these that are labelled refusals is at least ``least_share`` even at the lower
+    end of its Wilson interval (3 of 3, 3 of 4, 6 of 9).  Without any label there are none.
+    said: request_id, prompt, opening.  refusal_labels: request_id, refused (0 or 1).
     """
-    said = checks.select("request_id", "prompt", F.explode(F.array_distinct("openings")).alias("opening")).join(refusal_labels, "request_id", "left")
-    counted = materialise(said.groupBy("opening").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged")), "openings")
+    said = materialise(said.join(refusal_labels, "request_id", "left"), "said")
+    counted = materialise(said.groupBy("opening").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused")), "openings")
     clusters = materialise(cluster_openings(counted), "clusters")
-    # a prompt or response with several openings of a cluster counts once: these sums are bounds
-    likely = counted.join(clusters, "opening").groupBy("cluster").agg(F.sum("prompts").alias("prompts"), F.sum("judged").alias("judged")).where((F.col("prompts") >= least_prompts) & (F.col("judged") >= least_prompts)).select("cluster")
+    # a prompt or response with several openings of a cluster counts once: the sums are upper bounds
+    # and the largest count a lower one, so no template is lost here
+    bounds = counted.join(clusters, "opening").groupBy("cluster").agg(F.sum("prompts").alias("prompts"), F.sum("refused").alias("refused"), F.max("judged").alias("judged"))
+    likely = bounds.where((F.col("prompts") >= least_prompts) & (F.col("refused") >= least_share * F.greatest(F.col("judged"), F.lit(least_prompts)))).select("cluster")
     kept = materialise(clusters.join(likely, "cluster"), "likely")
-    responses = said.join(kept, "opening").groupBy("cluster", "request_id").agg(F.first("prompt").alias("prompt"), F.first("refused").alias("refused"))
+    responses = semi_join_keys(said, kept.select("opening"), "opening").join(kept, "opening").groupBy("cluster", "request_id").agg(F.first("prompt").alias("prompt"), F.first("refused").alias("refused"))
     template = responses.groupBy("cluster").agg(F.count_distinct("prompt").alias("prompts"), F.count("refused").alias("judged"), F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"))
-    template = template.where((F.col("prompts") >= least_prompts) & (F.col("judged") >= least_prompts) & (F.col("refused") >= least_share * F.col("judged")))
+    template = template.where((F.col("prompts") >= least_prompts) & (F.col("judged") >= least_prompts) & _mostly(F.col("refused"), F.col("judged"), least_share))
     return kept.join(template, "cluster").select("opening", "cluster", "prompts", "judged", "refused")
 
 
@@ -347,11 +361,11 @@ def pair_defects(checks: DataFrame, refusal_labels: DataFrame) -> DataFrame:
     Order of the tests: empty, copies_question, refusal, wrong_language, truncated.
     """
     checks = materialise(checks, "checks")
-    templates = refusal_openings(checks, refusal_labels).select("opening").distinct()
-    by_template = checks.select("request_id", F.explode("openings").alias("opening")).join(templates, "opening", "left_semi").select("request_id").distinct().withColumn("template", F.lit(True))
-    refusal = F.coalesce("template", F.lit(False)) | F.col("declines")
-    defect = F.when(F.col("defect").isin("empty", "copies_question"), F.col("defect")).when(refusal, F.lit("refusal")).otherwise(F.col("defect"))
-    return checks.join(by_template, "request_id", "left").select("request_id", defect.alias("defect")).where("defect is not null")
+    said = materialise(response_openings(checks), "openings_of")
+    templates = materialise(refusal_openings(said, refusal_labels).select("opening").distinct(), "templates")
+    refusing = semi_join_keys(said, templates, "opening").select("request_id").distinct().withColumn("template", F.lit(True))
+    defect = F.when(F.col("defect").isin("empty", "copies_question"), F.col("defect")).when(F.col("template"), F.lit("refusal")).otherwise(F.col("defect"))
+    return checks.select("request_id", "defect").join(refusing, "request_id", "left").select("request_id", defect.alias("defect")).where("defect is not null")
 
 
 def refusal_labels(judged: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry, table
 from ..session import materialise
-from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings
+from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings, response_openings
 from .keyword_pages import flag_pages, scan_pages
 from .mixing import mix_plan, mix_report, select_copies, source_name
 from .neardup import JoinSpec, expand_pairs, near_duplicates
@@ -42,7 +42,7 @@ def p3_found(spark, folder):
 def p3_templates(spark, folder):
     """The recurring refusal templates with their counts."""
     checks = check_pairs(table(spark, folder, "request_captures"), "request_id", "raw_query", "final_answer", "stored_at")
-    return refusal_openings(materialise(checks, "checks"), refusal_labels(table(spark, folder, "judge_generation_results")))
+    return refusal_openings(response_openings(materialise(checks, "checks")), refusal_labels(table(spark, folder, "judge_generation_results")))
 
 
 def _term_counts(spark, folder):

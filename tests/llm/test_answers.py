@@ -1,5 +1,7 @@
 """Defects of prompt-response pairs."""
 
+import random
+
 import pytest
 
 from corpusmill.llm import answers as A
@@ -26,12 +28,11 @@ def test_asked_languages():
     assert A.check_pair(None, german) is None
 
 
-@pytest.mark.parametrize("answer, refuses", [
-    ("I'm sorry, but I can’t answer that from the context.", True), ("Leider kann ich diese Frage nicht beantworten.", True), ("Je ne peux pas répondre à cette question.", True), ("No tengo datos suficientes para contestar.", True),
-    ("The client receives 'unable to process the request' and retries.", False), ("I would not rely on this histogram here.", False), ("The follower cannot answer reads while it is down.", False), ("Sorry for the long answer, the short version is: yes.", False),
-])
-def test_wordings(answer, refuses):
-    assert A.declines(answer) is refuses
+def test_copies_of_any_number_and_length():
+    assert all(A.check_pair(Q, " ".join([Q] * n)) == "copies_question" for n in (4, 5, 40))
+    long = " ".join(f"word{i}" for i in range(20_000))
+    assert A.check_pair(long, long + " and more") == "copies_question"
+    assert A.check_pair(long, long[: len(long) // 2] + " " + COMPLETE) is None
 
 
 def test_templates_reveal_refusals(spark):
@@ -83,10 +84,65 @@ def test_variants_make_one_template(spark):
     d = spark.createDataFrame(rows, "request_id string, q string, a string, s timestamp")
     checks = A.check_pairs(d, "request_id", "q", "a", "s")
     labels = spark.createDataFrame([(r[0], 1) for r in rows], "request_id string, refused int")
-    got = A.refusal_openings(checks, labels).collect()
+    got = A.refusal_openings(A.response_openings(checks), labels).collect()
     assert len(got) == 4 and {(r.prompts, r.judged, r.refused) for r in got} == {(4, 4, 4)} and all("kindly" in r.opening for r in got)
 
 
+def _refusing(spark, rows, labels, **options):
+    checks = A.check_pairs(spark.createDataFrame(rows, "request_id string, q string, a string, s timestamp"), "request_id", "q", "a", "s")
+    labels = spark.createDataFrame(labels, "request_id string, refused int")
+    return {r.request_id for r in A.pair_defects(checks, labels).collect() if r.defect == "refusal"}
+
+
+def test_refusals_without_a_list_of_wordings(spark):
+    """Invented words decline, wherever they stand in the response, with a slot for the topic; every
+    second one is unjudged or judged wrongly.  Without labels, or with nothing that recurs, no
+    template is found."""
+    things = ["blue lamp", "old brass kettle", "garden wall", "north stair", "copper pipe", "paper crane", "oak table", "tin roof", "iron gate"]
+    ways = ["zorb glim nuvo tarsk the {} fenk", "Ombri, zorb glim nuvo tarsk a {} fenk", "zorb glim nuvo tarsk this {} fenk today"]
+    preamble = " ".join(f"Point {w} is made first." for w in "one two three four five six seven".split())
+    rows = [(f"r{i}", f"Where does the {t} stand?", f"{preamble if i % 2 else ''} {ways[i % 3].format(t)}.", None) for i, t in enumerate(things)]
+    rows += [(f"h{i}", f"Is this {t} safe?", f"{preamble} The {t} is safe, the warden of the house looks after it.", None) for i, t in enumerate(things)]
+    labels = [(f"r{i}", int(i != 4)) for i in range(9) if i != 2] + [(f"h{i}", int(i == 3)) for i in range(9)]
+    assert _refusing(spark, rows, labels) == {f"r{i}" for i in range(9)}
+    assert _refusing(spark, rows, labels[:0]) == set()
+    assert _refusing(spark, rows[:2] + rows[9:], labels) == set()
+
+
+def test_without_clusters_rows_are_lost(spark, monkeypatch):
+    rows = [(f"r{i}", f"What about {i}?", f"{w} kindly ask somebody else about this whole matter today.", None) for i, w in enumerate(["sadly", "truly", "surely", "well"])]
+    labels = [(r[0], 1) for r in rows]
+    assert len(_refusing(spark, rows, labels)) == 4
+    monkeypatch.setattr(A, "cluster_openings", lambda openings: openings.selectExpr("opening", "opening as cluster"))
+    assert _refusing(spark, rows, labels) == set()
+
+
+def test_recall_of_the_clusters(spark):
+    """Verified links against brute force over word sets, production parameters."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    openings = []
+    for _ in range(60):
+        core = rng.sample(vocabulary, rng.randint(4, 14))
+        for _ in range(8):
+            said = [w for w in core if rng.random() > 0.05] + ([rng.choice(vocabulary)] if rng.random() < 0.3 else [])
+            openings.append(" ".join(dict.fromkeys(said)))
+    openings = sorted({o for o in openings if o})
+    sets = [frozenset(o.split()) for o in openings]
+    got = {r.opening: r.cluster for r in A.cluster_openings(spark.createDataFrame([(o,) for o in openings], "opening string")).collect()}
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    met = sum(got[openings[a]] == got[openings[b]] for a, b in true)
+    assert len(true) > 300 and met >= 0.99 * len(true)
+
+
+def test_topic_words(spark):
+    """Words of the prompts are masked, by rates; a null question and answer take no part."""
+    rows = [(f"r{i}", f"What limits the {w}?", f"Sorry, nothing limits the {w} here.", None) for i, w in enumerate(["gate", "wall", "lamp"])] + [("n", None, None, None)]
+    checks = A.check_pairs(spark.createDataFrame(rows, "request_id string, q string, a string, s timestamp"), "request_id", "q", "a", "s")
+    assert {r.word for r in A.topic_words(checks).collect()} == {"what", "limits", "the", "gate", "wall", "lamp"}
+    assert {r.opening for r in A.response_openings(checks).collect()} == {"nothing here"}
+
+
 def test_p3_query(spark, small):
     from corpusmill.llm.queries import REGISTRY
 
