@@ -42,14 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in the distinct, materialised ``keys``.
+def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_KEYS, anti: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is (``anti``: isn't) in the distinct, materialised ``keys``.
 
     ``keys`` is broadcast only after counting that it has at most ``limit`` rows; a larger one
     goes through a shuffle join.
     """
     few = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_anti" if anti else "left_semi")
 
 
 def sweep(spark: SparkSession) -> None:
