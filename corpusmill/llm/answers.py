@@ -71,22 +71,28 @@ def is_empty(answer: str | None) -> bool:
     return not bare or bare in PLACEHOLDERS
 
 
-def _trigrams(text: str) -> Counter:
-    return Counter(t for w in words(text) for t in (f" {w} "[i : i + 3] for i in range(len(w))))
+def _trigrams(said: list[str]) -> Counter:
+    return Counter(t for w in said for t in (f" {w} "[i : i + 3] for i in range(len(w))))
 
 
 def is_copy(question: str, answer: str, similar: float = 0.75) -> bool:
     """The answer is the question, once or any number of times over, up to a few letters or a word,
     markup, quotes and a label in front.
 
-    The letter trigrams of the words are compared as multisets (Dice), those of the question as often
-    as the answer is longer, in time linear in both texts.
+    An answer with fewer than 0.4 of its letters in words of the question is none.  Otherwise the
+    letter trigrams of the words are compared as multisets (Dice), those of the question as often as
+    the answer is longer.  Time is linear in both texts.
     """
     labelled = _LABELLED.match(answer)
-    asked = [_trigrams(q) for q in dict.fromkeys((question, _ASKED.sub("", question)))]
+    known = frozenset(words(question))
+    asked: list[Counter] = []
     for text in dict.fromkeys((labelled.group(2) if labelled else answer, _PREFIX.sub("", answer))):
-        said = _trigrams(text)
+        w = words(text)
+        if sum(len(x) for x in w if x in known) < 0.4 * sum(map(len, w)):
+            continue
+        said = _trigrams(w)
         n = said.total()
+        asked = asked or [_trigrams(words(q)) for q in dict.fromkeys((question, _ASKED.sub("", question)))]
         for q in asked:
             m = q.total()
             if n and m:
@@ -305,7 +311,7 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8, bands: int = 32, rows: int = 8) -> DataFrame:
+def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
     """``opening``, ``cluster`` (its smallest opening) of the distinct openings.
 
     Openings are linked if MinHash puts them in one bucket and their sets of words (``width`` words in
@@ -314,12 +320,16 @@ def cluster_openings(openings: DataFrame, width: int = 1, threshold: float = 0.8
     """
     source = materialise(openings.select("opening").distinct().select(F.xxhash64("opening").alias("id"), "opening"), "distinct")
     signed = materialise(source.mapInArrow(_signatures(width, bands, rows), "id long, shingles array<long>, bands array<long>"), "signed")
-    buckets = signed.select("id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").select(F.array_sort("ids").alias("ids")).distinct()
-    blocks = F.ceil(F.size("ids") / F.lit(BLOCK)).cast("int")
-    pairs = buckets.select("ids", blocks.alias("n")).select("ids", "n", F.explode(F.expr("sequence(0, greatest(0, n - 2))")).alias("i"))
-    pairs = pairs.select("ids", "n", "i", F.explode(F.expr("sequence(if(n = 1, 0, i + 1), n - 1)")).alias("j"))
-    part = F.expr(f"if(n = 1, ids, concat(slice(ids, i * {BLOCK} + 1, {BLOCK}), slice(ids, j * {BLOCK} + 1, {BLOCK})))")
-    members = pairs.select(part.alias("ids")).select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")).join(signed.select("id", "shingles"), "id")
+    placed = signed.select("id", F.explode("bands").alias("band"))
+    large = materialise(placed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / F.lit(BLOCK)).alias("k")), "large")
+    parts = placed
+    if not large.isEmpty():
+        parts = semi_join_keys(placed, large.select("band"), "band", anti=True)
+        mine, other = F.pmod("id", "k"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+        cells = semi_join_keys(placed, large.select("band"), "band").join(large, "band").select("id", "band", mine.alias("i"), other.alias("j"))
+        parts = parts.unionByName(cells.select("id", F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("band")))
+    buckets = parts.groupBy("band").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").select(F.array_sort("ids").alias("ids")).distinct()
+    members = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")).join(signed.select("id", "shingles"), "id")
     near = members.groupBy("bucket").agg(F.collect_list(F.struct("id", "shingles")).alias("members")).select("members").mapInArrow(_links(threshold), "a long, b long")
     linked = source.join(components(near), F.col("id") == F.col("node")).select("opening", "root")
     names = linked.groupBy("root").agg(F.min("opening").alias("cluster"))
