@@ -56,6 +56,7 @@ _LABELLED = re.compile(r"(?is)^\s*(?:question|frage|pregunta|q)\s*:\s*(.*?)\n\s*
 _PREFIX = re.compile(r"^\W*[^\W\d_][^:\n]{0,30}:\s*(?=\S)")
 _ASKED = re.compile(r"[\s(,;.?]*(?:please\s+)?(?:answer|reply|respond|write|bitte|antworte|responde|réponds|répondez)\b[^.?!()]{0,40}[.)]?\s*$", re.I)
 _CLAUSE = re.compile(r"[,;:()]\s+|\s[–—-]\s")
+HELD = 1_000_000  # sets and pairs that a task remembers between buckets
 BLOCK = 1024  # members of a bucket that are compared in one row
 CHECK_SCHEMA = "request_id string, stamp timestamp, prompt long, defect string, asked array<string>, clauses array<string>"
 
@@ -265,29 +266,56 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _links(threshold: float):
-    """Edges that join the members of each bucket which verified similarities connect."""
+    """Edges that join the members of each bucket which verified similarities connect.
+
+    What a task has already connected, or compared in vain, in one bucket isn't compared in another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        said: dict[int, frozenset] = {}
+        vain: set[tuple[int, int]] = set()
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def similar(a: int, b: int) -> bool:
+            pair = (a, b) if a < b else (b, a)
+            if pair in vain:
+                return False
+            x, y = said[a], said[b]
+            small, large = sorted((len(x), len(y)))
+            common = len(x & y) if small >= threshold * large - 1e-9 else 0
+            if common and common >= threshold * (small + large - common) - 1e-9:
+                return True
+            vain.add(pair)
+            return False
+
         for batch in batches:
-            found = set()
-            for bucket in batch["members"].to_pylist():
-                rest = [(m["id"], frozenset(m["shingles"])) for m in bucket]
-                while rest:
-                    seed, *rest = rest
-                    reached = [seed]
-                    while reached and rest:
-                        _, said = reached.pop()
-                        far = []
-                        for other in rest:
-                            small, large = sorted((len(said), len(other[1])))
-                            common = len(said & other[1]) if small >= threshold * large - 1e-9 else 0
-                            if common and common >= threshold * (small + large - common) - 1e-9:
-                                reached.append(other)
-                                found.add((seed[0], other[0]))
-                            else:
-                                far.append(other)
-                        rest = far
-            yield pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            edges: list[tuple[int, int]] = []
+            members = batch["members"]
+            ids = members.values.field("id").to_pylist()
+            shingles = members.values.field("shingles")
+            at, starts, values = members.offsets.to_pylist(), shingles.offsets.to_pylist(), shingles.values.to_numpy()
+            for x, i, j in zip(ids, starts, starts[1:]):
+                if x not in said:
+                    said[x] = frozenset(values[i:j].tolist())
+            for first, last in zip(at, at[1:]):
+                groups: dict[int, list[int]] = {}
+                for x in ids[first:last]:
+                    groups.setdefault(root(x), []).append(x)
+                done: list[list[int]] = []
+                for group in groups.values():
+                    for other in done:
+                        if root(group[0]) != root(other[0]) and any(similar(a, b) for a in group for b in other):
+                            edges.append((group[0], other[0]))
+                            parent[root(group[0])] = root(other[0])
+                    done.append(group)
+            yield pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(said) + len(vain) > HELD:
+                parent, said, vain = {}, {}, set()
 
     return run
 
