@@ -10,6 +10,7 @@ a refusal where the judge's labels of its responses mostly say so.  No list of w
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,7 +57,7 @@ _LABELLED = re.compile(r"(?is)^\s*(?:question|frage|pregunta|q)\s*:\s*(.*?)\n\s*
 _PREFIX = re.compile(r"^\W*[^\W\d_][^:\n]{0,30}:\s*(?=\S)")
 _ASKED = re.compile(r"[\s(,;.?]*(?:please\s+)?(?:answer|reply|respond|write|bitte|antworte|responde|réponds|répondez)\b[^.?!()]{0,40}[.)]?\s*$", re.I)
 _CLAUSE = re.compile(r"[,;:()]\s+|\s[–—-]\s")
-HELD = 1_000_000  # sets and pairs that a task remembers between buckets
+HELD = 500_000  # sets that a task remembers between buckets
 BLOCK = 1024  # members of a bucket that are compared in one row
 CHECK_SCHEMA = "request_id string, stamp timestamp, prompt long, defect string, asked array<string>, clauses array<string>"
 
@@ -268,31 +269,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _links(threshold: float):
     """Edges that join the members of each bucket which verified similarities connect.
 
-    What a task has already connected, or compared in vain, in one bucket isn't compared in another.
+    Within a bucket only sets that share a word of their prefixes (rarest words of the bucket first)
+    can be similar enough; of these, what the task has already connected isn't compared again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
-        said: dict[int, frozenset] = {}
-        vain: set[tuple[int, int]] = set()
+        said: dict[int, list] = {}
 
         def root(x: int) -> int:
             while (up := parent.setdefault(x, x)) != x:
                 parent[x] = x = parent[up]
             return x
 
-        def similar(a: int, b: int) -> bool:
-            pair = (a, b) if a < b else (b, a)
-            if pair in vain:
-                return False
-            x, y = said[a], said[b]
-            small, large = sorted((len(x), len(y)))
-            common = len(x & y) if small >= threshold * large - 1e-9 else 0
-            if common and common >= threshold * (small + large - common) - 1e-9:
-                return True
-            vain.add(pair)
-            return False
-
         for batch in batches:
             edges: list[tuple[int, int]] = []
             members = batch["members"]
@@ -301,21 +290,28 @@ def _links(threshold: float):
             at, starts, values = members.offsets.to_pylist(), shingles.offsets.to_pylist(), shingles.values.to_numpy()
             for x, i, j in zip(ids, starts, starts[1:]):
                 if x not in said:
-                    said[x] = frozenset(values[i:j].tolist())
+                    said[x] = values[i:j].tolist()
             for first, last in zip(at, at[1:]):
-                groups: dict[int, list[int]] = {}
-                for x in ids[first:last]:
-                    groups.setdefault(root(x), []).append(x)
-                done: list[list[int]] = []
-                for group in groups.values():
-                    for other in done:
-                        if root(group[0]) != root(other[0]) and any(similar(a, b) for a in group for b in other):
-                            edges.append((group[0], other[0]))
-                            parent[root(group[0])] = root(other[0])
-                    done.append(group)
+                bucket = ids[first:last]
+                if len({root(x) for x in bucket}) == 1:
+                    continue
+                often = Counter(w for x in bucket for w in said[x])
+                having: dict[int, list[tuple[int, frozenset]]] = {}
+                for x in bucket:
+                    own = sorted(said[x], key=often.__getitem__)
+                    n, words_of = len(own), frozenset(own)
+                    for w in own[: n - math.ceil(threshold * n - 1e-9) + 1]:
+                        met = having.setdefault(w, [])
+                        for y, other in met:
+                            if parent[x] != parent[y] and root(x) != root(y):
+                                common = len(words_of & other)
+                                if common >= threshold * (n + len(other) - common) - 1e-9:
+                                    edges.append((x, y))
+                                    parent[root(x)] = root(y)
+                        met.append((x, words_of))
             yield pa.record_batch([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            if len(said) + len(vain) > HELD:
-                parent, said, vain = {}, {}, set()
+            if len(said) > HELD:
+                parent, said = {}, {}
 
     return run
 
