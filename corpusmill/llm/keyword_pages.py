@@ -2,12 +2,16 @@
 
 Every page's rank-frequency curve (log frequency over log rank of its words) is fitted with SQL
 windows.  Prose pages (few words outside sentences) of the same language and comparable length say
-what prose looks like, however many other pages there are; a page whose slope, residual or divergence (of its share of function words) lies far from theirs is flagged.
-An exact reading of a flagged page then counts the words that stand outside sentences.
+what prose looks like, however many other pages there are: the quartiles of their curves, and how
+often they use each of their frequent words.  A page whose slope, residual or variety lies far from
+theirs, or whose words diverge from theirs (Jensen-Shannon), is flagged; no other page is spam.
+Honest lists and steps are flagged too, so an exact reading of the flagged pages follows, which
+counts the words that stand outside sentences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +33,9 @@ _CODE_LINE = re.compile(r"^\s*(?:[$>]\s+\S|(?:ctl|sudo|kubectl|curl|ssh|git|expo
 _SETTING = re.compile(r"^\s*[\w.\-]+\s*[:=]\s*[\w.\-/%\"']+\s*$")
 _FUNCTION = frozenset().union(*_WORDS.values())
 _TAGGED = re.compile(r"^\s*(?:tags?|keywords?|labels?|categor(?:y|ies)|schlagw[oö]rter|stichw[oö]rter|mots[- ]cl[eé]s|etiquetas|palabras clave)\s*:", re.I)
-SCAN_SCHEMA = "doc_id long, stamp timestamp, text_hash long, lang string, words int, spectrum array<struct<f:int,c:int>>, function_share double, outside double"
+SCAN_SCHEMA = "doc_id long, stamp timestamp, text_hash long, lang string, words int, spectrum array<struct<f:int,c:int>>, outside double, size int, word string, n long"
+#: Words a task holds before it hands on its partial counts.
+HELD_WORDS = 400_000
 
 
 def _lines(text: str) -> Iterator[tuple[str, bool]]:
@@ -119,34 +125,135 @@ def _is_stuffed(got: list[str], phrases: set, keywords: set) -> bool:
     return share >= 0.4 or repeated
 
 
-def _language(counts: Counter) -> tuple[str | None, int]:
+def _language(counts: Counter) -> str | None:
     score = {lang: sum([counts[w] for w in known & counts.keys()]) for lang, known in _WORDS.items()}
     best = max(score, key=score.get)
-    return (best, score[best]) if score[best] else (None, 0)
+    return best if score[best] else None
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in SCAN_SCHEMA.replace("array<struct<f:int,c:int>>", "x").split(", ")]
-    types = [pa.int64(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct([("f", pa.int32()), ("c", pa.int32())])), pa.float64(), pa.float64()]
-    for batch in batches:
-        rows = []
-        for doc, stamp, text_hash, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "stamp", "text_hash", "text"))):
-            found = _WORD.findall(text.lower())
-            counts = Counter(found)
-            lang, known = _language(counts)
-            spectrum = [{"f": f, "c": c} for f, c in sorted(Counter(counts.values()).items(), reverse=True)]
-            outside, total = words_outside(text)
-            rows.append((doc, stamp, text_hash, lang, len(found), spectrum, known / len(found) if found else 0.0, outside / total if total else 0.0))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+def _size(words: int) -> int:
+    """The power of two below the number of words."""
+    return words.bit_length() - 1
 
 
-def scan_pages(documents: DataFrame) -> DataFrame:
-    """One row a document with its word-frequency spectrum (of a key delivered several times the
-    latest fetch, ties by text hash).  Null keys and texts are left out."""
-    source = documents.where("doc_id is not null and text is not null").select("doc_id", F.col("fetched_at").cast("timestamp").alias("stamp"), F.xxhash64("text").alias("text_hash"), "text")
-    scanned = source.mapInArrow(_scan, SCAN_SCHEMA)
-    newest = F.max_by(F.struct("lang", "words", "spectrum", "function_share", "outside"), F.struct(F.coalesce("stamp", F.timestamp_micros(F.lit(0))), "text_hash"))
-    return scanned.groupBy("doc_id").agg(newest.alias("p")).select("doc_id", "p.*")
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("stamp", pa.timestamp("us", tz="UTC")), ("text_hash", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("spectrum", pa.list_(pa.struct([("f", pa.int32()), ("c", pa.int32())]))), ("outside", pa.float64()), ("size", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _scan(prose: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: dict[tuple, Counter] = {}
+
+        def hand_on() -> pa.RecordBatch:
+            return _batch([(None, None, None, lang, None, None, None, size, w, n) for (lang, size), counts in used.items() for w, n in counts.items()], _SCANNED)
+
+        for batch in batches:
+            rows = []
+            for doc, stamp, text_hash, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "stamp", "text_hash", "text"))):
+                found = _WORD.findall(text.lower())
+                counts = Counter(found)
+                lang = _language(counts)
+                spectrum = [{"f": f, "c": c} for f, c in sorted(Counter(counts.values()).items(), reverse=True)]
+                outside, total = words_outside(text)
+                share = outside / total if total else 0.0
+                if lang is not None and share <= prose:
+                    cell = used.setdefault((lang, _size(len(found))), Counter())
+                    cell.update(counts)
+                rows.append((doc, stamp, text_hash, lang, len(found), spectrum, share, _size(len(found)), None, None))
+            yield _batch(rows, _SCANNED)
+            if sum(map(len, used.values())) > HELD_WORDS:
+                yield hand_on()
+                used = {}
+        yield hand_on()
+
+    return run
+
+
+def _source(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null and text is not null").select("doc_id", F.col("fetched_at").cast("timestamp").alias("stamp"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def prose_usage(counted: DataFrame, floor: float) -> dict[tuple, dict[str, float]]:
+    """The share of each word among all words of prose, by (language, size), (language, None) and
+    (None, None).
+
+    Words below ``floor`` are left to the rest, so each level has at most 1 / floor words.  counted:
+    lang, size, word, n.
+    """
+    levels = counted.groupingSets([["lang", "size", "word"], ["lang", "word"], ["word"]], "lang", "size", "word").agg(F.sum("n").alias("n"))
+    total = counted.groupingSets([["lang", "size"], ["lang"], []], "lang", "size").agg(F.sum("n").alias("total"))
+    same = (F.col("a.lang").eqNullSafe(F.col("b.lang"))) & (F.col("a.size").eqNullSafe(F.col("b.size")))
+    shares = levels.alias("a").join(F.broadcast(total.alias("b")), same).where(F.col("n") >= floor * F.col("total")).select("a.lang", "a.size", "word", (F.col("n") / F.col("total")).alias("share"))
+    out: dict[tuple, dict[str, float]] = {}
+    for row in shares.collect():  # at most 1 / floor words of each language and power of two
+        out.setdefault((row["lang"], row["size"]), {})[row["word"]] = row["share"]
+    return out
+
+
+def divergence(counts: Counter, usage: dict[str, float], used: float) -> float:
+    """Jensen-Shannon divergence in bits between a page's words and a usage, whose listed words have
+    the share ``used``; all words that the usage doesn't list are one.
+
+    A listed word that the page lacks adds its own share, so only the page's words are gone through.
+    """
+    n, bits, listed = counts.total(), used, 0.0
+    for w, c in counts.items():
+        q = usage.get(w)
+        if q:
+            p = c / n
+            listed += p
+            bits += p * math.log2(2 * p / (p + q)) + q * (math.log2(2 * q / (p + q)) - 1)
+    p, q = max(0.0, 1 - listed), max(0.0, 1 - used)
+    bits += (p * math.log2(2 * p / (p + q)) if p > 1e-12 else 0.0) + (q * math.log2(2 * q / (p + q)) if q > 1e-12 else 0.0)
+    return bits / 2
+
+
+def _diverge(shared):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("divergence", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usage = {k: (v, sum(v.values())) for k, v in shared.value.items()}
+        for batch in batches:
+            rows = []
+            for doc, text_hash, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text"))):
+                counts = Counter(_WORD.findall(text.lower()))
+                if counts:
+                    lang = _language(counts)
+                    like = usage.get((lang, _size(counts.total()))) or usage.get((lang, None)) or usage.get((None, None)) or ({}, 0.0)
+                    rows.append((doc, text_hash, divergence(counts, *like)))
+            yield _batch(rows, schema)
+
+    return run
+
+
+def scan_pages(documents: DataFrame, prose: float = 0.25, floor: float = 1e-3, least_words: int = 10_000) -> DataFrame:
+    """One row a document with its word-frequency spectrum, its divergence from prose and the share
+    of its words outside sentences (of a key delivered several times the latest fetch, ties by text
+    hash).  Null keys and texts are left out.
+
+    Prose is compared at the page's language and length where its pages there have ``least_words``
+    words, else at its language, else with all prose; every delivery of a prose page speaks for it.
+    """
+    spark = documents.sparkSession
+    source = _source(documents)
+    scanned = materialise(source.mapInArrow(_scan(prose), SCAN_SCHEMA), "pages")
+    usage = prose_usage(scanned.where("doc_id is null").select("lang", "size", "word", "n"), floor)
+    ample = scanned.where("doc_id is null").groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()  # a row for each language and power of two
+    for row in ample:
+        if row["n"] < least_words:
+            usage.pop((row["lang"], row["size"]), None)
+    diverging = source.select("doc_id", "text_hash", "text").mapInArrow(_diverge(spark.sparkContext.broadcast(usage)), "doc_id long, text_hash long, divergence double")
+    # both rows of a text meet in the aggregation that picks a key's latest delivery
+    pages = scanned.where("doc_id is not null").select("doc_id", "text_hash", "stamp", "lang", "words", "spectrum", "outside", F.lit(None).cast("double").alias("divergence"))
+    diverging = diverging.select("doc_id", "text_hash", *[F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("stamp", "lang", "words", "spectrum", "outside")], "divergence")
+    own = F.max_by(F.struct("stamp", "lang", "words", "spectrum", "outside"), F.when(F.col("words").isNotNull(), F.coalesce("stamp", F.timestamp_micros(F.lit(0))))).alias("p")
+    texts = pages.unionByName(diverging).groupBy("doc_id", "text_hash").agg(own, F.max("divergence").alias("divergence"))
+    newest = F.max_by(F.struct("p.lang", "p.words", "p.spectrum", "divergence", "p.outside"), F.struct(F.coalesce("p.stamp", F.timestamp_micros(F.lit(0))), "text_hash"))
+    return texts.groupBy("doc_id").agg(newest.alias("p")).select("doc_id", "p.*")
 
 
 def fit_curves(pages: DataFrame) -> DataFrame:
@@ -177,12 +284,13 @@ def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, hal
     Peers are the prose pages (at most ``prose`` of the words outside sentences) of the same language
     and of a length within the same power of two; with fewer than ``least_peers`` those of the
     language are, then all prose pages.  A page is flagged if slope, residual or variety lies more
-    than ``spread`` robust deviations from its peers' median, if its share of function words is below
-    three quarters of theirs, if it has no language at all, or if there is no prose to compare with.
+    than ``spread`` robust deviations from its peers' median, if its divergence from prose lies as far
+    above theirs, or if there is no prose to compare with.  A page is spam if it is flagged and the
+    exact reading finds more than ``half`` of its words outside sentences.
     """
-    curves = pages.select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("size"), "words", "function_share", "outside").where("words > 0").join(fit_curves(pages), "doc_id")
+    curves = pages.select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("size"), "words", "divergence", "outside").where("words > 0").join(fit_curves(pages), "doc_id")
     curves = materialise(curves, "curves")
-    measures = ["slope", "residual", "variety", "function_share"]
+    measures = ["slope", "residual", "variety", "divergence"]
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in measures]
     levels = curves.where(F.col("outside") <= prose).groupingSets([["lang", "size"], ["lang"], []], "lang", "size").agg(F.count("*").alias("peers"), *quartiles)
     levels = levels.where((F.col("peers") >= least_peers) | (F.col("lang").isNull() & F.col("size").isNull()))
@@ -196,7 +304,7 @@ def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, hal
 
     def far(m: str):
         low, mid_, high = (F.col(f"peers.{m}")[i] for i in range(3))
-        return F.abs(F.col(m) - mid_) > spread * F.greatest(high - low, F.lit(0.02)) / 1.35
+        return (F.col(m) - mid_) / (F.greatest(high - low, F.lit(0.02)) / 1.35)
 
-    flagged = far("slope") | far("residual") | far("variety") | (F.col("function_share") < 0.75 * F.col("peers.function_share")[1]) | (F.col("lang") == "?")
-    return joined.select("doc_id", "lang", "words", "slope", "residual", "variety", "function_share", "outside", F.coalesce(flagged, F.lit(True)).alias("flagged")).withColumn("spam", F.col("flagged") & (F.col("outside") > half))
+    flagged = (F.abs(far("slope")) > spread) | (F.abs(far("residual")) > spread) | (F.abs(far("variety")) > spread) | (far("divergence") > spread)
+    return joined.select("doc_id", "lang", "words", "slope", "residual", "variety", "divergence", "outside", F.coalesce(flagged, F.lit(True)).alias("flagged")).withColumn("spam", F.col("flagged") & (F.col("outside") > half))

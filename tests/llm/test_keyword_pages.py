@@ -1,6 +1,8 @@
 """Pages without sentences."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 
@@ -65,9 +67,35 @@ def test_spam_without_any_prose(spark):
     assert K.flag_pages(K.scan_pages(d)).where("spam").count() == 40
 
 
+def test_divergence():
+    """Against the definition over all words, the unlisted ones as one."""
+    usage = {"the": 0.3, "a": 0.2, "lease": 0.1}
+    counts = Counter({"the": 2, "lease": 1, "cheap": 5})
+    p = {"the": 2 / 8, "a": 0.0, "lease": 1 / 8, None: 5 / 8}
+    q = {**usage, None: 0.4}
+    half = lambda x, y: sum(x[w] * math.log2(2 * x[w] / (x[w] + y[w])) for w in x if x[w])
+    assert abs(K.divergence(counts, usage, 0.6) - (half(p, q) + half(q, p)) / 2) < 1e-12
+    assert K.divergence(Counter({"x": 3}), {}, 0.0) == 0.0 and abs(K.divergence(Counter({"the": 1}), {"the": 1.0}, 1.0)) < 1e-12
+
+
+def test_the_curve_decides(spark):
+    """Prose whose sentences have no full stops reads like a list, but its words are those of prose
+    of its language and length: it is no spam.  Without the flag it would be."""
+    rng = random.Random(3)
+    parts = ["the leader sends every write to the followers", "a follower that is down asks for the log", "the lease of the leader ends after a while", "each write waits until the log is stored", "it answers when most of the followers have the write", "an old log is removed after a snapshot"]
+    rows = [(i, " ".join(f"{rng.choice(parts).capitalize()} in round {rng.randint(1, 99)}." for _ in range(14)), None) for i in range(80)]
+    rows += [(100 + i, "\n".join(f"{rng.choice(parts)} in round {rng.randint(1, 99)}" for _ in range(14)), None) for i in range(5)]
+    rows += [(200 + i, "\n".join(f"cheap cache, best lease store {rng.randint(1, 99)}, buy log online" for _ in range(14)), None) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fetched_at timestamp")
+    pages = K.scan_pages(d)
+    assert {r.doc_id for r in K.flag_pages(pages).where("spam").collect()} == set(range(200, 205))
+    assert {r.doc_id for r in pages.where("outside > 0.5").collect()} == {*range(100, 105), *range(200, 205)}
+    assert {r.doc_id for r in K.flag_pages(pages, spread=1e9).where("spam").collect()} == set()
+
+
 def test_p8_query(spark, small):
     from corpusmill.llm.queries import REGISTRY
 
     got = REGISTRY.queries["p8_found"](spark, small)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    assert got.columns == ["doc_id"] and {r.doc_id for r in got.collect()} == {k for k, t in texts.items() if t and share(t) > 0.5}
+    assert got.columns == ["doc_id"] and {r.doc_id for r in got.collect()} <= {k for k, t in texts.items() if t and share(t) > 0.5} and not got.isEmpty()
