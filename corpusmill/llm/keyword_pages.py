@@ -285,7 +285,8 @@ def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, hal
     and of a length within the same power of two; with fewer than ``least_peers`` those of the
     language are, then all prose pages.  A page is flagged if slope, residual or variety lies more
     than ``spread`` robust deviations from its peers' median, if its divergence from prose lies as far
-    above theirs, or if there is no prose to compare with.  A page is spam if it is flagged and the
+    above theirs, or if there is no prose of its language to compare with, as it has no language's
+    words or no page is prose.  A page is spam if it is flagged and the
     exact reading finds more than ``half`` of its words outside sentences.
     """
     curves = pages.select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), F.floor(F.log2(F.col("words").cast("double"))).cast("int").alias("size"), "words", "divergence", "outside").where("words > 0").join(fit_curves(pages), "doc_id")
@@ -306,5 +307,5 @@ def flag_pages(pages: DataFrame, spread: float = 2.0, least_peers: int = 30, hal
         low, mid_, high = (F.col(f"peers.{m}")[i] for i in range(3))
         return (F.col(m) - mid_) / (F.greatest(high - low, F.lit(0.02)) / 1.35)
 
-    flagged = (F.abs(far("slope")) > spread) | (F.abs(far("residual")) > spread) | (F.abs(far("variety")) > spread) | (far("divergence") > spread)
+    flagged = (F.abs(far("slope")) > spread) | (F.abs(far("residual")) > spread) | (F.abs(far("variety")) > spread) | (far("divergence") > spread) | (F.col("lang") == "?")
     return joined.select("doc_id", "lang", "words", "slope", "residual", "variety", "divergence", "outside", F.coalesce(flagged, F.lit(True)).alias("flagged")).withColumn("spam", F.col("flagged") & (F.col("outside") > half))
