@@ -85,7 +85,7 @@ def test_the_curve_decides(spark):
     parts = ["the leader sends every write to the followers", "a follower that is down asks for the log", "the lease of the leader ends after a while", "each write waits until the log is stored", "it answers when most of the followers have the write", "an old log is removed after a snapshot"]
     rows = [(i, " ".join(f"{rng.choice(parts).capitalize()} in round {rng.randint(1, 99)}." for _ in range(14)), None) for i in range(80)]
     rows += [(100 + i, "\n".join(f"{rng.choice(parts)} in round {rng.randint(1, 99)}" for _ in range(14)), None) for i in range(5)]
-    rows += [(200 + i, "\n".join(f"cheap cache, best lease store {rng.randint(1, 99)}, buy log online" for _ in range(14)), None) for i in range(5)]
+    rows += [(200 + i, "\n".join(f"cheap cache and best lease for the store {rng.randint(1, 99)}, buy log online" for _ in range(14)), None) for i in range(5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, fetched_at timestamp")
     pages = K.scan_pages(d)
     assert {r.doc_id for r in K.flag_pages(pages).where("spam").collect()} == set(range(200, 205))
