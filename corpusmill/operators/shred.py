@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "key string, stamp long, delivery long, field string, node int, parent int, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema([("key", pa.string()), ("stamp", pa.int64()), ("delivery", pa.int64()), ("field", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
 _ROWS_AT_ONCE = 20_000
+_blank = re.compile(r"[ \t\n\r]*").match
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity").match
 
 
 class _Pairs(list):
@@ -27,7 +29,71 @@ class _Pairs(list):
 
 
 def _load(text: str):
-    return json.loads(text, object_pairs_hook=_Pairs)
+    try:
+        return json.loads(text, object_pairs_hook=_Pairs)
+    except RecursionError:
+        return _load_deep(text)
+
+
+def _load_deep(text: str):
+    """The value of a JSON text nested too deeply for the parser, read with a stack of our own."""
+    root: list = []
+    open_: list[tuple[list, str | None]] = []
+    at = _blank(text, 0).end()
+
+    def expect(mark: str) -> None:
+        nonlocal at
+        if text[at : at + 1] != mark:
+            raise ValueError(f"{mark} expected at {at}")
+        at = _blank(text, at + 1).end()
+
+    def key() -> str:
+        nonlocal at
+        if text[at : at + 1] != '"':
+            raise ValueError(f"key expected at {at}")
+        name, at = json.decoder.scanstring(text, at + 1)
+        at = _blank(text, at).end()
+        expect(":")
+        return name
+
+    def put(value) -> None:
+        box, name = open_[-1] if open_ else (root, None)
+        box.append((name, value) if isinstance(box, _Pairs) else value)
+
+    while True:
+        mark = text[at : at + 1]
+        if mark in ("{", "["):
+            box = _Pairs() if mark == "{" else []
+            put(box)
+            expect(mark)
+            open_.append((box, None))
+            if text[at : at + 1] != ("}" if mark == "{" else "]"):
+                if mark == "{":
+                    open_[-1] = (box, key())
+                continue
+        elif mark == '"':
+            value, at = json.decoder.scanstring(text, at + 1)
+            put(value)
+        else:
+            scalar = _SCALAR(text, at)
+            if not scalar:
+                raise ValueError(f"value expected at {at}")
+            put(json.loads(scalar.group()))
+            at = scalar.end()
+        while True:  # behind a value
+            at = _blank(text, at).end()
+            if not open_:
+                if at < len(text):
+                    raise ValueError(f"more than one value, at {at}")
+                return root[0]
+            box = open_[-1][0]
+            if box and text[at : at + 1] == ",":
+                expect(",")
+                if isinstance(box, _Pairs):
+                    open_[-1] = (box, key())
+                break
+            expect("}" if isinstance(box, _Pairs) else "]")
+            open_.pop()
 
 
 def _open(value):
@@ -39,7 +105,7 @@ def _open(value):
             return value
         try:
             inner = _load(inner)
-        except (ValueError, RecursionError):
+        except ValueError:
             return value
     return inner if isinstance(inner, list) else value
 
@@ -47,13 +113,13 @@ def _open(value):
 def shred_text(text: str | None) -> list[tuple]:
     """Nodes ``(node, parent, label, ordinal, kind, scalar)`` of a JSON text in reading order.
 
-    None, blank and incomplete texts (and ones nested too deeply for the parser) have no nodes.
+    None, blank and incomplete texts have no nodes; no depth of nesting is too deep.
     """
     if text is None:
         return []
     try:
         root = _load(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return []
     out: list[tuple] = []
     stack = [(root, -1, None, 0)]
@@ -85,8 +151,10 @@ def _run(fields: list[str]):
             keys, stamps, deliveries = (batch[c].to_pylist() for c in ("key", "stamp", "delivery"))
             for i, texts in enumerate(zip(*(batch[f"f{k}"].to_pylist() for k in range(len(fields))))):
                 head = (keys[i], stamps[i], deliveries[i])
+                rows.append((*head, None, -1, -1, None, 0, "delivery", None))
                 for field, text in zip(fields, texts):
-                    rows.extend((*head, field, *node) for node in shred_text(text))
+                    nodes = shred_text(text) or [(-1, -1, None, 0, "reject", "unreadable" if text and text.strip() else "absent")]
+                    rows.extend((*head, field, *node) for node in nodes)
                 if len(rows) >= _ROWS_AT_ONCE:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
                     rows = []
@@ -100,8 +168,10 @@ def shred(df: DataFrame, key: str, fields: list[str], stamp: str | None = None)
     """The adjacency table of the JSON text columns ``fields``.
 
     ``stamp`` (a timestamp) tells repeated deliveries of a key apart; ``delivery`` names one
-    delivery by content, so exact repeats have the same nodes.  Rows without a key are left out.
-    Other columns are ignored.
+    delivery by content, so exact repeats have the same nodes.  Every row has a node -1 of kind
+    ``delivery`` without a field, and one of kind ``reject`` for each field without nodes, whose scalar
+    says why: ``absent`` (null or blank) or ``unreadable`` (no complete JSON).  Rows without a key are
+    left out.  Other columns are ignored.
     """
     when = F.unix_micros(F.col(stamp).cast("timestamp")) if stamp else F.lit(0)
     source = df.where(F.col(key).isNotNull()).select(
@@ -126,14 +196,14 @@ def entities(nodes: DataFrame, labels: dict[str, list[str]], numbers_of: str | N
     in ``numbers`` (numbers stored as text count).  Exact repeats of a delivery fall together.
     """
     at = ["key", "stamp", "delivery", "field"]
-    is_object = F.col("kind") == "object"
-    tagged = nodes.where("kind in ('object', 'string', 'number', 'boolean')").withColumn("plain", plain(F.col("label")))
+    is_object = F.col("kind").isin("object", "delivery")
+    tagged = nodes.where("kind in ('delivery', 'object', 'string', 'number', 'boolean')").withColumn("plain", plain(F.col("label")))
     wanted = {x for names in labels.values() for x in names}
     keep = is_object | F.col("plain").isin(sorted(wanted))
     number = F.when(F.col("kind").isin("string", "number"), F.expr(r"case when trim(scalar) rlike '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then try_cast(trim(scalar) as double) end"))
     if numbers_of is not None:
         keep = keep | ((F.col("field") == numbers_of) & number.isNotNull())
-    filled = ~F.col("kind").isin("object", "boolean") & F.expr(r"scalar rlike '(?U)\\S'")
+    filled = ~F.col("kind").isin("object", "delivery", "boolean") & F.expr(r"scalar rlike '(?U)\\S'")
     columns = [F.min_by("scalar", F.when(F.col("plain").isin(names) & filled, F.col("node"))).alias(c) for c, names in labels.items()]
     present = [F.coalesce(F.max(F.when(~is_object, F.col("plain").isin(names))), F.lit(False)).alias(f"has_{c}") for c, names in labels.items()]
     if numbers_of is not None:
@@ -146,6 +216,9 @@ def entities(nodes: DataFrame, labels: dict[str, list[str]], numbers_of: str | N
 
 
 def latest_delivery(rows: DataFrame) -> DataFrame:
-    """Of each key only the rows of its last delivery (ties: the smaller delivery name)."""
+    """Of each key only the rows of its last delivery (ties: the smaller delivery name).
+
+    Nodes -1 speak for the deliveries that have nothing else and are dropped in the end.
+    """
     last = Window.partitionBy("key").orderBy(F.desc("stamp"), "delivery")
-    return rows.withColumn("_turn", F.dense_rank().over(last)).where("_turn = 1").drop("_turn")
+    return rows.withColumn("_turn", F.dense_rank().over(last)).where("_turn = 1 and (node >= 0 or field is not null)").drop("_turn")

@@ -17,7 +17,7 @@ from corpusmill.operators import services as SV
 from corpusmill.operators import upsert as U
 from corpusmill.operators import validate as VA
 from corpusmill.operators.ordering import global_row_number
-from corpusmill.operators.shred import shred, shred_text
+from corpusmill.operators.shred import _load, _load_deep, shred, shred_text
 
 RANKED = "query_id string, item_id string, rank int"
 GRADED = "query_id string, item_id string, grade double, is_soft boolean, is_strict boolean"
@@ -212,10 +212,37 @@ def test_shredding_of_odd_json(spark):
     nodes = shred_text('{"a": [1, "{\\"b\\": true}"], "a": null}')
     assert [(n[0], n[1], n[2], n[3], n[4], n[5]) for n in nodes] == [(0, -1, None, 0, "object", None), (1, 0, "a", 0, "array", None), (2, 1, "a", 0, "number", "1"), (3, 1, "a", 1, "object", None), (4, 3, "b", 0, "boolean", "true"), (5, 0, "a", 1, "null", None)]
     d = spark.createDataFrame([("r", '{"x": 1}', "key"), (None, "[]", "k"), ("s", None, "k")], "id string, j string, key string")
-    assert [(r.key, r.node) for r in shred(d, "id", ["j"]).collect()] == [("r", 0), ("r", 1)]
+    assert [(r.key, r.node) for r in shred(d, "id", ["j"]).collect()] == [("r", -1), ("r", 0), ("r", 1), ("s", -1), ("s", -1)]
     assert shred(d.limit(0), "id", ["j"]).count() == 0
 
 
+def test_shredding_of_deep_json():
+    """200,000 levels are read, whole or not; the stack reader agrees with the parser."""
+    deep = "[" * 200_000 + '{"chunk_id": "c"}' + "]" * 200_000
+    nodes = shred_text(deep)
+    assert len(nodes) == 200_002 and nodes[-1][4:] == ("string", "c") and shred_text(deep[:-1]) == shred_text(deep + "]") == []
+    for text in ('{}', '[]', ' [1, -2.5e3, true, null, "a\\"b", {"x": {}, "y": [[], "é"]}] ', '"s"', '0', '{"a": 1, "a": 2}', '[1, NaN]'):
+        assert repr(_load_deep(text)) == repr(_load(text))
+    for text in ('', '[', '{"a"}', '{"a": }', '[1,]', '{"a": 1,}', '[1] 2', '01', '{a: 1}', '[1 2]', '"x', '[}', '{"a": 1]', "tru"):
+        with pytest.raises(ValueError):
+            _load_deep(text)
+
+
+def test_the_latest_delivery_holds_even_without_children(spark, tmp_path):
+    from corpusmill.plans import all_queries
+
+    def row(key, day, items, ranker):
+        return (key, f"2026-01-0{day} 00:00:00", items, "{}", ranker)
+
+    rows = [row("r1", 1, '[{"chunk_id": "old"}]', '{"weights": {"a": 1}}'), row("r1", 2, "[]", '{"weights": {"b": 2}}'), row("r2", 1, '[{"chunk_id": "old"}]', '{"weights": {"a": 1}}'), row("r2", 2, '[{"chunk_id": "new"', None), row("r3", 1, "[" * 200_000, " ")]
+    d = spark.createDataFrame(rows, "request_id string, s string, retrieval_results string, retriever_config string, reranker_config string")
+    d.selectExpr("*", "cast(s as timestamp) as stored_at").write.parquet(f"{tmp_path}/request_captures.parquet")
+    q = {k: sorted(map(tuple, f(spark, str(tmp_path)).collect())) for k, f in all_queries().queries.items() if k.startswith("p1_")}
+    assert q["p1_found"] == [("r1", "reranker_config.weights", 0, "b")] and q["p1_retrieved_items"] == []
+    assert q["p1_reranker_weights"] == [("r1", 1, 0, 0, "b", 2.0)]
+    assert q["p1_rejects"] == [("r2", "reranker_config", "absent"), ("r2", "retrieval_results", "unreadable"), ("r3", "reranker_config", "absent"), ("r3", "retrieval_results", "unreadable")]
+
+
 def test_captures_with_odd_deliveries(spark, tmp_path):
     from corpusmill.plans import all_queries
 
