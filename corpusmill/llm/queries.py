@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..plans.entities import WHITE_SPACE
 from ..plans.registry import Registry, table
 from ..session import materialise
 from .answers import check_pairs, pair_defects, refusal_labels, refusal_openings, response_openings
@@ -13,12 +15,22 @@ from .neardup import JoinSpec, expand_pairs, near_duplicates
 from .packing import pack
 from .splitting import split_oversized
 from .tokens import sized
-from .terms import TermCounts, marked, signed_counts, surplus_deliveries
+from .terms import TermCounts, delta_records, marked, signed_counts, surplus_deliveries
 
 REGISTRY = Registry()
 
 
-@REGISTRY.query("p2_found")
+# the sets of word triples of the chunks' latest deliveries (of all words, where a text has fewer),
+# and the pairs of chunks whose sets share at least 0.6
+PAIRS_SQL = r"""with latest as (select chunk_id, text from chunks where chunk_id is not null and text is not null qualify row_number() over (partition by chunk_id order by ingest.ingested_at desc nulls last) = 1),
+said as (select chunk_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from latest),
+sets as (select chunk_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [chr(10) || text] end) as g from said),
+grams as (select chunk_id, len(g) as n, unnest(g) as gram from sets),
+common as (select a.chunk_id as chunk_id_a, b.chunk_id as chunk_id_b, a.n as na, b.n as nb, count(*) as c from grams a join grams b on a.gram = b.gram and a.chunk_id < b.chunk_id group by all)
+select chunk_id_a, chunk_id_b from common where c >= 0.6 * (na + nb - c) - 1e-9"""
+
+
+@REGISTRY.query("p2_found", PAIRS_SQL)
 def p2_found(spark, folder):
     found = near_duplicates(table(spark, folder, "chunks"), "chunk_id", "text", "ingest.ingested_at", JoinSpec(width=3, threshold=0.6))
     return expand_pairs(found).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -55,22 +67,73 @@ def _term_counts(spark, folder):
     return counts, chunks.agg(F.count_distinct("chunk_id").alias("n"))
 
 
-@REGISTRY.query("p4_found")
+# the latest delivery of each chunk, its terms, and their counts
+TERMS_SQL = r"""with latest as (select text from chunks where chunk_id is not null qualify row_number() over (partition by chunk_id order by ingest.ingested_at desc nulls last) = 1),
+said as (select row_number() over () as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') as terms from latest),
+counted as (select term, count(*) as occurrences, count(distinct id) as documents from (select id, unnest(terms) as term from said) group by term),
+marked as (select term, occurrences, documents, case when documents < 3 then 'too_rare' when documents > 0.3 * (select count(*) from latest) then 'too_common' end as mark from counted) """
+
+
+@REGISTRY.query("p4_found", TERMS_SQL + "select term, mark from marked where mark is not null")
 def p4_found(spark, folder):
     counts, n = _term_counts(spark, folder)
     return marked(counts.read(), n).where("mark is not null").select("term", "mark")
 
 
-@REGISTRY.query("p4_counts")
+@REGISTRY.query("p4_counts", TERMS_SQL + "select term, occurrences, documents, mark from marked")
 def p4_counts(spark, folder):
     counts, n = _term_counts(spark, folder)
     return marked(counts.read(), n)
 
 
-@REGISTRY.query("p5_found")
+@REGISTRY.query("p4_distinct_texts", r"select term, count(*) as occurrences, count(distinct text) as documents from (select text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) as term from (select distinct text from chunks where chunk_id is not null and text is not null)) group by term")
+def p4_distinct_texts(spark, folder):
+    """Counts over the different texts, by three batches on one state: the chunks of the first
+    deliveries are added, changed texts of later deliveries replace them, and chunks whose text a
+    smaller key has too are deleted."""
+    chunks = table(spark, folder, "chunks").where("chunk_id is not null").select("chunk_id", "text", F.coalesce("ingest.ingested_at", F.lit("")).alias("stamp"))
+    ends = chunks.groupBy("chunk_id").agg(*[f(F.struct("stamp", F.xxhash64("text"), "text"))["text"].alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    ends = materialise(ends, "ends")
+    first, last = ends.select("chunk_id", F.col("first").alias("text")), ends.select("chunk_id", F.col("last").alias("text"))
+    kept = last.where("text is not null").groupBy("text").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", "text")
+    counts = TermCounts(spark)
+    for old, new in ((first.limit(0), first), (first, last), (last, kept)):
+        counts.apply(signed_counts(delta_records(old, new, "chunk_id", "text")))
+    return counts.read()
+
+
+SNAPSHOT_SQL = TERMS_SQL + """, snap as (select *, row_number() over (partition by collection_name order by created_at desc, document_count desc) as rn from bm25_term_stats),
+held as (select collection_name, vocabulary_name, document_count, unnest(map_entries(document_frequency_by_token_id)) as e from snap where rn = 1 and document_count > 0),
+named as (select h.collection_name, v.token as term, h.document_count as documents_then, h.e.value as held from held h join sparse_vocabulary v on v.vocabulary_name = h.vocabulary_name and v.token_id = h.e.key)
+select collection_name, term, held, documents_then, coalesce(m.documents, 0) as documents, (select count(*) from latest) as documents_now from named left join marked m using (term)"""
+
+
+@REGISTRY.query("p4_against_snapshots", SNAPSHOT_SQL)
+def p4_against_snapshots(spark, folder):
+    """Document counts that the latest usable snapshot of each collection held, beside today's.
+
+    Snapshots without a positive ``document_count`` are unusable; of a repeated one one row counts."""
+    counts, n = _term_counts(spark, folder)
+    snapshots = table(spark, folder, "bm25_term_stats")
+    turn = Window.partitionBy("collection_name").orderBy(F.desc("created_at"), F.desc("document_count"))
+    latest = snapshots.withColumn("turn", F.row_number().over(turn)).where("turn = 1 and document_count > 0")
+    held = latest.select("collection_name", "vocabulary_name", F.col("document_count").alias("documents_then"), F.explode("document_frequency_by_token_id").alias("token_id", "held"))
+    named = held.join(table(spark, folder, "sparse_vocabulary"), ["vocabulary_name", "token_id"]).select("collection_name", F.col("token").alias("term"), "held", "documents_then")
+    return named.join(counts.read().select("term", "documents"), "term", "left").crossJoin(F.broadcast(n)).select("collection_name", "term", "held", "documents_then", F.coalesce("documents", F.lit(0)).alias("documents"), F.col("n").alias("documents_now"))
+
+
+# stretches between natural boundaries and their words
+CUTS_SQL = rf"""with latest as (select c.chunk_id, c.text, target_tokens from (select * from chunks where chunk_id is not null and text is not null qualify row_number() over (partition by chunk_id order by ingest.ingested_at desc nulls last) = 1) c join chunker_config using (chunking_version)),
+cut as (select chunk_id, target_tokens, text, regexp_split_to_array(regexp_replace(text, '([.!?…]["''”’»›)\]}}“]*){WHITE_SPACE}', '\1' || chr(10), 'g'), '[\n\r\x0B\x0C\x{{85}}\x{{2028}}\x{{2029}}]+') as stretches from latest)
+select chunk_id, case when list_max(list_transform(stretches, lambda x: len(regexp_split_to_array(regexp_replace(x, '^{WHITE_SPACE}|{WHITE_SPACE}$', '', 'g'), '{WHITE_SPACE}')))) > target_tokens then 'forced' else 'natural' end as cut
+from cut where len(regexp_split_to_array(regexp_replace(text, '^{WHITE_SPACE}|{WHITE_SPACE}$', '', 'g'), '{WHITE_SPACE}')) > target_tokens"""
+
+
+@REGISTRY.query("p5_found", CUTS_SQL)
 def p5_found(spark, folder):
+    """How the pieces of each oversized chunk were cut: forced if any cut had to go between words."""
     pieces = split_oversized(table(spark, folder, "chunks"), table(spark, folder, "chunker_config"))
-    return pieces.groupBy("chunk_id").agg(F.when(F.max("forced"), F.lit("forced")).otherwise(F.lit("natural")).alias("cut"))
+    return pieces.groupBy("chunk_id").agg(F.when(F.max(F.col("cut") == "forced"), F.lit("forced")).otherwise(F.lit("natural")).alias("cut"))
 
 
 @REGISTRY.query("p5_pieces")
@@ -106,7 +169,14 @@ def _mixed(spark, folder):
     return plan, select_copies(docs, plan)
 
 
-@REGISTRY.query("p7_found")
+# in characters instead of tokens: what can be reached is the same
+REACH_SQL = r"""with docs as (select lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) as source, length(text) as n from documents where doc_id is not null and text is not null qualify row_number() over (partition by doc_id order by fetched_at desc nulls last) = 1),
+held as (select source, sum(n) as n from docs group by source),
+mix as (select mix_name, lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) as source, sum(target_share) as share, max(max_repeats) as repeats from mix_targets group by 1, 2)
+select mix_name, source from mix left join held using (source) where coalesce(n, 0) * repeats < share * (select sum(n) from docs)"""
+
+
+@REGISTRY.query("p7_found", REACH_SQL)
 def p7_found(spark, folder):
     return mix_report(*_mixed(spark, folder)).where("not reachable").select("mix_name", "source")
 

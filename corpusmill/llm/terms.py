@@ -1,17 +1,19 @@
 """Occurrences and record counts of every term, maintained by signed deltas.
 
-State is a table partitioned by a bucket of the term: ``bucket, term, occurrences, documents``.
-A batch of added, changed and deleted records becomes signed per-term counts (the old text with
-minus, the new text with plus); only the buckets it touches are merged and rewritten.  A term whose
-counts fall to zero leaves the table.
+State is a folder: term tables partitioned by a bucket of the term, and a manifest for each version
+that says which buckets are where, so that any session can open it again.  A batch of added, changed
+and deleted records becomes signed per-term counts (the old text with minus, the new text with plus);
+only the buckets it touches are merged and rewritten.  Deltas are additive: they may come in any
+order, a minus may come before its plus, and a term leaves the table when its sums are zero.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,52 +72,85 @@ def delta_records(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFr
 
 
 class TermCounts:
-    """The persistent counts: one folder of the shared folder, a sub-folder a bucket."""
+    """The persistent counts at ``path`` (a new folder of the shared folder by default).
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_folder(spark)}/corpusmill/terms-{uuid.uuid4().hex}"
-        self.version = 0
+    A path that holds a manifest is opened at its last version.  The number of buckets doubles while a
+    bucket has more than ``terms_per_bucket`` terms on the average, so that no task's share grows with
+    the collection.  One writer at a time; readers keep the version that they have opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, terms_per_bucket: int = 1_000_000, least_buckets: int = 8):
+        self.spark, self.terms_per_bucket = spark, terms_per_bucket
+        self.path = (path or f"{shared_folder(spark)}/corpusmill/terms-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.buckets = 0, least_buckets
         self.where: dict[int, str] = {}
+        versions = [int(m.group(1)) for m in map(re.compile(r"manifest-(\d+)\.json$").search, self._list(self.path)) if m]
+        if versions:
+            held = json.loads(self.spark.read.text(f"{self.path}/manifest-{max(versions)}.json", wholetext=True).first()[0])
+            self.version, self.buckets = held["version"], held["buckets"]
+            self.where = {int(b): p for b, p in held["where"].items()}
+
+    def _fs(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _list(self, path: str) -> list[str]:
+        where, fs = self._fs(path)
+        return [str(s.getPath().toString()) for s in fs.listStatus(where)] if fs.exists(where) else []
+
+    def _commit(self) -> None:
+        """Write the manifest beside its place and rename it: a version is there whole or not at all."""
+        text = json.dumps({"version": self.version, "buckets": self.buckets, "where": self.where})
+        part, fs = self._fs(f"{self.path}/.manifest-{self.version}")
+        out = fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(part, self._fs(f"{self.path}/manifest-{self.version}.json")[0]):
+            raise RuntimeError(f"version {self.version} of {self.path} exists: another writer?")
+
+    def _held(self, buckets: Iterable[int]) -> DataFrame | None:
+        live = [f"{self.where[b]}/bucket={b}" for b in buckets if b in self.where]
+        return self.spark.read.schema(DELTA_SCHEMA).parquet(*live) if live else None
 
     def read(self) -> DataFrame | None:
-        paths = sorted(set(self.where.values()))
-        if not paths:
-            return None
-        live = [f"{p}/bucket={b}" for b, p in self.where.items()]
-        return self.spark.read.schema("term string, occurrences long, documents long").parquet(*live)
+        """``term, occurrences, documents`` of the terms that some record has; None before the first
+        delta.  Sums below zero (a minus whose plus is still to come) are held, not shown."""
+        held = self._held(sorted(self.where))
+        if held is None:
+            return self.spark.createDataFrame([], DELTA_SCHEMA) if self.version else None
+        return held.where("documents > 0")
 
     def apply(self, delta: DataFrame) -> "TermCounts":
         """Merge a signed delta; writes only the buckets that it touches, to a new version."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        delta = delta.withColumn("bucket", bucket)
-        if self.where:
-            delta = materialise(delta, "delta")
-            touched = [r["bucket"] for r in delta.select("bucket").distinct().collect()]  # at most `buckets` rows
+        delta = materialise(delta.select("term", "occurrences", "documents"), "delta")
+        terms = delta.count() + sum(r.count() for r in [self._held(sorted(self.where))] if r is not None)  # from the files' footers
+        grown = self.buckets
+        while terms > grown * self.terms_per_bucket:
+            grown *= 2
+        bucket = F.pmod(F.xxhash64("term"), F.lit(grown)).cast("int")
+        if grown != self.buckets:  # all buckets are divided
+            touched, held = range(grown), self._held(sorted(self.where))
         else:
-            touched = list(range(self.buckets))
-        self.version += 1
-        out = f"{self.path}/v{self.version}"
-        held = [f"{self.where[b]}/bucket={b}" for b in touched if b in self.where]
-        merged = delta.select("term", "occurrences", "documents")
-        if held:
-            merged = merged.unionByName(self.spark.read.schema("term string, occurrences long, documents long").parquet(*held))
-            merged = merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
-        merged = merged.where("documents > 0").withColumn("bucket", bucket)
-        merged.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(out)
-        written = {r["bucket"] for r in self.spark.read.parquet(out).select("bucket").distinct().collect()} if not _is_empty(self.spark, out) else set()
-        for b in touched:
-            if b in written:
-                self.where[b] = out
-            else:
-                self.where.pop(b, None)
+            touched = [r["bucket"] for r in delta.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets` rows
+            held = self._held(touched)
+        merged = delta if held is None else delta.unionByName(held)
+        merged = merged.withColumn("bucket", bucket).repartition(grown, "bucket").groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents")).where("occurrences <> 0 or documents <> 0")
+        out = f"{self.path}/v{self.version + 1}-{uuid.uuid4().hex}"
+        merged.write.partitionBy("bucket").parquet(out)
+        written = {int(m.group(1)) for m in map(re.compile(r"bucket=(\d+)$").search, self._list(out)) if m}
+        where = {} if grown != self.buckets else {b: p for b, p in self.where.items() if b not in set(touched)}
+        self.where = where | {b: out for b in touched if b in written}
+        self.version, self.buckets = self.version + 1, grown
+        self._commit()
         return self
 
-
-def _is_empty(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return not [s for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where) if s.isDirectory()]
+    def vacuum(self) -> None:
+        """Delete the tables and manifests that the present version doesn't need."""
+        needed = {p.rsplit("/", 1)[1] for p in self.where.values()} | {f"manifest-{self.version}.json"}
+        for path in self._list(self.path):
+            if path.rsplit("/", 1)[1] not in needed:
+                where, fs = self._fs(path)
+                fs.delete(where, True)
 
 
 def surplus_deliveries(df: DataFrame, key: str, text: str, stamp) -> DataFrame:

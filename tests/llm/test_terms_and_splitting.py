@@ -34,7 +34,7 @@ def frame(spark, rows):
 def test_deltas_equal_a_full_count(spark):
     one = [("a", "Foo bar foo, x"), ("b", "bar baz_qux"), ("c", None), ("d", "")]
     two = [("a", "Foo bar foo, x"), ("b", "changed bar bar"), ("e", "new ÄÖ äö")]
-    counts = T.TermCounts(spark, buckets=4).apply(T.signed_counts(frame(spark, one).withColumn("sign", F.lit(1))))
+    counts = T.TermCounts(spark, least_buckets=4).apply(T.signed_counts(frame(spark, one).withColumn("sign", F.lit(1))))
     assert state(counts) == brute(t for _, t in one)
     delta = T.delta_records(frame(spark, one), frame(spark, two), "k", "text")
     assert sorted((r.sign, r.text) for r in delta.collect()) == [(-1, ""), (-1, "bar baz_qux"), (1, "changed bar bar"), (1, "new ÄÖ äö")]
@@ -44,6 +44,51 @@ def test_deltas_equal_a_full_count(spark):
     assert state(counts) == {}
 
 
+def signed(spark, rows):
+    return T.signed_counts(spark.createDataFrame(rows, "sign int, text string"))
+
+
+def test_the_state_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/terms"
+    assert T.TermCounts(spark, path).read() is None
+    T.TermCounts(spark, path).apply(signed(spark, [(1, "alpha beta"), (1, "beta")]))
+    again = T.TermCounts(spark, path)
+    assert again.version == 1 and state(again) == {"alpha": (1, 1), "beta": (2, 2)}
+    again.apply(signed(spark, [(-1, "beta"), (1, "gamma")]))
+    third = T.TermCounts(spark, path)
+    assert state(third) == {"alpha": (1, 1), "beta": (1, 1), "gamma": (1, 1)}
+    third.apply(signed(spark, [(-1, "alpha beta"), (-1, "gamma")])).vacuum()
+    assert state(T.TermCounts(spark, path)) == {} and len(third._list(path)) <= 2
+
+
+def test_deltas_come_in_any_order(spark):
+    counts = T.TermCounts(spark).apply(signed(spark, [(-1, "alpha beta")]))
+    assert state(counts) == {}
+    counts.apply(signed(spark, [(1, "alpha beta"), (1, "alpha")]))
+    assert state(counts) == {"alpha": (1, 1)}
+
+
+def test_buckets_grow_with_the_terms(spark, tmp_path):
+    path = f"file://{tmp_path}/terms"
+    counts = T.TermCounts(spark, path, terms_per_bucket=10, least_buckets=2)
+    texts = [" ".join(f"t{i}x{k}" for k in range(12)) for i in range(9)]
+    for t in texts:
+        counts.apply(signed(spark, [(1, t)]))
+    assert counts.buckets == 16 and state(T.TermCounts(spark, path)) == brute(texts)
+
+
+def test_batches_of_a_collection(spark, small):
+    """Counts of the chunks by batches of added, changed and deleted ones, against a full count."""
+    from corpusmill.llm.queries import REGISTRY
+
+    rows = spark.read.parquet(f"{small}/chunks.parquet").select("chunk_id", "text", "ingest.ingested_at").collect()
+    latest = {}
+    for r in sorted(rows, key=lambda r: (r.ingested_at or "", r.text or "")):
+        latest[r.chunk_id] = r.text
+    distinct = {t for t in latest.values() if t is not None}
+    assert {r.term: (r.occurrences, r.documents) for r in REGISTRY.queries["p4_distinct_texts"](spark, small).collect()} == brute(distinct)
+
+
 def test_marks(spark):
     c = spark.createDataFrame([("rare", 9, 2), ("usual", 9, 3), ("common", 99, 31), ("edge", 99, 30)], "term string, occurrences long, documents long")
     assert {r.term: r["mark"] for r in T.marked(c, 100).collect()} == {"rare": "too_rare", "usual": None, "common": "too_common", "edge": None}
