@@ -2,9 +2,10 @@
 
 Lengths are reduced to a histogram of at most ``classes`` classes.  The program "cover every class
 with as few containers as possible" is solved by multiplicative weights: the weights of the classes
-price a knapsack, whose best filling is the next configuration.  The solution is rounded down, the
-rest is packed best-fit over the histogram, and the documents are dealt to the slots of the
-configurations by their rank in their class.  Nothing on the driver grows with the documents.
+price a knapsack, whose best filling is the next configuration.  Every price gives a dual bound, so
+the gap of the fractional cover is known.  The cover is rounded to whole containers, what that leaves
+goes best-fit into their free room and into further ones, and the documents are dealt to the slots of
+the configurations by their rank in their class.  Nothing on the driver grows with the documents.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from ..session import materialise
 
 @dataclass
 class Plan:
-    """configurations: class counts, how many containers are filled so, first container's number."""
+    """configurations: class counts, how many containers are filled so, first container's number.
+    fractional: containers of the fractional cover; bound: no packing of the classes needs fewer."""
 
     configurations: list[tuple[dict[int, int], int, int]]
     containers: int
+    fractional: float = 0.0
+    bound: float = 0.0
 
 
 def _knapsack(prices: np.ndarray, capacity: int, sizes: np.ndarray) -> tuple[dict[int, int], float]:
@@ -53,55 +57,83 @@ def _knapsack(prices: np.ndarray, capacity: int, sizes: np.ndarray) -> tuple[dic
     return dict(filling), float(value[capacity])
 
 
-def solve_configurations(demand: dict[int, int], capacity: int, rounds: int = 600, step: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover of the demand by configurations.
+@dataclass
+class Cover:
+    """configurations with their fractional uses, their sum, and the best dual bound."""
+
+    configurations: list[tuple[dict[int, int], float]]
+    containers: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        return self.containers / self.bound - 1 if self.bound else 0.0
+
 
-    Each round fills one container with the classes whose share still uncovered weighs most and uses
-    it until the first of its classes gains ``step`` of its demand; weights fall exponentially with
-    the cover, and a covered class has none.
+def solve_configurations(demand: dict[int, int], capacity: int, step: float = 0.25, rate: float = 6.0) -> Cover:
+    """A fractional cover of the whole demand by configurations, with a bound.
+
+    The weight of a class falls exponentially (``rate``) with the share of its demand that is covered;
+    weight times size is its price, and prices start at the dual solution of a perfect packing.  Each
+    round takes the dearest filling until the first of its classes gains ``step`` of its demand or is
+    covered; covered classes leave.  Rounds end when nothing is left: each adds ``step`` to a class or
+    covers one, so there are at most (1 / step + 1) times the classes.  While all classes are in
+    play, demand times price over the filling's price bounds the containers from below (duality).
     """
     sizes = np.array(sorted(demand))
     need = np.array([demand[s] for s in sizes], float)
     at = {int(s): i for i, s in enumerate(sizes)}
     covered = np.zeros(len(sizes))
     use: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        left = np.maximum(need - covered, 0.0)
-        if left.max(initial=0.0) < 0.5:
-            break
-        weight = np.where(left > 0, np.exp(2.0 * (left / need - 1.0)), 0.0)
-        prices = weight * sizes  # a token of a class that is behind is worth more
-        filling, _ = _knapsack(prices, capacity, sizes)
-        # never take more of a class than is left
-        filling = {s: min(n, int(np.ceil(left[at[s]]))) for s, n in filling.items() if left[at[s]] > 0}
-        if not filling:
-            break
-        often = min(max(1.0, step * need[at[s]] / n) if left[at[s]] >= 1 else left[at[s]] / n for s, n in filling.items())
-        often = min(often, *(max(left[at[s]], 1e-9) / n for s, n in filling.items()))
-        if often <= 1e-9:
-            break
+    bound = 0.0
+    while (live := np.flatnonzero(covered < 1)).size:
+        prices = np.exp(-rate * covered) * sizes
+        filling, value = _knapsack(prices[live], capacity, sizes[live])
+        if live.size == len(sizes):
+            bound = max(bound, float(prices @ need) / value)
+        often = min(min(step, 1 - covered[at[s]]) * need[at[s]] / n for s, n in filling.items())
         use[tuple(sorted(filling.items()))] += often
         for s, n in filling.items():
-            covered[at[s]] += n * often
-    return [(dict(c), x) for c, x in use.items()]
+            covered[at[s]] += n * often / need[at[s]]
+        covered[covered > 1 - 1e-9] = 1.0
+    return Cover([(dict(c), x) for c, x in use.items()], sum(use.values()), bound)
+
 
+def round_cover(cover: Cover, demand: dict[int, int], capacity: int, way: str) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole uses of the configurations within the demand, and what they leave.
 
-def round_down(fractional: list[tuple[dict[int, int], float]], demand: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Whole uses of the configurations within the demand, and what they leave."""
+    way: ``full`` takes the whole part of the uses that fill the container, ``whole`` of all, and
+    ``carried`` also adds up the fractions and takes a configuration, as far as its items are still
+    there, whenever they make a container.
+    """
     left = dict(demand)
-    whole = []
-    for filling, x in sorted(fractional, key=lambda c: -c[1]):
-        k = min([int(x + 1e-9), *(left[s] // n for s, n in filling.items())])
-        if k > 0:
-            whole.append((filling, k))
+    taken: list[tuple[dict[int, int], int]] = []
+    carry = 0.0
+
+    def take(filling: dict[int, int], k: int) -> None:
+        if filling and k > 0:
+            taken.append((filling, k))
             for s, n in filling.items():
                 left[s] -= n * k
-    return whole, {s: n for s, n in left.items() if n > 0}
 
+    for filling, x in sorted(cover.configurations, key=lambda c: (-c[1], sorted(c[0].items()))):
+        if way == "full" and sum(s * n for s, n in filling.items()) < capacity:
+            continue
+        k = min([int(x + 1e-9), *(left[s] // n for s, n in filling.items())])
+        take(filling, k)
+        carry += x - k
+        while way == "carried" and carry >= 1 - 1e-9:
+            carry -= 1
+            take({s: min(n, left[s]) for s, n in filling.items() if left[s]}, 1)
+    return taken, {s: n for s, n in left.items() if n > 0}
 
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing with multiplicities: equal containers are handled together."""
+
+def best_fit(left: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] | None = None) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing with multiplicities, into the free room of the ``begun`` containers too:
+    equal containers are handled together."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)  # by room left
+    for filling, k in begun or []:
+        open_[capacity - sum(s * n for s, n in filling.items())].append((filling, k))
     for s in sorted(left, reverse=True):
         n = left[s]
         while n:
@@ -125,19 +157,28 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [g for groups in open_.values() for g in groups]
 
 
-def plan(demand: dict[int, int], capacity: int, rounds: int = 600) -> Plan:
-    """Configurations that hold exactly the demand (classes are sizes in units of the grid)."""
+def plan(demand: dict[int, int], capacity: int) -> Plan:
+    """Configurations that hold exactly the demand (classes are sizes in units of the grid).
+
+    Of the ways to round the cover the one with the fewest containers is taken; they are no more
+    than best-fit alone needs, which is the rounding to nothing.
+    """
     if not demand:
         return Plan([], 0)
-    whole, left = round_down(solve_configurations(demand, capacity, rounds), demand)
+    cover = solve_configurations(demand, capacity)
+    packings = []
+    for way in ("full", "carried", "whole"):
+        taken, left = round_cover(cover, demand, capacity, way)
+        packings.append(best_fit(left, capacity, taken))
+    packings.append(best_fit(demand, capacity))
     merged: dict[tuple, int] = defaultdict(int)
-    for filling, k in [*whole, *best_fit(left, capacity)]:
+    for filling, k in min(packings, key=lambda p: sum(k for _, k in p)):
         merged[tuple(sorted(filling.items()))] += k
     out, first = [], 0
     for filling, k in merged.items():
         out.append((dict(filling), k, first))
         first += k
-    return Plan(out, first)
+    return Plan(out, first, cover.containers, cover.bound)
 
 
 def slots(p: Plan) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -153,7 +194,7 @@ def slots(p: Plan) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {s: (np.array([a for a, _ in r]), np.array([b for _, b in r])) for s, r in runs.items()}
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = 2048, classes: int = 512, rounds: int = 600, split_ways: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = 2048, classes: int = 512, split_ways: int = 64) -> DataFrame:
     """``key, piece, pieces, tokens, token_start, container`` of every document.
 
     sizes: key (unique), tokens.  A document above the capacity is cut into full containers and a
@@ -176,7 +217,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = 2048, classes: i
     counted = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     counted = materialise(counted, "histogram")
     demand = {r["class"]: r["n"] for r in counted.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # at most `classes` rows
-    found = slots(plan(demand, units, rounds))
+    found = slots(plan(demand, units))
     shared = spark.sparkContext.broadcast(found)
 
     @F.pandas_udf("long")

@@ -163,6 +163,13 @@ def p6_containers(spark, folder):
     return pack(sized(table(spark, folder, "documents"), "doc_id", "text", "fetched_at"), "doc_id", 2048)
 
 
+@REGISTRY.query("p6_fill")
+def p6_fill(spark, folder):
+    """Every container with its pieces, tokens and unused room."""
+    packed = p6_containers(spark, folder).where("container is not null")
+    return packed.groupBy("container").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens")).withColumn("unused", 2048 - F.col("tokens"))
+
+
 def _mixed(spark, folder):
     docs = materialise(sized(table(spark, folder, "documents"), "doc_id", "text", "fetched_at", {"source": source_name(F.col("source"))}), "sized")
     plan = mix_plan(docs, table(spark, folder, "mix_targets"))

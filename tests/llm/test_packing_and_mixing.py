@@ -36,7 +36,7 @@ def test_plan_holds_exactly_the_demand(seed):
     demand = Counter(min(64, max(1, int(rng.expovariate(1 / 12)))) for _ in range(3000))
     if seed == 3:
         demand = Counter({64: 5, 33: 7, 1: 2})
-    p = P.plan(dict(demand), 64, rounds=200)
+    p = P.plan(dict(demand), 64)
     held = Counter()
     for filling, k, _ in p.configurations:
         assert sum(s * n for s, n in filling.items()) <= 64 and k > 0
@@ -49,6 +49,37 @@ def test_plan_holds_exactly_the_demand(seed):
     assert starts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(starts, starts[1:]))
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_cover_and_rounding_against_best_fit(seed):
+    """Many lengths: the fractional cover holds the demand and is within 1 % of the size bound, and
+    the packing needs no more containers than best-fit alone."""
+    rng = random.Random(seed)
+    demand = Counter(min(512, max(1, int(rng.lognormvariate(4.6, 0.9)))) for _ in range(20_000))
+    cover = P.solve_configurations(demand, 512)
+    held = Counter()
+    for filling, x in cover.configurations:
+        assert sum(s * n for s, n in filling.items()) <= 512
+        for s, n in filling.items():
+            held[s] += n * x
+    size = sum(s * n for s, n in demand.items()) / 512
+    assert all(abs(held[s] - n) < 1e-6 * n for s, n in demand.items())
+    assert size <= cover.bound + 1e-6 and cover.containers <= 1.01 * size and cover.gap <= 0.01
+    assert P.plan(demand, 512).containers <= sum(k for _, k in P.best_fit(demand, 512))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_program_beats_best_fit_on_triplets(seed):
+    """Every container can be filled by three items, which best-fit misses."""
+    rng = random.Random(seed)
+    demand, count = Counter(), 400
+    for _ in range(count):
+        a, b = rng.randrange(190, 250), rng.randrange(125, 190)
+        demand.update([a, b, 512 - a - b])
+    p = P.plan(demand, 512)
+    assert count <= p.containers <= 1.02 * count < 1.04 * count < sum(k for _, k in P.best_fit(demand, 512))
+    assert abs(p.bound - count) < 1e-6 and p.fractional <= 1.02 * count
+
+
 def test_knapsack_against_brute_force():
     import itertools
 
@@ -65,7 +96,7 @@ def test_containers(spark, capacity, classes):
     rng = random.Random(capacity)
     sizes = [(i, rng.choice([0, 1, 7, capacity // 3, capacity - 1, capacity, capacity + 1, 3 * capacity + 5, rng.randrange(1, capacity)])) for i in range(600)]
     d = spark.createDataFrame(sizes + [(1000, None)], "doc_id long, tokens long")
-    rows = P.pack(d, "doc_id", capacity, classes, rounds=100).collect()
+    rows = P.pack(d, "doc_id", capacity, classes).collect()
     load = Counter()
     for r in rows:
         if r.container is not None:
