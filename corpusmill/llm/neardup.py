@@ -2,17 +2,19 @@
 
 Plan, for a threshold ``t`` on the Jaccard similarity of the texts' sets of word shingles:
 
-1. One pass hashes every text's shingles, names its *class* (texts with equal sets are copies)
-   and counts all shingles in a frequency sketch of fixed size.  Sketch cells only over-estimate.
+1. One pass hashes every text's shingles, names its *class* (texts with equal sets are copies), keeps
+   a parity bitmap of the set and counts all shingles in a frequency sketch of fixed size.  Sketch
+   cells only over-estimate.
 2. A second pass sorts each set rarest first by the sketch (any total order that all tasks share
    keeps the join exact) and cuts its prefix.  Documents with identical prefix and size form one
    group.  Shingles whose cell counts one document cannot meet anybody and are not sent.
-3. Prefix shingles are hashed to buckets; a document's shingles of one bucket travel as one record
-   with a parity bitmap of its set.  Very frequent shingles are spread over a triangle of blocks,
-   so no bucket holds a whole posting list beyond ``block`` documents.
-4. In a bucket, pairs of groups are filtered by size and position, then expanded to their members,
-   which the bitmaps filter (the bits in which two bitmaps differ bound the symmetric difference).
-5. What is left, nearly only true pairs, is verified on the texts.
+3. The prefix shingles are hashed to buckets, of a number in proportion to all of them; each is sent
+   once, with 24 bytes, however many buckets there are.  Shingles that the sketch shows to be very
+   frequent are spread over a triangle of blocks.
+4. In a bucket, pairs of groups are filtered by size and position and expanded to their members.
+   Posting lists that turn out longer than ``block`` there are sent on and joined by blocks, too.
+5. Pairs fetch their bitmaps by a join (the bits in which two bitmaps differ bound the symmetric
+   difference); what is left, nearly only true pairs, is verified on the texts.
 
 Results are classes and pairs of class representatives; copies are never expanded here.
 """
@@ -27,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, semi_join_keys
+from ..session import BROADCAST_KEYS, materialise, semi_join_keys
 from .wordscan import mix64, shingle_sets
 
-SCAN_SCHEMA = "id string, rank struct<stamp: string, text_hash: long>, class long, n int, block int, counts binary"
+SCAN_SCHEMA = "id string, rank struct<stamp: string, text_hash: long>, class long, n int, bitmap binary, block int, counts binary"
 POST_SCHEMA = "bucket int, post binary"
-PAIR_SCHEMA = "class_a long, class_b long"
+PAIR_SCHEMA = "class_a long, class_b long, size long, post binary"
+#: One posting: the shingle's hash in its bucket, its place in the prefix, and the document.
+POSTING = np.dtype([("token", np.uint32), ("place", np.uint32), ("name", np.int64), ("group", np.uint32), ("n", np.uint32)])
+POSTINGS_AT_ONCE = 1 << 18
 TEXTS_AT_ONCE = 256
 
 
@@ -40,14 +45,14 @@ TEXTS_AT_ONCE = 256
 class JoinSpec:
     """width: words in a shingle.  threshold: least Jaccard similarity.  sketch_bits: the sketch has
     two to this power cells of one byte (its broadcast size).  block: documents of one posting list
-    that meet in one bucket."""
+    that meet in one task.  postings: of one bucket."""
 
     width: int = 5
     threshold: float = 0.8
     sketch_bits: int = 23
     sketch_blocks: int = 64
     block: int = 2048
-    docs_per_bucket: int = 8000
+    postings: int = 500_000
 
 
 @dataclass
@@ -85,7 +90,7 @@ def needed_overlap(n, m, t: float):
 def _scan_and_count(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << spec.sketch_bits, np.uint32)
-        schema = pa.schema([("id", pa.string()), ("rank", pa.struct([("stamp", pa.string()), ("text_hash", pa.int64())])), ("class", pa.int64()), ("n", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.string()), ("rank", pa.struct([("stamp", pa.string()), ("text_hash", pa.int64())])), ("class", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -93,13 +98,13 @@ def _scan_and_count(spec: JoinSpec):
                 if sets:
                     cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - spec.sketch_bits)).astype(np.int64), minlength=len(cells)).astype(np.uint32) if sum(map(len, sets)) > len(cells) // 8 else _sparse_counts(cells, sets, spec)
                 k = part.num_rows
-                yield pa.record_batch([part["id"], part["rank"], pa.array([set_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                yield pa.record_batch([part["id"], part["rank"], pa.array([set_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         blocks = cells.reshape(spec.sketch_blocks, -1)
         for b, block in enumerate(blocks):
             at = np.flatnonzero(block)
             if len(at):
                 coded = pa.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + block[at].tobytes(), codec="zstd", asbytes=True)
-                yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, schema.field("rank").type), pa.nulls(1, pa.int64()), pa.array([len(at)], pa.int32()), pa.array([b], pa.int32()), pa.array([coded], pa.binary())], schema=schema)
+                yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, schema.field("rank").type), pa.nulls(1, pa.int64()), pa.array([len(at)], pa.int32()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([coded], pa.binary())], schema=schema)
 
     return run
 
@@ -134,16 +139,17 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _postings(spec: JoinSpec, sketch, buckets: int):
+def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
+    """load: the mean count of a sketch cell; what a cell counts beyond a few times of it is due to
+    one frequent shingle."""
     t = spec.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sketch.value, np.uint8)
         seen: dict[int, None] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                out_bucket: list[int] = []
-                out_post: list[bytes] = []
                 for s in shingle_sets(batch.slice(at, TEXTS_AT_ONCE)["text"].to_pylist(), spec.width):
                     name = set_class(s)
                     if name in seen:  # copies within a task are sent once
@@ -153,47 +159,78 @@ def _postings(spec: JoinSpec, sketch, buckets: int):
                     seen[name] = None
                     n = len(s)
                     code = table[(s >> np.uint64(64 - spec.sketch_bits)).astype(np.int64)]
-                    prefix = n - int(np.ceil(t * n - 1e-9)) + 1
+                    prefix = prefix_length(n, t)
                     order = np.argsort(code, kind="stable")[:prefix]  # s is sorted, so ties go by hash
                     token, freq = s[order], code[order]
                     group = int(mix64(np.array([np.add.reduce(token * np.arange(1, prefix + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(n)]))[0] >> np.uint64(32))
-                    place = np.flatnonzero(freq > 1).astype(np.uint32)
+                    place = np.flatnonzero(freq > 1)
                     if not len(place):
                         continue
                     token, freq = token[place], freq[place]
-                    head = np.array([name], np.int64).tobytes() + np.array([group, n], np.uint32).tobytes()
-                    bitmap = _bitmap(s).tobytes()
-                    splits = np.ceil(decode_count(freq) / spec.block).astype(np.int64)
-                    short = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    if (splits > 1).any():
-                        short, place, bucket = _spread(token, short, place, splits, name, buckets)
-                    else:
-                        bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
-                    by = np.argsort(bucket, kind="stable")
-                    ordered = bucket[by]
-                    cut = [0, *(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1).tolist(), len(by)]
-                    shorts, places = short[by].tobytes(), place[by].tobytes()
-                    out_bucket += ordered[cut[:-1]].tolist()
-                    for a, b in zip(cut, cut[1:]):
-                        out_post.append(head + (b - a).to_bytes(4, "little") + shorts[4 * a : 4 * b] + places[4 * a : 4 * b] + bitmap)
-                if out_bucket:
-                    yield pa.record_batch([pa.array(out_bucket, pa.int32()), pa.array(out_post, pa.binary())], names=["bucket", "post"])
+                    blocks = np.ceil((decode_count(freq) - 4 * load) / spec.block).astype(np.int64)
+                    if (blocks > 1).any():
+                        token, place = spread(token, place, np.maximum(blocks, 1), name)
+                    rows = np.empty(len(token), POSTING)
+                    rows["token"], rows["place"], rows["name"], rows["group"], rows["n"] = token & np.uint64(0xFFFFFFFF), place, name, group, n
+                    held.append(((mix64(token) % np.uint64(buckets)).astype(np.int32), rows))
+                if sum(len(h[0]) for h in held) > POSTINGS_AT_ONCE:
+                    yield _by_bucket(held)
+                    held = []
+        if held:
+            yield _by_bucket(held)
 
     return run
 
 
-def _spread(token, short, place, splits, name: int, buckets: int):
-    """Send the frequent shingles to all cells of the document's row and column of their triangle."""
-    shorts, places, bs = [], [], []
-    for tok, sh, pl, k in zip(token, short, place, splits):
-        mine = (name & 0x7FFFFFFF) % int(k)
-        other = np.arange(k)
-        cell = np.minimum(other, mine) * int(k) + np.maximum(other, mine)
-        mixed = mix64(np.uint64(tok) + mix64(cell.astype(np.uint64))) if k > 1 else mix64(np.array([tok], np.uint64))
-        bs.append((mixed % np.uint64(buckets)).astype(np.int64))
-        shorts.append((mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32) if k > 1 else np.array([sh], np.uint32))
-        places.append(np.full(k, pl, np.uint32))
-    return np.concatenate(shorts), np.concatenate(places), np.concatenate(bs)
+def prefix_length(n, t: float):
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+
+
+def _by_bucket(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One record a bucket with its postings."""
+    bucket, rows = (np.concatenate(x) for x in zip(*held))
+    by = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[by], rows[by]
+    cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    return pa.record_batch([pa.array(bucket[cut[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "post"])
+
+
+def spread(token: np.ndarray, place: np.ndarray, blocks: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles go to all cells of the document's row and column of their triangle of blocks,
+    under a hash of their own each; others stay."""
+    tokens, places = [token[blocks == 1]], [place[blocks == 1]]
+    for i in np.flatnonzero(blocks > 1):
+        k = int(blocks[i])
+        mine, other = (name & 0x7FFFFFFF) % k, np.arange(k)
+        cell = np.minimum(other, mine) * k + np.maximum(other, mine)
+        tokens.append(mix64(token[i] + mix64(cell.astype(np.uint64))))
+        places.append(np.full(k, place[i]))
+    return np.concatenate(tokens), np.concatenate(places)
+
+
+def _divide(spec: JoinSpec, buckets: int):
+    """Long posting lists, whose length is known now, over the triangles of their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for size, post in zip(batch["size"].to_pylist(), batch["post"].to_pylist()):
+                rows = np.frombuffer(post, POSTING)
+                k = -(-size // spec.block)
+                mine = (rows["name"].astype(np.uint64) & np.uint64(0x7FFFFFFF)).astype(np.int64) % k
+                for other in range(k):
+                    cell = np.minimum(other, mine) * k + np.maximum(other, mine)
+                    mixed = mix64(rows["token"].astype(np.uint64) + mix64(cell.astype(np.uint64)))
+                    out = rows.copy()
+                    out["token"] = mixed & np.uint64(0xFFFFFFFF)
+                    held.append(((mixed >> np.uint64(32)) % np.uint64(buckets), out))
+                    if len(held) * len(rows) > POSTINGS_AT_ONCE:
+                        yield _by_bucket([(b.astype(np.int32), r) for b, r in held])
+                        held = []
+        if held:
+            yield _by_bucket([(b.astype(np.int32), r) for b, r in held])
+
+    return run
 
 
 class _Bitmaps:
@@ -229,82 +266,76 @@ class _Bitmaps:
         return out
 
 
-def _bucket_join(spec: JoinSpec):
+def _bucket_join(spec: JoinSpec, divide: bool):
+    """Pairs of classes that meet in a bucket.  divide: lists above ``block`` are sent on instead."""
     t = spec.threshold
+    schema = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("size", pa.int64()), ("post", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        names, groups, sizes, maps, toks, places, owners = [], [], [], [], [], [], []
-        for batch in batches:
-            for post in batch["post"].to_pylist():
-                name = int.from_bytes(post[:8], "little", signed=True)
-                if name in known:  # a copy that another task sent too
-                    continue
-                known.add(name)
-                group, n, k = np.frombuffer(post, np.uint32, 3, 8)
-                owner = len(names)
-                names.append(name)
-                groups.append(group)
-                sizes.append(n)
-                toks.append(np.frombuffer(post, np.uint32, k, 20))
-                places.append(np.frombuffer(post, np.uint32, k, 20 + 4 * k))
-                maps.append(np.frombuffer(post, np.uint8, -1, 20 + 8 * k).view(np.uint64))
-                owners.append(np.full(k, owner, np.int64))
-        if not names:
+        posts = [np.frombuffer(post, POSTING) for batch in batches for post in batch["post"].to_pylist()]
+        if not posts:
             return
-        name_of, size_of = np.array(names, np.int64), np.array(sizes, np.int64)
-        # groups: records with the same prefix and size; their first record speaks for all
-        key = np.array(groups, np.uint64) << np.uint64(32) | size_of.astype(np.uint64)
-        _, leader, group_of = np.unique(key, return_index=True, return_inverse=True)
-        order = np.argsort(group_of, kind="stable")
-        starts = np.searchsorted(group_of[order], np.arange(len(leader) + 1))
-        tok, place, owner = np.concatenate(toks), np.concatenate(places).astype(np.int64), np.concatenate(owners)
-        unit = group_of[owner]
-        # one posting a group and shingle
-        by = np.lexsort((unit, size_of[owner], tok))
-        tok, place, unit, size = tok[by], place[by], unit[by], size_of[owner][by]
+        rows = np.concatenate(posts)
+        del posts
+        # groups: documents with the same prefix and size; each has one posting a shingle
+        key = rows["group"].astype(np.uint64) << np.uint64(32) | rows["n"].astype(np.uint64)
+        groups, group_of = np.unique(key, return_inverse=True)
+        size_of = (groups & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        by = np.lexsort((rows["name"], group_of))
+        both = np.ones(len(by), bool)
+        both[1:] = (group_of[by][1:] != group_of[by][:-1]) | (rows["name"][by][1:] != rows["name"][by][:-1])
+        names, starts = rows["name"][by][both], np.searchsorted(group_of[by][both], np.arange(len(groups) + 1))
+        by = np.lexsort((group_of, rows["n"], rows["token"]))
+        tok, unit = rows["token"][by], group_of[by]
         once = np.ones(len(tok), bool)
         once[1:] = (tok[1:] != tok[:-1]) | (unit[1:] != unit[:-1])
-        tok, place, unit, size = tok[once], place[once], unit[once], size[once]
-        bitmaps = _Bitmaps(maps)
+        if divide:
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            length = np.diff(np.append(first, len(tok)))
+            for a, n in zip(first[length > spec.block].tolist(), length[length > spec.block].tolist()):
+                for at in range(a, a + n, spec.block):
+                    post = rows[by[at : min(at + spec.block, a + n)]].tobytes()
+                    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.array([post], pa.binary())], schema=schema)
+            once &= np.repeat(length <= spec.block, length)
+        tok, unit, place = tok[once], unit[once], rows["place"][by][once].astype(np.int64)
+        size = size_of[unit]
         found: list[np.ndarray] = []
         held = 0
 
-        def expand(codes: np.ndarray) -> np.ndarray:
-            """Pairs of records of the pairs of groups that their bitmaps let pass."""
-            ga, gb = codes // len(leader), codes % len(leader)
+        def expand(codes: np.ndarray) -> Iterator[np.ndarray]:
+            """Pairs of members of the pairs of groups."""
+            ga, gb = codes // len(groups), codes % len(groups)
             na, nb = starts[ga + 1] - starts[ga], starts[gb + 1] - starts[gb]
             count = na * nb
-            out = []
             for at in _runs(count, 1 << 20):
                 c = count[at]
                 which = np.repeat(np.arange(len(c)), c)
                 k = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
-                a = order[starts[ga[at]][which] + k // nb[at][which]]
-                b = order[starts[gb[at]][which] + k % nb[at][which]]
-                ok = (name_of[a] != name_of[b]) & ~((ga[at][which] == gb[at][which]) & (a > b))
-                a, b = a[ok], b[ok]
-                n, m = size_of[a], size_of[b]
-                ok = bitmaps.distance(a, b) <= n + m - 2 * needed_overlap(n, m, t)
-                a, b = name_of[a[ok]], name_of[b[ok]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+                i = starts[ga[at]][which] + k // nb[at][which]
+                j = starts[gb[at]][which] + k % nb[at][which]
+                ok = (names[i] != names[j]) & ~((ga[at][which] == gb[at][which]) & (i > j))
+                a, b = names[i[ok]], names[j[ok]]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
         done = np.empty(0, np.int64)
-        results: list[np.ndarray] = []
 
-        def flush() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal done, held
             if found:
                 codes = np.setdiff1d(np.concatenate(found), done)
-                results.append(expand(codes))
                 done = np.union1d(done, codes) if len(done) < 1 << 24 else codes
                 found.clear()
                 held = 0
-
-        several = np.flatnonzero(np.diff(starts) > 1)  # a group's own members are candidates
+                for pairs in expand(codes):
+                    if len(pairs):
+                        k = len(pairs)
+                        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
+
+        # a group's own members are candidates; where all its lists are sent on, the blocks bring them
+        several = np.flatnonzero(np.diff(starts) > 1)
+        several = several[np.isin(several, unit)]
         if len(several):
-            found.append(several.astype(np.int64) * len(leader) + several)
+            found.append(several.astype(np.int64) * len(groups) + several)
         step = 1
         active = np.arange(len(tok))
         while True:
@@ -321,17 +352,13 @@ def _bucket_join(spec: JoinSpec):
             p, q = place[i], place[j]
             ok = (p <= n - need) & (q <= m - need) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
             a, b = unit[i[ok]].astype(np.int64), unit[j[ok]].astype(np.int64)
-            codes = np.unique(np.minimum(a, b) * len(leader) + np.maximum(a, b))
+            codes = np.unique(np.minimum(a, b) * len(groups) + np.maximum(a, b))
             found.append(codes)
             held += len(codes)
             if held > 1 << 21:
-                flush()
+                yield from flush()
             step += 1
-        flush()
-        pairs = np.unique(np.concatenate(results), axis=0) if results else np.empty((0, 2), np.int64)
-        for at in range(0, len(pairs), 1 << 16):
-            part = pairs[at : at + (1 << 16)]
-            yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["class_a", "class_b"])
+        yield from flush()
 
     return run
 
@@ -347,6 +374,20 @@ def _runs(count: np.ndarray, most: int) -> Iterator[slice]:
         at = end
 
 
+def _differ_little(spec: JoinSpec):
+    """Pairs whose bitmaps differ in no more bits than the sets may differ in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch["n_a"].to_numpy().astype(np.int64), batch["n_b"].to_numpy().astype(np.int64)
+            k = batch.num_rows
+            maps = _Bitmaps([np.frombuffer(x, np.uint64) for c in ("bitmap_a", "bitmap_b") for x in batch[c].to_pylist()]) if k else None
+            ok = maps.distance(np.arange(k), np.arange(k, 2 * k)) <= n + m - 2 * needed_overlap(n, m, spec.threshold) if k else np.empty(0, bool)
+            yield batch.select(["class_a", "class_b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _verify(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,23 +426,52 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, stamp_col=None, s
     for row in coded.collect():  # sketch_blocks rows, whatever the data
         sketch[row["block"] * cell_count : (row["block"] + 1) * cell_count] = pa.decompress(row["counts"], cell_count, codec="zstd", asbytes=True)
     shared = spark.sparkContext.broadcast(bytes(sketch))
-    buckets = max(8, -(-docs.count() // spec.docs_per_bucket))
-    posts = base.select("text").mapInArrow(_postings(spec, shared, buckets), POST_SCHEMA)
-    candidates = materialise(posts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket_join(spec), PAIR_SCHEMA).distinct(), "candidates")
-    speaker = docs.groupBy("class").agg(F.max_by(F.struct("id", "rank"), F.struct("rank", "id")).alias("s")).select("class", "s.id", "s.rank")
+    n = F.col("n")
+    total, prefixes = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(n - F.ceil(n * spec.threshold - 1e-9) + 1), F.lit(0))).first()
+    buckets = max(8, -(-int(prefixes) // spec.postings))
+    posts = base.select("text").mapInArrow(_postings(spec, shared, buckets, total / (1 << spec.sketch_bits)), POST_SCHEMA)
+    met = materialise(posts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket_join(spec, True), PAIR_SCHEMA), "met")
+    pairs = met.where("post is null").select("class_a", "class_b")
+    long_ = met.where("post is not null").select("size", "post")
+    length = long_.agg(F.sum(F.length("post") / POSTING.itemsize * F.ceil(F.col("size") / F.lit(spec.block)))).first()[0]
+    if length:
+        more = max(8, -(-int(length) // spec.postings))
+        divided = long_.mapInArrow(_divide(spec, more), POST_SCHEMA).repartitionById(more, F.col("bucket")).mapInArrow(_bucket_join(spec, False), PAIR_SCHEMA)
+        pairs = pairs.unionByName(divided.select("class_a", "class_b"))
+    candidates = materialise(pairs.distinct(), "candidates")
+    speaker = docs.groupBy("class").agg(F.max_by(F.struct("id", "rank", "n", "bitmap"), F.struct("rank", "id")).alias("s")).select("class", "s.*")
     named = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     speakers = materialise(speaker.join(named, "class"), "speakers")
-    texts = semi_join_keys(base, speakers.select("id").distinct(), "id").join(speakers.hint("merge"), ["id", "rank"]).groupBy("class").agg(F.max("text").alias("text"))
+    side = {x: speakers.select(F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}")) for x in "ab"}
+    near = materialise(candidates.join(side["a"], "class_a").join(side["b"], "class_b").mapInArrow(_differ_little(spec), "class_a long, class_b long"), "near")
+    wanted = near.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    sources = materialise(speakers.select("class", "id", "rank").join(wanted, "class"), "sources")
+    texts = semi_join_keys(base, sources.select("id").distinct(), "id").join(sources.hint("merge"), ["id", "rank"]).groupBy("class").agg(F.max("text").alias("text"))
     texts = materialise(texts, "texts")
     a, b = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
-    pairs = candidates.join(a, "class_a").join(b, "class_b").mapInArrow(_verify(spec), "class_a long, class_b long, similarity double")
-    return NearDuplicates(members.select("id", "class"), pairs)
+    verified = near.join(a, "class_a").join(b, "class_b").mapInArrow(_verify(spec), "class_a long, class_b long, similarity double")
+    return NearDuplicates(members.select("id", "class"), verified)
 
 
-def expand_pairs(found: NearDuplicates) -> DataFrame:
-    """Pairs ``id_a < id_b`` of all members: copies of one class, and members of similar classes."""
-    m = found.members
-    left, right = m.select(F.col("id").alias("x"), F.col("class").alias("class_a")), m.select(F.col("id").alias("y"), F.col("class").alias("class_b"))
-    copies = left.join(right, (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    near = found.pairs.select("class_a", "class_b").join(left, "class_a").join(right, "class_b").select("x", "y")
+def expand_pairs(found: NearDuplicates, block: int = 4096) -> DataFrame:
+    """Pairs ``id_a < id_b`` of all members: copies of one class, and members of similar classes.
+
+    A class with more than ``block`` members is divided into blocks; each pair of blocks is a join key
+    of its own, so no task holds more than one pair of blocks of a class.
+    """
+    members = materialise(found.members, "members")
+    large = materialise(members.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > block).select("class", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("k")), "large")
+    few = large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    m = members.join(F.broadcast(large) if few else large, "class", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    m = m.select("id", "class", "k", F.pmod(F.xxhash64("id"), "k").cast("int").alias("part"))
+    x = m.select(F.col("id").alias("x"), F.col("class").alias("class_a"), F.col("k").alias("k_a"), F.col("part").alias("i"))
+    y = m.select(F.col("id").alias("y"), F.col("class").alias("class_b"), F.col("k").alias("k_b"), F.col("part").alias("j"))
+    # copies: each member meets all blocks of its class
+    each = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k_a") - 1)))
+    copies = each.join(y, (F.col("class_a") == F.col("class_b")) & (F.col("other") == F.col("j")) & (F.col("x") < F.col("y"))).select("x", "y")
+    # similar classes: a row for each pair of blocks
+    sizes = m.select("class", "k").distinct()
+    cells = found.pairs.select("class_a", "class_b").join(sizes.select(F.col("class").alias("class_a"), F.col("k").alias("ka")), "class_a").join(sizes.select(F.col("class").alias("class_b"), F.col("k").alias("kb")), "class_b")
+    cells = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("kb") - 1))).select("class_a", "class_b", "i", "j")
+    near = cells.join(x.select("x", "class_a", "i"), ["class_a", "i"]).join(y.select("y", "class_b", "j"), ["class_b", "j"]).select("x", "y")
     return copies.unionByName(near).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

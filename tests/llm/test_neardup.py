@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusmill.llm import neardup as N
@@ -63,12 +64,35 @@ def corpus(seed, n):
 def test_join_against_brute_force(spark, width, t, block):
     rows = corpus(width, 240) + [("e1", "a b"), ("e2", "A, b!"), ("e3", "..."), ("e4", "..."), ("e5", ""), ("e6", ""), ("e7", "a"), ("e8", "b a")]
     d = spark.createDataFrame(rows, "id string, text string").repartition(5)
-    spec = N.JoinSpec(width=width, threshold=t, sketch_bits=14, block=block, docs_per_bucket=50)
+    spec = N.JoinSpec(width=width, threshold=t, sketch_bits=14, block=block, postings=1500)
     found = N.expand_pairs(N.near_duplicates(d, "id", "text", spec=spec)).collect()
     assert len(found) == len(set(found))
     assert {(r.id_a, r.id_b) for r in found} == brute(rows, width, t)
 
 
+@pytest.mark.parametrize("buckets", [8, 100, 4000])
+def test_postings_of_a_document_are_bounded(buckets):
+    """Each prefix shingle is sent once, in 24 bytes, however many buckets there are."""
+
+    class Shared:
+        value = bytes([9]) * (1 << 14)
+
+    texts = [x for _, x in corpus(4, 200)]
+    spec = N.JoinSpec(width=3, threshold=0.6, sketch_bits=14)
+    out = list(N._postings(spec, Shared, buckets, 9.0)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    sent = sum(len(p) for b in out for p in b["post"].to_pylist())
+    sets = {frozenset(brute_set(x, 3)) for x in texts}
+    assert N.POSTING.itemsize == 24 and sent == 24 * sum(int(N.prefix_length(len(s), 0.6)) for s in sets)
+
+
+def test_large_classes_are_expanded_in_blocks(spark):
+    rows = [(f"a{i:02d}", 1) for i in range(23)] + [(f"b{i}", 2) for i in range(3)] + [("c", 3)]
+    found = N.NearDuplicates(spark.createDataFrame(rows, "id string, class long"), spark.createDataFrame([(1, 2, 0.9)], "class_a long, class_b long, similarity double"))
+    want = {(x, y) for x, a in rows for y, b in rows if x < y and 3 not in (a, b)}
+    got = [tuple(r) for r in N.expand_pairs(found, block=4).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_one_text_in_a_third_of_all_rows(spark):
     rows = corpus(9, 60) + [(f"h{i}", "the same hot text in very many of the rows of this table here") for i in range(30)]
     d = spark.createDataFrame(rows, "id string, text string")
