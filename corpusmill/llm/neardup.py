@@ -2,19 +2,18 @@
 
 Plan, for a threshold ``t`` on the Jaccard similarity of the texts' sets of word shingles:
 
-1. One pass hashes every text's shingles, names its *class* (texts with equal sets are copies), keeps
-   a parity bitmap of the set and counts all shingles in a frequency sketch of fixed size.  Sketch
-   cells only over-estimate.
+1. One pass hashes every text's shingles, names its *class* (texts with equal sets are copies) and
+   counts all shingles in a frequency sketch of fixed size.  Sketch cells only over-estimate.
 2. A second pass sorts each set rarest first by the sketch (any total order that all tasks share
    keeps the join exact) and cuts its prefix.  Documents with identical prefix and size form one
    group.  Shingles whose cell counts one document cannot meet anybody and are not sent.
-3. The prefix shingles are hashed to buckets, of a number in proportion to all of them; each is sent
-   once, with 24 bytes, however many buckets there are.  Shingles that the sketch shows to be very
-   frequent are spread over a triangle of blocks.
-4. In a bucket, pairs of groups are filtered by size and position and expanded to their members.
-   Posting lists that turn out longer than ``block`` there are sent on and joined by blocks, too.
-5. Pairs fetch their bitmaps by a join (the bits in which two bitmaps differ bound the symmetric
-   difference); what is left, nearly only true pairs, is verified on the texts.
+3. The prefix shingles are hashed to buckets, of a number in proportion to all of them.  A bucket gets
+   a document once, with a parity bitmap of its set, and its shingles there.  Shingles that the sketch
+   shows to be very frequent are spread over a triangle of blocks.
+4. In a bucket, pairs of groups are filtered by size and position, then expanded to their members,
+   which the bitmaps filter (the bits in which two bitmaps differ bound the symmetric difference).
+   Posting lists that turn out longer than ``block`` are sent on and joined by blocks, too.
+5. What is left, nearly only true pairs, is verified on the texts.
 
 Results are classes and pairs of class representatives; copies are never expanded here.
 """
@@ -32,11 +31,9 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_KEYS, materialise, semi_join_keys
 from .wordscan import mix64, shingle_sets
 
-SCAN_SCHEMA = "id string, rank struct<stamp: string, text_hash: long>, class long, n int, bitmap binary, block int, counts binary"
+SCAN_SCHEMA = "id string, rank struct<stamp: string, text_hash: long>, class long, n int, block int, counts binary"
 POST_SCHEMA = "bucket int, post binary"
 PAIR_SCHEMA = "class_a long, class_b long, size long, post binary"
-#: One posting: the shingle's hash in its bucket, its place in the prefix, and the document.
-POSTING = np.dtype([("token", np.uint32), ("place", np.uint32), ("name", np.int64), ("group", np.uint32), ("n", np.uint32)])
 POSTINGS_AT_ONCE = 1 << 18
 TEXTS_AT_ONCE = 256
 
@@ -90,7 +87,7 @@ def needed_overlap(n, m, t: float):
 def _scan_and_count(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << spec.sketch_bits, np.uint32)
-        schema = pa.schema([("id", pa.string()), ("rank", pa.struct([("stamp", pa.string()), ("text_hash", pa.int64())])), ("class", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.string()), ("rank", pa.struct([("stamp", pa.string()), ("text_hash", pa.int64())])), ("class", pa.int64()), ("n", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
@@ -98,13 +95,13 @@ def _scan_and_count(spec: JoinSpec):
                 if sets:
                     cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - spec.sketch_bits)).astype(np.int64), minlength=len(cells)).astype(np.uint32) if sum(map(len, sets)) > len(cells) // 8 else _sparse_counts(cells, sets, spec)
                 k = part.num_rows
-                yield pa.record_batch([part["id"], part["rank"], pa.array([set_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                yield pa.record_batch([part["id"], part["rank"], pa.array([set_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         blocks = cells.reshape(spec.sketch_blocks, -1)
         for b, block in enumerate(blocks):
             at = np.flatnonzero(block)
             if len(at):
                 coded = pa.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + block[at].tobytes(), codec="zstd", asbytes=True)
-                yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, schema.field("rank").type), pa.nulls(1, pa.int64()), pa.array([len(at)], pa.int32()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([coded], pa.binary())], schema=schema)
+                yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, schema.field("rank").type), pa.nulls(1, pa.int64()), pa.array([len(at)], pa.int32()), pa.array([b], pa.int32()), pa.array([coded], pa.binary())], schema=schema)
 
     return run
 
@@ -132,9 +129,14 @@ def _merge_counts(spec: JoinSpec):
     return run
 
 
+def map_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the bitmap of a set of n shingles."""
+    return 1 << np.clip(np.ceil(np.log2(2 * np.maximum(n, 1))).astype(np.int64) - 6, 0, 9)
+
+
 def _bitmap(s: np.ndarray) -> np.ndarray:
     """Parity bitmap with about two bits a shingle, from 64 to 2**15 bits."""
-    bits = 1 << min(15, max(6, int(2 * len(s) - 1).bit_length()))
+    bits = 64 * int(map_words(np.array([len(s)]))[0])
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -147,7 +149,7 @@ def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sketch.value, np.uint8)
         seen: dict[int, None] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = _Held(buckets)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 for s in shingle_sets(batch.slice(at, TEXTS_AT_ONCE)["text"].to_pylist(), spec.width):
@@ -170,14 +172,11 @@ def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
                     blocks = np.ceil((decode_count(freq) - 4 * load) / spec.block).astype(np.int64)
                     if (blocks > 1).any():
                         token, place = spread(token, place, np.maximum(blocks, 1), name)
-                    rows = np.empty(len(token), POSTING)
-                    rows["token"], rows["place"], rows["name"], rows["group"], rows["n"] = token & np.uint64(0xFFFFFFFF), place, name, group, n
-                    held.append(((mix64(token) % np.uint64(buckets)).astype(np.int32), rows))
-                if sum(len(h[0]) for h in held) > POSTINGS_AT_ONCE:
-                    yield _by_bucket(held)
-                    held = []
-        if held:
-            yield _by_bucket(held)
+                    held.add(name, group, n, token, place, _bitmap(s).tobytes())
+                if held.size > POSTINGS_AT_ONCE:
+                    yield held.hand_on()
+        if held.size:
+            yield held.hand_on()
 
     return run
 
@@ -186,13 +185,50 @@ def prefix_length(n, t: float):
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def _by_bucket(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One record a bucket with its postings."""
-    bucket, rows = (np.concatenate(x) for x in zip(*held))
-    by = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[by], rows[by]
-    cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-    return pa.record_batch([pa.array(bucket[cut[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "post"])
+class _Held:
+    """Documents with shingles that wait to be sent, one record a bucket.
+
+    A record holds the numbers of documents and postings, the documents (name, group, size, number of
+    postings), the postings (the shingle's low 32 bits and its place in the prefix) and the bitmaps.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.docs: list[tuple] = []
+        self.size = 0
+
+    def add(self, name: int, group: int, n: int, token: np.ndarray, place: np.ndarray, bitmap: bytes) -> None:
+        self.docs.append((name, group, n, token, place, bitmap))
+        self.size += len(token)
+
+    def hand_on(self) -> pa.RecordBatch:
+        names, groups, sizes, tokens, places, maps = zip(*self.docs)
+        name, group, size = np.array(names, np.int64), np.array(groups, np.uint32), np.array(sizes, np.uint32)
+        token, place = np.concatenate(tokens), np.concatenate(places).astype(np.uint32)
+        doc = np.repeat(np.arange(len(names)), [len(t) for t in tokens])
+        bucket = (mix64(token) % np.uint64(self.buckets)).astype(np.int32)
+        by = np.lexsort((doc, bucket))
+        bucket, doc, token, place = bucket[by], doc[by], (token[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), place[by]
+        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))
+        count = np.diff(np.append(starts, len(bucket))).astype(np.uint32)
+        of = doc[starts]
+        first = np.flatnonzero(np.append(True, bucket[starts][1:] != bucket[starts][:-1])).tolist()
+        edges = np.append(starts, len(bucket))
+        posts = []
+        for a, b in zip(first, [*first[1:], len(starts)]):
+            d, x, y = of[a:b], edges[a], edges[b]
+            posts.append(b"".join([np.array([b - a, y - x], np.uint32).tobytes(), name[d].tobytes(), group[d].tobytes(), size[d].tobytes(), count[a:b].tobytes(), token[x:y].tobytes(), place[x:y].tobytes(), *[maps[i] for i in d]]))
+        out = pa.record_batch([pa.array(bucket[starts[first]], pa.int32()), pa.array(posts, pa.binary())], names=["bucket", "post"])
+        self.docs, self.size = [], 0
+        return out
+
+
+def _unpack(post: bytes) -> tuple[np.ndarray, ...]:
+    """name, group, size, number of postings, token, place, words of the bitmaps."""
+    d, p = np.frombuffer(post, np.uint32, 2).tolist()
+    group, size, count = (np.frombuffer(post, np.uint32, d, 8 + 8 * d + 4 * d * k) for k in range(3))
+    token, place = (np.frombuffer(post, np.uint32, p, 8 + 20 * d + 4 * p * k) for k in range(2))
+    return np.frombuffer(post, np.int64, d, 8), group, size, count, token, place, np.frombuffer(post, np.uint64, -1, 8 + 20 * d + 8 * p)
 
 
 def spread(token: np.ndarray, place: np.ndarray, blocks: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,23 +248,19 @@ def _divide(spec: JoinSpec, buckets: int):
     """Long posting lists, whose length is known now, over the triangles of their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = _Held(buckets)
         for batch in batches:
             for size, post in zip(batch["size"].to_pylist(), batch["post"].to_pylist()):
-                rows = np.frombuffer(post, POSTING)
-                k = -(-size // spec.block)
-                mine = (rows["name"].astype(np.uint64) & np.uint64(0x7FFFFFFF)).astype(np.int64) % k
-                for other in range(k):
-                    cell = np.minimum(other, mine) * k + np.maximum(other, mine)
-                    mixed = mix64(rows["token"].astype(np.uint64) + mix64(cell.astype(np.uint64)))
-                    out = rows.copy()
-                    out["token"] = mixed & np.uint64(0xFFFFFFFF)
-                    held.append(((mixed >> np.uint64(32)) % np.uint64(buckets), out))
-                    if len(held) * len(rows) > POSTINGS_AT_ONCE:
-                        yield _by_bucket([(b.astype(np.int32), r) for b, r in held])
-                        held = []
-        if held:
-            yield _by_bucket([(b.astype(np.int32), r) for b, r in held])
+                name, group, n, _, token, place, maps = _unpack(post)
+                ends = np.cumsum(map_words(n.astype(np.int64)))
+                k = np.array([-(-size // spec.block)])
+                for i in range(len(name)):
+                    t, p = spread(token[i : i + 1].astype(np.uint64), place[i : i + 1], k, int(name[i]))
+                    held.add(int(name[i]), int(group[i]), int(n[i]), t, p, maps[ends[i] - map_words(n[i : i + 1].astype(np.int64))[0] : ends[i]].tobytes())
+                    if held.size > POSTINGS_AT_ONCE:
+                        yield held.hand_on()
+        if held.size:
+            yield held.hand_on()
 
     return run
 
@@ -272,38 +304,45 @@ def _bucket_join(spec: JoinSpec, divide: bool):
     schema = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("size", pa.int64()), ("post", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts = [np.frombuffer(post, POSTING) for batch in batches for post in batch["post"].to_pylist()]
+        posts = [_unpack(post) for batch in batches for post in batch["post"].to_pylist()]
         if not posts:
             return
-        rows = np.concatenate(posts)
+        name, group, n_of, count, token, place, words = (np.concatenate(x) for x in zip(*posts))
         del posts
+        sizes = map_words(n_of.astype(np.int64))
+        at = np.cumsum(sizes) - sizes
+        # a class that several tasks have sent is one document
+        names, leader, same = np.unique(name, return_index=True, return_inverse=True)
+        owner = np.repeat(same, count)
+        size_of = n_of[leader].astype(np.int64)
+        bitmaps = _Bitmaps([words[at[i] : at[i] + sizes[i]] for i in leader])
         # groups: documents with the same prefix and size; each has one posting a shingle
-        key = rows["group"].astype(np.uint64) << np.uint64(32) | rows["n"].astype(np.uint64)
-        groups, group_of = np.unique(key, return_inverse=True)
-        size_of = (groups & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        by = np.lexsort((rows["name"], group_of))
-        both = np.ones(len(by), bool)
-        both[1:] = (group_of[by][1:] != group_of[by][:-1]) | (rows["name"][by][1:] != rows["name"][by][:-1])
-        names, starts = rows["name"][by][both], np.searchsorted(group_of[by][both], np.arange(len(groups) + 1))
-        by = np.lexsort((group_of, rows["n"], rows["token"]))
-        tok, unit = rows["token"][by], group_of[by]
-        once = np.ones(len(tok), bool)
-        once[1:] = (tok[1:] != tok[:-1]) | (unit[1:] != unit[:-1])
+        groups, group_of = np.unique(group[leader].astype(np.uint64) << np.uint64(32) | size_of.astype(np.uint64), return_inverse=True)
+        members = np.argsort(group_of, kind="stable")
+        starts = np.searchsorted(group_of[members], np.arange(len(groups) + 1))
+        by = np.lexsort((owner, group_of[owner], size_of[owner], token))
+        tok, own, place = token[by], owner[by], place[by].astype(np.int64)
+        twice = np.append(False, (tok[1:] == tok[:-1]) & (own[1:] == own[:-1]))
+        tok, own, place = tok[~twice], own[~twice], place[~twice]
+        unit = group_of[own]
+        once = np.append(True, (tok[1:] != tok[:-1]) | (unit[1:] != unit[:-1]))[: len(tok)]
         if divide:
-            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
             length = np.diff(np.append(first, len(tok)))
             for a, n in zip(first[length > spec.block].tolist(), length[length > spec.block].tolist()):
-                for at in range(a, a + n, spec.block):
-                    post = rows[by[at : min(at + spec.block, a + n)]].tobytes()
+                for i in range(a, a + n, spec.block):
+                    d = own[i : min(i + spec.block, a + n)]
+                    k = len(d)
+                    post = b"".join([np.array([k, k], np.uint32).tobytes(), names[d].tobytes(), group[leader][d].tobytes(), n_of[leader][d].tobytes(), np.ones(k, np.uint32).tobytes(), tok[i : i + k].tobytes(), place[i : i + k].astype(np.uint32).tobytes(), *[words[at[x] : at[x] + sizes[x]].tobytes() for x in leader[d]]])
                     yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.array([post], pa.binary())], schema=schema)
             once &= np.repeat(length <= spec.block, length)
-        tok, unit, place = tok[once], unit[once], rows["place"][by][once].astype(np.int64)
-        size = size_of[unit]
+        tok, unit, place = tok[once], unit[once], place[once]
+        size = (groups & np.uint64(0xFFFFFFFF)).astype(np.int64)[unit]
         found: list[np.ndarray] = []
         held = 0
 
         def expand(codes: np.ndarray) -> Iterator[np.ndarray]:
-            """Pairs of members of the pairs of groups."""
+            """Pairs of members of the pairs of groups that their bitmaps let pass."""
             ga, gb = codes // len(groups), codes % len(groups)
             na, nb = starts[ga + 1] - starts[ga], starts[gb + 1] - starts[gb]
             count = na * nb
@@ -311,9 +350,12 @@ def _bucket_join(spec: JoinSpec, divide: bool):
                 c = count[at]
                 which = np.repeat(np.arange(len(c)), c)
                 k = np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
-                i = starts[ga[at]][which] + k // nb[at][which]
-                j = starts[gb[at]][which] + k % nb[at][which]
-                ok = (names[i] != names[j]) & ~((ga[at][which] == gb[at][which]) & (i > j))
+                i = members[starts[ga[at]][which] + k // nb[at][which]]
+                j = members[starts[gb[at]][which] + k % nb[at][which]]
+                ok = (i != j) & ~((ga[at][which] == gb[at][which]) & (i > j))
+                i, j = i[ok], j[ok]
+                n, m = size_of[i], size_of[j]
+                ok = bitmaps.distance(i, j) <= n + m - 2 * needed_overlap(n, m, t)
                 a, b = names[i[ok]], names[j[ok]]
                 yield np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
 
@@ -374,20 +416,6 @@ def _runs(count: np.ndarray, most: int) -> Iterator[slice]:
         at = end
 
 
-def _differ_little(spec: JoinSpec):
-    """Pairs whose bitmaps differ in no more bits than the sets may differ in shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch["n_a"].to_numpy().astype(np.int64), batch["n_b"].to_numpy().astype(np.int64)
-            k = batch.num_rows
-            maps = _Bitmaps([np.frombuffer(x, np.uint64) for c in ("bitmap_a", "bitmap_b") for x in batch[c].to_pylist()]) if k else None
-            ok = maps.distance(np.arange(k), np.arange(k, 2 * k)) <= n + m - 2 * needed_overlap(n, m, spec.threshold) if k else np.empty(0, bool)
-            yield batch.select(["class_a", "class_b"]).filter(pa.array(ok))
-
-    return run
-
-
 def _verify(spec: JoinSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,23 +461,19 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, stamp_col=None, s
     met = materialise(posts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket_join(spec, True), PAIR_SCHEMA), "met")
     pairs = met.where("post is null").select("class_a", "class_b")
     long_ = met.where("post is not null").select("size", "post")
-    length = long_.agg(F.sum(F.length("post") / POSTING.itemsize * F.ceil(F.col("size") / F.lit(spec.block)))).first()[0]
+    length = long_.agg(F.sum(F.least("size", F.lit(spec.block)) * F.ceil(F.col("size") / F.lit(spec.block)))).first()[0]
     if length:
         more = max(8, -(-int(length) // spec.postings))
         divided = long_.mapInArrow(_divide(spec, more), POST_SCHEMA).repartitionById(more, F.col("bucket")).mapInArrow(_bucket_join(spec, False), PAIR_SCHEMA)
         pairs = pairs.unionByName(divided.select("class_a", "class_b"))
     candidates = materialise(pairs.distinct(), "candidates")
-    speaker = docs.groupBy("class").agg(F.max_by(F.struct("id", "rank", "n", "bitmap"), F.struct("rank", "id")).alias("s")).select("class", "s.*")
+    speaker = docs.groupBy("class").agg(F.max_by(F.struct("id", "rank"), F.struct("rank", "id")).alias("s")).select("class", "s.id", "s.rank")
     named = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     speakers = materialise(speaker.join(named, "class"), "speakers")
-    side = {x: speakers.select(F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}")) for x in "ab"}
-    near = materialise(candidates.join(side["a"], "class_a").join(side["b"], "class_b").mapInArrow(_differ_little(spec), "class_a long, class_b long"), "near")
-    wanted = near.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    sources = materialise(speakers.select("class", "id", "rank").join(wanted, "class"), "sources")
-    texts = semi_join_keys(base, sources.select("id").distinct(), "id").join(sources.hint("merge"), ["id", "rank"]).groupBy("class").agg(F.max("text").alias("text"))
+    texts = semi_join_keys(base, speakers.select("id").distinct(), "id").join(speakers.hint("merge"), ["id", "rank"]).groupBy("class").agg(F.max("text").alias("text"))
     texts = materialise(texts, "texts")
     a, b = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
-    verified = near.join(a, "class_a").join(b, "class_b").mapInArrow(_verify(spec), "class_a long, class_b long, similarity double")
+    verified = candidates.join(a, "class_a").join(b, "class_b").mapInArrow(_verify(spec), "class_a long, class_b long, similarity double")
     return NearDuplicates(members.select("id", "class"), verified)
 
 

@@ -71,8 +71,8 @@ def test_join_against_brute_force(spark, width, t, block):
 
 
 @pytest.mark.parametrize("buckets", [8, 100, 4000])
-def test_postings_of_a_document_are_bounded(buckets):
-    """Each prefix shingle is sent once, in 24 bytes, however many buckets there are."""
+def test_records_hold_every_posting_once(buckets):
+    """A bucket gets a document once: at most a record a prefix shingle, however many buckets."""
 
     class Shared:
         value = bytes([9]) * (1 << 14)
@@ -80,9 +80,12 @@ def test_postings_of_a_document_are_bounded(buckets):
     texts = [x for _, x in corpus(4, 200)]
     spec = N.JoinSpec(width=3, threshold=0.6, sketch_bits=14)
     out = list(N._postings(spec, Shared, buckets, 9.0)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
-    sent = sum(len(p) for b in out for p in b["post"].to_pylist())
+    posts = [N._unpack(p) for b in out for p in b["post"].to_pylist()]
     sets = {frozenset(brute_set(x, 3)) for x in texts}
-    assert N.POSTING.itemsize == 24 and sent == 24 * sum(int(N.prefix_length(len(s), 0.6)) for s in sets)
+    prefix = sum(int(N.prefix_length(len(s), 0.6)) for s in sets)
+    assert sum(len(p[4]) for p in posts) == sum(int(p[3].sum()) for p in posts) == prefix
+    assert len(posts) <= buckets and all(len(p[6]) == N.map_words(p[2].astype(int)).sum() for p in posts)
+    assert sum(len(p[0]) for p in posts) <= min(prefix, buckets * len(sets))
 
 
 def test_large_classes_are_expanded_in_blocks(spark):
