@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,31 +34,53 @@ def outer_object(text: str) -> str | None:
     return text[start : last + 1] if last > start else None
 
 
+_NEXT = re.compile(r"\S")
+
+
 def escape_inner_quotes(text: str) -> str:
-    """Escape quotes that stand inside a string value: a quote ends its string only if the next
-    character other than white space is a comma, colon, bracket or brace."""
-    out, inside = [], False
-    i = 0
-    while i < len(text):
+    """Escape quotes that stand inside a string.
+
+    The next character other than white space tells: a quote ends a key only before a colon, and a
+    value only before a comma, a closing bracket or brace, or at the end.  One pass over the text.
+    """
+    out: list[str] = []
+    boxes: list[str] = []
+    inside = value = False
+    i, n = 0, len(text)
+    while i < n:
         c = text[i]
-        if c == "\\" and inside:
+        if inside and c == "\\":
             out.append(text[i : i + 2])
             i += 2
             continue
-        if c == '"':
-            if not inside:
-                inside = True
+        if not inside:
+            if c in "{[":
+                boxes.append(c)
+                value = c == "["
+            elif c in "}]" and boxes:
+                boxes.pop()
+            elif c == ":":
+                value = True
+            elif c == ",":
+                value = bool(boxes) and boxes[-1] == "["
+            inside = c == '"'
+        elif c == '"':
+            after = _NEXT.search(text, i + 1)
+            if (after is None or after.group() in ",}]") if value else (after is not None and after.group() == ":"):
+                inside = False
             else:
-                rest = text[i + 1 :].lstrip()
-                if not rest or rest[0] in ",:]}":
-                    inside = False
-                else:
-                    out.append("\\")
+                out.append("\\")
         out.append(c)
         i += 1
     return "".join(out)
 
 
+def close_braces(text: str) -> str | None:
+    """A text that begins with a brace and closes too few of them, with those added."""
+    missing = text.count("{") - text.count("}")
+    return text + "}" * missing if missing > 0 and text.startswith("{") else None
+
+
 def repair(text: str | None) -> str | None:
     """The object of a model's reply as compact JSON with sorted keys, or null."""
     if text is None:
@@ -65,8 +88,10 @@ def repair(text: str | None) -> str | None:
     bare = text.strip()
     if bare.startswith("```"):
         bare = bare.split("\n", 1)[-1].rsplit("```", 1)[0]
+    bare = bare.strip()
     found = outer_object(bare)
-    for candidate in (bare, found, escape_inner_quotes(found or bare)):
+    ready = [bare, found, close_braces(bare)]
+    for candidate in (*ready, *(escape_inner_quotes(c) for c in dict.fromkeys(ready) if c)):
         if candidate is None:
             continue
         try:
@@ -79,14 +104,15 @@ def repair(text: str | None) -> str | None:
 
 
 def tolerant_object(text: Column) -> Column:
-    """Replies that are plain JSON objects stay in the JVM; only the others go through the repair."""
+    """Replies that are plain JSON objects are kept as they are; the repair sees nulls for them, which
+    it hands back at once."""
     plain = F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{")
 
     @F.pandas_udf("string")
     def repaired(batch: pd.Series) -> pd.Series:
         return batch.map(repair, na_action="ignore")
 
-    return F.when(plain, text).otherwise(repaired(text))
+    return F.when(plain, text).otherwise(repaired(F.when(~plain, text)))
 
 
 REPLY_PATHS = ["$.choices[0].message.content", "$.choices[0].text", "$.message.content", "$.response", "$.output_text", "$.output[0].content[0].text", "$.content[0].text", "$.text"]

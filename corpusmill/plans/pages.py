@@ -201,7 +201,7 @@ def _laid_out(spark, folder):
 
 @Q("doc03_block_rules")
 def doc03(spark, folder):
-    return CL.clean_pages(_laid_out(spark, folder), CL.PageRules(drop_blocks=((r"^See also", 4, 2.0),)))
+    return CL.clean_pages(_laid_out(spark, folder), CL.PageRules(blocks=(CL.BlockRule(CL.TextAnchor("^See also"), most_lines=4, stops=(("gap", 2.0),), references=(("gap", "median_gap", 2.0),)),)))
 
 
 @Q("win09_line_grouping")

@@ -159,7 +159,7 @@ def word(text, top, x0=0.0, size=10.0):
 
 def test_page_cleanup(spark):
     page = [word("Header", 1), word("Text", 50), word("12", 49, 40, 5.0), word("here.", 50, 60), word("Figure", 70), word("1", 70, 50, 9.0), word("caption", 82), word("End.", 200)]
-    rules = CL.PageRules(drop_lines=(("prefix", "Header", "top"),), drop_blocks=((r"^Figure \d", 2, 1.5),), terms={"End": "Fin"})
+    rules = CL.PageRules(drop_lines=(("prefix", "Header", "top"),), blocks=(CL.BlockRule(CL.TextAnchor(r"^Figure \d"), most_lines=2, stops=(("gap", 1.5),), references=(("gap", "median_gap", 5.0),)),), terms={"End": "Fin"})
     assert CL.clean_words(page, 500.0, rules) == "Text here. Fin."
     two = [word("left", 10, 0), word("right", 10, 300), word("down", 30, 0)]
     assert CL.clean_words(two, 500.0, CL.PageRules(columns_at=200.0)) == "left down right"
@@ -167,6 +167,37 @@ def test_page_cleanup(spark):
     assert CL.clean_pages(d, rules).first()["clean_text"] == ""
 
 
+def test_conditions():
+    import re
+
+    f = CL.Found(7, {7: 3}, re.search(r"Chapter (\d+)", "Chapter 3"), [1, 2], [{"text": "1", "size": 5.0}, {"text": "note", "size": 8.0}], {"size": 10.0})
+    chapter = {"kind": "anchor_capture_int_eq_context", "capture_group": 1}
+    two = {"kind": "candidate_line_count_gte", "value": 2}
+    three = {"kind": "candidate_line_count_gte", "value": 3}
+    digit = {"kind": "word_below_anchor_regex_at_index", "word_index": 0, "pattern": r"^\d+$"}
+    small = {"kind": "word_below_anchor_size_lte_at_index", "word_index": 0, "value": 5}
+    ratio = {"kind": "all_words_below_anchor_size_ratio_lte", "reference": "size", "value": 0.8, "ignore_first_word_if_matches": r"^\d"}
+    assert all(CL.condition(t)(f) for t in (None, chapter, two, digit, small, ratio, {"all": [chapter, two]}, {"any": [three, small]}, {"not": three}, {"not": {"all": [two, {"any": [three]}]}}, {"all": []}))
+    bad = [three, {"any": []}, {**chapter, "capture_group": 2}, {**digit, "word_index": 5}, {**small, "value": 4}, {**ratio, "value": 0.7}, {**ratio, "reference": "none"}, {**digit, "word_index": -1}]
+    assert not any(CL.condition(t)(f) for t in bad) and not CL.condition(chapter)(CL.Found(8, {7: 3}, f.match, [], [], {})) and not CL.condition(chapter)(CL.Found(7, {7: 3}, None, [], [], {}))
+    with pytest.raises(KeyError):
+        CL.condition({"kind": "unknown"})
+
+
+def test_blocks_before_and_after_the_line_rules():
+    page = [word("Chapter", 10), word("3", 10, 60), word("running", 22), word("Body", 60), word("text", 60, 60), word("more", 100), word("1", 400, 0, 5.0), word("note", 400, 20, 6.0), word("Chapter", 420), word("9", 420, 60)]
+    heads = CL.BlockRule(CL.TextAnchor(r"^Chapter (\d)"), before_lines=True, most_lines=2, when={"kind": "anchor_capture_int_eq_context", "capture_group": 1})
+    notes = CL.BlockRule(CL.RuledAnchor(from_share=0.5, width=(50.0, 200.0)), references=(("size", "median_word_font_size_above_anchor", 9.0),), when={"any": [{"kind": "word_below_anchor_regex_at_index", "word_index": 0, "pattern": "^1$"}]})
+    ruled = [{"top": 390.0, "x0": 0.0, "x1": 100.0, "linewidth": 1.0}, {"top": 300.0, "x0": 0.0, "x1": 400.0, "linewidth": 1.0}, {"top": None, "x0": 0.0, "x1": 60.0, "linewidth": 1.0}]
+    rules = CL.PageRules(blocks=(heads, notes), drop_lines=(("prefix", "more", "any"),), superscript_ratio=0.1, chapter_of={7: 3})
+    assert CL.clean_words(page, 500.0, rules, 7, ruled) == "Body text"
+    assert CL.clean_words(page, 500.0, rules, 8, []) == "Chapter 3 running Body text 1 note Chapter 9"
+    late = CL.PageRules(blocks=(CL.BlockRule(CL.TextAnchor("^Chapter", first=True), most_lines=3),), drop_lines=(("prefix", "running", "any"),), superscript_ratio=0.1)
+    assert CL.clean_words(page[:6], 500.0, late) == ""  # the line rules have made one block of it
+    lines = CL.PageRules(substitutions=((r"\n", " / "),), superscript_ratio=0.1)
+    assert CL.clean_words(page[:5], 500.0, lines) == "Chapter 3 / running / Body text"
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([(" a  b\0c ", "it's a WORLD-wide b2b.", "A” b? C. d")], "x string, t string, s string")
     r = d.select(T.collapse(F.col("x")), T.clean_title(F.col("t")), T.sentences(F.lit("One. Two! “Three?” Four")), T.collapse(F.lit(None).cast("string"))).first()
@@ -178,6 +209,12 @@ def test_text_functions(spark):
 def test_json_repair(spark):
     assert jsonfix.repair('```json\n{"label": "a "quoted" word"}\n```') == '{"label":"a \\"quoted\\" word"}'
     assert jsonfix.repair('noise {"a": {"b": "}"}} tail') == '{"a":{"b":"}"}}'
+    assert jsonfix.repair('{"label": "good"') == '{"label":"good"}' and jsonfix.repair('```json\n{"a": {"b": 1}\n```') == '{"a":{"b":1}}'
+    assert jsonfix.repair('{"why": "he said "no", then left", "label": "bad"}') is None  # a quote before a comma ends a value
+    assert jsonfix.repair('{"a "b" c": ["x "y" z", "w"], "n": 1}') == '{"a \\"b\\" c":["x \\"y\\" z","w"],"n":1}'
+    assert jsonfix.repair('{"a": "say "hi": there"}') == '{"a":"say \\"hi\\": there"}'
+    long = '{"a": "' + 'x " y' * 100_000 + '"}'
+    assert len(jsonfix.repair(long)) > 500_000
     assert jsonfix.repair("nothing") is None and jsonfix.repair(None) is None and jsonfix.repair("[1]") is None
     d = spark.createDataFrame([('{"a": 1}',), ('x {"a": 2}',), (None,), ("",)], "t string")
     assert [r[0] for r in d.select(F.get_json_object(jsonfix.tolerant_object(F.col("t")), "$.a")).collect()] == ["1", "2", None, None]
