@@ -82,3 +82,52 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
 def repeated_share(items: Column) -> Column:
     """Number of repeated elements of an array beyond their first."""
     return F.size(items) - F.size(F.array_distinct(items))
+
+
+PAGE_MARK = r"<<<PAGE:(\d+)>>>"
+
+
+def page_marks(text: Column) -> Column:
+    """The numbers of the page markers in a text, in reading order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PAGE_MARK), F.lit(1)), lambda n: n.try_cast("int"))
+
+
+def without_page_marks(text: Column) -> Column:
+    return F.regexp_replace(text, PAGE_MARK, "")
+
+
+# Numbers of words that a fallback anchor has, longest first.
+ANCHOR_WORDS = (12, 10, 8, 6)
+
+
+def locate_span(source: Column, text: Column, cursor: Column) -> Column:
+    """``begin, end, how`` of a text in its source, from ``cursor`` on.
+
+    how is exact for the text itself; anchor where only its first and last words, in this order and
+    whatever stands between the words, are found, the last ones behind the first; else missing (null offsets), and empty for an empty
+    text.  Offsets count UTF-16 units where characters beyond the basic plane come before.
+    """
+    at = F.greatest(cursor, F.lit(0))
+    place = F.call_function("locate", text, source, (at + 1).cast("int"))
+    exact = F.when(place > 0, F.struct((place - 1).cast("long").alias("begin"), (place - 1 + F.length(text)).cast("long").alias("end"), F.lit("exact").alias("how")))
+    rest = F.substring(source, (at + 1).cast("int"), F.length(source))
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9']+"), F.lit(0))
+
+    def pattern(part: Column) -> Column:
+        return F.concat(F.lit(r"(?i)\b"), F.array_join(part, r"\W+"), F.lit(r"\b"))
+
+    tries = [exact]
+    for width in ANCHOR_WORDS:
+        many = F.size(words) > width
+        first = F.when(many, F.slice(words, 1, width)).otherwise(words)
+        last = F.when(many, F.slice(words, F.greatest(F.size(words) - width + 1, F.lit(1)), F.lit(width))).otherwise(words)
+        begin = F.regexp_instr(rest, pattern(first))
+        behind = begin - 1 + F.length(F.call_function("regexp_extract", rest, pattern(first), F.lit(0)))
+        tail = F.substring(rest, (behind + 1).cast("int"), F.length(rest))
+        finish = F.regexp_instr(tail, pattern(last))
+        reach = behind + finish - 1 + F.length(F.call_function("regexp_extract", tail, pattern(last), F.lit(0)))
+        tries.append(F.when((F.size(words) > 0) & (begin > 0) & (finish > 0), F.struct((at + begin - 1).cast("long").alias("begin"), (at + reach).cast("long").alias("end"), F.lit("anchor").alias("how"))))
+    none = F.lit(None).cast("long")
+    missing = F.struct(none.alias("begin"), none.alias("end"), F.lit("missing").alias("how"))
+    empty = F.struct(none.alias("begin"), none.alias("end"), F.lit("empty").alias("how"))
+    return F.when(F.coalesce(text, F.lit("")) == "", empty).otherwise(F.coalesce(*tries, missing))

@@ -115,6 +115,36 @@ def score_pairs(df: DataFrame, keys: list[str], left: str, right: str, model: Ca
     return df.select(*dict.fromkeys([*keys, left, right])).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", model_score double, tokens long")
 
 
+def write_points(df: DataFrame, key: str, columns: list[str], write: Callable[[list[dict]], None], batch_size: int = 64, attempts: int = 1) -> DataFrame:
+    """``key, error``: rows handed to ``write`` in batches of at most ``batch_size``.
+
+    A batch that fails is written point by point, so a bad point costs only itself; its error is kept.
+    Writing must be idempotent, as a lost task writes its batches again.
+    """
+    kind = dict(df.dtypes)[key]
+    call = with_retry(write, attempts, 0.01)
+
+    def one(point: dict) -> str | None:
+        try:
+            call([point])
+        except Exception as e:
+            return str(e)[:200]
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), batch_size):
+                points = b.iloc[at : at + batch_size].to_dict("records")
+                try:
+                    call(points)
+                    errors: list[str | None] = [None] * len(points)
+                except Exception:
+                    errors = [one(p) for p in points]
+                yield pd.DataFrame({key: [p[key] for p in points], "error": errors})
+
+    return df.select(*dict.fromkeys([key, *columns])).mapInPandas(run, f"{key} {kind}, error string")
+
+
 def generate(df: DataFrame, key: str, prompt: str, model: Callable[[list[str]], list[str]] | None = None, max_tokens: int = 64) -> DataFrame:
     """``key, answer, prompt_tokens, completion_tokens``; the stand-in answers with the prompt's last
     words.  Answers are cut at max_tokens words."""

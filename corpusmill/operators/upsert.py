@@ -13,6 +13,18 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(fresh.select(*old.columns))
 
 
+def insert_or_fail(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Old and new rows; a new key that is there already, or comes twice, is an error and nothing is
+    added.  Null keys equal each other."""
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    known = new.select(*keys).alias("a").join(old.select(*keys).alias("b"), same, "left_semi")
+    twice = new.groupBy(*keys).count().where("count > 1").select(*keys)
+    first = known.unionByName(twice).first()
+    if first is not None:
+        raise ValueError(f"duplicate key {first.asDict()}")
+    return old.unionByName(new.select(*old.columns))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
     """One row a key: the one with the greatest ``order`` of both tables; new rows win ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -50,6 +62,17 @@ def classify_changes(old: DataFrame, new: DataFrame, key: str, print_col: str =
     return rows.select(key, action.alias("action"))
 
 
+def apply_changes(old: DataFrame, new: DataFrame, key: str, print_col: str = "print", meta_col: str = "meta") -> tuple[DataFrame, DataFrame]:
+    """The table after an ingest of ``new``, and the actions.
+
+    Unknown keys are added and changed metadata replaced; a record whose fingerprint changed stays as
+    it was and is only named in the actions, so that a second ingest of the same rows changes nothing.
+    """
+    actions = classify_changes(old, new, key, print_col, meta_col)
+    fresh = new.join(actions.where("action in ('insert', 'update')").select(key), key, "left_semi").dropDuplicates([key])
+    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*old.columns)), actions
+
+
 def update_changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Old rows with the named columns of their new row; other columns never change."""
     fresh = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))

@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import Registry, table
 
 #: Modules of this folder that hold queries.
-MODULES = ("shredding", "retrieval", "evaluation", "ingest", "documents", "telemetry", "pages")
+MODULES = ("shredding", "retrieval", "evaluation", "ingest", "documents", "telemetry", "pages", "books", "contracts")
 
 
 def all_queries() -> Registry:

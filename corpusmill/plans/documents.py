@@ -222,11 +222,6 @@ def doc15(spark, folder):
     return chunks(spark, folder).where("text is not null").select("doc_id", "chunk_index", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("bigint").alias("offset_"))
 
 
-@Q("str10_page_markers", sql("chk", body="select chunk_id, len(string_split(text, chr(12))) - 1 as turns from chk where text is not null"))
-def str10(spark, folder):
-    return chunks(spark, folder).where("text is not null").select("chunk_id", F.regexp_count("text", F.lit("\f")).cast("bigint").alias("turns"))
-
-
 @Q("win12_page_cursor", sql("chk", body="select doc_id, chunk_index, last_value(case when chunk_index % 3 = 0 then page_start end ignore nulls) over (partition by doc_id order by chunk_index rows between unbounded preceding and current row) as page from chk"))
 def win12(spark, folder):
     c = chunks(spark, folder).select("doc_id", "chunk_index", F.when(F.col("chunk_index") % 3 == 0, F.col("page_start")).alias("page"))

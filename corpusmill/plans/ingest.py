@@ -27,26 +27,16 @@ def _old_new(spark, folder):
     return old, new
 
 
-for _name in ("snk07_insert_capture", "snk08_insert_generation_judgement", "snk09_insert_retrieval_judgement"):
-
-    @Q(_name, f"with {OLD}, {NEW} select request_id, status, score from old union all select request_id, status, score from new where request_id not in (select request_id from old)")
-    def snk08(spark, folder):
-        old, new = _old_new(spark, folder)
-        return U.insert_ignore(old, new, ["request_id"]).select("request_id", "status", "score")
-
-
 @Q("snk10_append_calls", f"with {OLD}, {NEW} select request_id, status from old union all select request_id, status from new")
 def snk10(spark, folder):
     old, new = _old_new(spark, folder)
     return old.unionByName(new).select("request_id", "status")
 
 
-for _name in ("snk11_upsert_request_summary", "snk13_upsert_run_config", "snk23_upsert_runtime_config"):
-
-    @Q(_name, f"with {OLD}, {NEW} select request_id, status, score from (select *, row_number() over (partition by request_id order by summarized_at desc, src desc) as rn from (select *, 0 as src from old union all select *, 1 from new)) where rn = 1")
-    def snk11(spark, folder):
-        old, new = _old_new(spark, folder)
-        return U.upsert(old, new, ["request_id"], "summarized_at").select("request_id", "status", "score")
+@Q("snk11_upsert_request_summary", f"with {OLD}, {NEW} select request_id, status, score from (select *, row_number() over (partition by request_id order by summarized_at desc, src desc) as rn from (select *, 0 as src from old union all select *, 1 from new)) where rn = 1")
+def snk11(spark, folder):
+    old, new = _old_new(spark, folder)
+    return U.upsert(old, new, ["request_id"], "summarized_at").select("request_id", "status", "score")
 
 
 @Q("snk12_upsert_run_summary", f"with {OLD}, {NEW} select request_id, status, score from (select *, row_number() over (partition by request_id, status order by summarized_at desc, src desc) as rn from (select *, 0 as src from old union all select *, 1 from new)) where rn = 1")
@@ -99,17 +89,6 @@ def snk15(spark, folder):
     return m.withColumn("balanced", F.col("total") == F.col("processed") + F.col("skipped") + F.col("failed"))
 
 
-@Q("stm08_idempotent_reingest", sql("chk", body="select 'skip' as action, count(*) as n from chk"))
-def stm08(spark, folder):
-    _, new = _cdc(spark, folder)
-    return U.classify_changes(new, new, "chunk_id").groupBy("action").agg(F.count("*").alias("n"))
-
-
-@Q("snk19_point_id")
-def snk19(spark, folder):
-    return chunks(spark, folder).select("chunk_id", U.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("chunk_id")).alias("point_id"))
-
-
 @Q("snk20_fingerprint", sql("chk", body="""select chunk_id, sha256('["' || chunk_id || '","' || coalesce(page_start::varchar, 'null') || '"]') as fingerprint from chk"""))
 def snk20(spark, folder):
     return chunks(spark, folder).select("chunk_id", U.fingerprint([F.col("chunk_id"), F.col("page_start")]).alias("fingerprint"))

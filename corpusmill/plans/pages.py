@@ -120,26 +120,12 @@ def snk02(spark, folder):
     return readers.split_corrupt(readers.json_lines(spark, p, schemas.REJECT))[0].select("chunk_id", "stage")
 
 
-@Q("snk03_skipped_log", sql("chk", body="select chunk_id, 'fingerprint_changed' as reason from chk where chunk_index % 4 <> 1 and chunk_index % 5 = 0"))
-def snk03(spark, folder):
-    from .ingest import _cdc
-
-    actions = U.classify_changes(*_cdc(spark, folder), "chunk_id")
-    return actions.where("action = 'skip_and_log'").select("chunk_id", F.lit("fingerprint_changed").alias("reason"))
-
-
 @Q("snk17_formatted_rows", "select l_orderkey::varchar as l_orderkey, coalesce(printf('%.4f', max(case when l_discount > 0.02 then l_discount end)), 'n/a') as most from lineitem group by l_orderkey")
 def snk17(spark, folder):
     d = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.max(F.when(F.col("l_discount") > 0.02, F.col("l_discount"))).alias("most"))
     return writers.formatted(d)
 
 
-@Q("snk16_run_report", sql("gen", body="select suite_name, count(*) as n from gen group by 1"))
-def snk16(spark, folder):
-    """The table behind a report's section; the text itself is made by writers.run_report."""
-    return generation_results(spark, folder).groupBy("suite_name").agg(F.count("*").alias("n"))
-
-
 @Q("stm06_resume_scope", sql("req", body="with s as (select request_id from req where run_id = '1-URGENT'), st as (select o_orderkey as request_id, o_orderstatus as status from orders) select request_id, status <> 'F' as open from s join st using (request_id)"))
 def stm06(spark, folder):
     scope = requests(spark, folder).where("run_id = '1-URGENT'").select("request_id")
@@ -184,11 +170,6 @@ def win10(spark, folder):
     return _lines(spark, folder).select("page", "top", F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap)).otherwise(F.lit(0.0)).alias("gap"))
 
 
-@Q("doc07_two_columns", f"with {WORDS} select page, (x0 >= 40000)::int as side, count(*) as words from words group by 1, 2")
-def doc07(spark, folder):
-    return _words(spark, folder).groupBy("page", F.when(F.col("x0") < 40000, 0).otherwise(1).alias("side")).agg(F.count("*").alias("words"))
-
-
 @Q("top14_lowest_rule", f"with {WORDS} select page, max_by(text, (top, x0, l_suppkey)) as lowest from words where size > 8 group by 1")
 def top14(spark, folder):
     return _words(spark, folder).where("size > 8").groupBy("page").agg(F.max_by("text", F.struct("top", "x0", "l_suppkey")).alias("lowest"))
@@ -248,12 +229,6 @@ def str21(spark, folder):
     return chunks(spark, folder).where("section_title is not null and text is not null").select("chunk_id", F.length(rest).alias("n"))
 
 
-@Q("str22_locate_sentence", sql("chk", body="select chunk_id, position(split_part(text, '. ', 2) in text) as place from chk where text is not null and length(split_part(text, '. ', 2)) > 0"))
-def str22(spark, folder):
-    c = chunks(spark, folder).where("text is not null").withColumn("s", F.split_part("text", F.lit(". "), F.lit(2))).where("length(s) > 0")
-    return c.select("chunk_id", F.expr("cast(locate(s, text) as bigint)").alias("place"))
-
-
 @Q("str24_significant_gap", sql("chk", body=r"select chunk_id, length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) > 400 and regexp_matches(text, '[.!?]') as significant from chk where text is not null"))
 def str24(spark, folder):
     t = F.col("text")

@@ -15,6 +15,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(parsed.alias("r")).select("r.*")
 
 
+def positioned(rows: DataFrame) -> DataFrame:
+    """Rows of one file with their ``position`` among its lines, from 0.
+
+    Ids rise with the place in the file; a row's position is counted by partitions.
+    """
+    from ..operators.ordering import global_row_number
+
+    return global_row_number(rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "position").drop("_at")
+
+
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable rows, and the lines that weren't."""
     return df.where("_corrupt_record is null").drop("_corrupt_record"), df.where("_corrupt_record is not null").select("_corrupt_record")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,9 +54,37 @@ def run_report(title: str, sections: dict[str, DataFrame]) -> str:
     return "\n\n".join(parts) + "\n"
 
 
-def manifest(path: str, record: dict, required: tuple[str, ...] = ("run_id", "status", "started_at")) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in a folder of the cluster's file system, written beside its place and renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.part")
+    fs = target.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} can't be written")
+
+
+def manifest(spark: SparkSession, path: str, record: dict, required: tuple[str, ...] = ("run_id", "status", "started_at")) -> None:
+    """A run's manifest; a required field that is missing or empty is an error."""
     missing = [k for k in required if not record.get(k)]
     if missing:
         raise ValueError(f"manifest lacks {missing}")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(record, f, ensure_ascii=False, indent=2)
+    write_text(spark, path, json.dumps(record, ensure_ascii=False))
+
+
+def create_collection(spark: SparkSession, path: str, schema: str, properties: dict) -> bool:
+    """A collection is a table folder with its properties beside it.  True if it was created, False if
+    it is there with the same properties; other properties are an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/collection.json")
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = json.loads(spark.read.text(f"{path}/collection.json", wholetext=True).first()[0])
+        if held != {"schema": schema, "properties": properties}:
+            raise ValueError(f"the collection at {path} has other properties")
+        return False
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/points")
+    write_text(spark, f"{path}/collection.json", json.dumps({"schema": schema, "properties": properties}))
+    return True

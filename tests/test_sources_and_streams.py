@@ -5,6 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
+from corpusmill.operators import services as SV
+from corpusmill.operators import upsert as U
 from corpusmill.sources import readers, writers
 from corpusmill.streaming import incremental, windows
 
@@ -58,9 +61,9 @@ def test_reports(spark, tmp_path):
     writers.csv_report(d, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     assert "## Empty" not in writers.run_report("R", {"Empty": d.limit(0), "Full": d})
-    writers.manifest(str(tmp_path / "m.json"), {"run_id": "r", "status": "s", "started_at": "t"})
+    writers.manifest(spark, f"file://{tmp_path}/m.json", {"run_id": "r", "status": "s", "started_at": "t"})
     with pytest.raises(ValueError):
-        writers.manifest(str(tmp_path / "m.json"), {"run_id": "r"})
+        writers.manifest(spark, f"file://{tmp_path}/m.json", {"run_id": "r"})
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
@@ -95,3 +98,61 @@ def test_semi_join_beyond_the_broadcast_bound(spark):
     keys = materialise(spark.range(50).selectExpr("cast(id * 2 as string) as id"), "keys")
     d = spark.range(100).selectExpr("cast(id as string) as id")
     assert semi_join_keys(d, keys, "id").count() == semi_join_keys(d, keys, "id", limit=10).count() == 50
+
+
+def test_inserts_that_must_be_new(spark):
+    old, new = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), spark.createDataFrame([("b", 2)], "v string, k int")
+    assert sorted(map(tuple, U.insert_or_fail(old, new, ["k"]).where("k is not null").collect())) == [(1, "a"), (2, "b")]
+    for bad in ([("x", 1)], [("x", 3), ("y", 3)], [("x", None)]):
+        with pytest.raises(ValueError):
+            U.insert_or_fail(old, spark.createDataFrame(bad, "v string, k int"), ["k"])
+
+
+def test_a_second_ingest_changes_nothing(spark):
+    old = spark.createDataFrame([("a", "p", "m"), ("b", "p", "m"), ("c", "p", "m")], "k string, print string, meta string")
+    new = spark.createDataFrame([("a", "p", "new"), ("b", "other", "new"), ("d", "p", "m"), ("d", "p", "m"), (None, "p", "m")], "k string, print string, meta string")
+    state, first = U.apply_changes(old, new, "k")
+    assert {(r.k, r.action) for r in first.collect()} == {("a", "update"), ("b", "skip_and_log"), ("d", "insert")}
+    again, second = U.apply_changes(state, new, "k")
+    assert {(r.k, r.action) for r in second.collect()} == {("a", "skip"), ("b", "skip_and_log"), ("d", "skip")}
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, state.collect())) == [("a", "p", "new"), ("b", "p", "m"), ("c", "p", "m"), ("d", "p", "m")]
+
+
+def test_batches_fall_back_to_single_points(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def write(points):
+        seen.add(1)
+        if any(p["v"] == "bad" for p in points):
+            raise ValueError("refused")
+
+    d = spark.createDataFrame([(i, "bad" if i == 3 else "good") for i in range(8)], "k int, v string").coalesce(1)
+    assert {r.k: r.error for r in SV.write_points(d, "k", ["v"], write, 4).collect()} == {i: "refused" if i == 3 else None for i in range(8)}
+    assert seen.value == 6  # two batches, and the four points of the one that failed
+
+
+def test_collections_are_created_once(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    assert writers.create_collection(spark, path, "id string", {"dimension": 4}) and not writers.create_collection(spark, path, "id string", {"dimension": 4})
+    with pytest.raises(ValueError):
+        writers.create_collection(spark, path, "id string", {"dimension": 5})
+
+
+def test_places_of_a_text(spark):
+    source = "Alpha beta; gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho."
+    rows = [("beta; gamma", 0), ("beta gamma delta", 0), ("BETA gamma, delta epsilon zeta eta, theta iota kappa lambda mu nu (xi)", 0), ("alpha", 3), ("", 0), (None, 0), ("Alpha beta; gamma", -5), ("...", 0)]
+    got = [tuple(r[0]) for r in spark.createDataFrame(rows, "t string, c int").select(T.locate_span(F.lit(source), F.col("t"), F.col("c"))).collect()]
+    assert got == [(6, 17, "exact"), (None, None, "missing"), (6, 74, "anchor"), (None, None, "missing"), (None, None, "empty"), (None, None, "empty"), (0, 17, "exact"), (None, None, "missing")]
+
+
+def test_page_marks(spark):
+    d = spark.createDataFrame([("<<<PAGE:3>>>a<<<PAGE:12>>>b <<<PAGE:x>>>",), (None,), ("",)], "t string")
+    assert [tuple(r) for r in d.select(T.page_marks(F.col("t")), T.without_page_marks(F.col("t"))).collect()] == [([3, 12], "ab <<<PAGE:x>>>"), (None, None), ([], "")]
+
+
+def test_overlapping_pieces_find_their_pages(spark):
+    from corpusmill.operators.structure import map_pages
+
+    d = spark.createDataFrame([("d", 0, "one two"), ("d", 1, None), ("d", 2, "two three"), ("d", 3, "one two")], "k string, o int, t string")
+    got = [(r.o, r.begin, r.how, r.maps) for r in map_pages(d, "k", "o", "t").orderBy("o").collect()]
+    assert got == [(0, 0, "exact", True), (1, None, "empty", True), (2, 8, "exact", True), (3, 18, "exact", True)]
