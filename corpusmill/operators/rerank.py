@@ -37,22 +37,20 @@ def heuristic_rerank(candidates: DataFrame, weights: dict[str, float], digits: i
     """Weighted sum of normalised retrieval score, term coverage, phrase bonus and title match.
 
     candidates: query_id, query, item_id, body, head (title and section), score, rank.  Order: score
-    descending, ties by the earlier rank.  Null bodies and heads count as empty.
+    descending, ties by the earlier rank.  Null bodies and heads count as empty.  Texts become three
+    numbers before anything is shuffled by query; query, body and head aren't in the result.
     """
     # texts are taken apart once, in a projection of their own that the optimiser doesn't inline
     parts = candidates.withColumns({"_query": F.trim(F.regexp_replace(F.lower("query"), BLANKS, " ")), "_body": F.lower(F.coalesce("body", F.lit(""))), "_head": F.lower(F.coalesce("head", F.lit("")))})
     parts = parts.withColumns({"_terms": query_terms(F.col("_query")), "_words": F.split("_body", BLANKS), "_titles": F.split("_head", BLANKS)})
     terms = F.col("_terms")
-    total = (
-        weights["retrieval_score"] * min_max(F.col("score"), "query_id")
-        + weights["query_term_coverage"] * coverage(terms, F.col("_words"))
-        + weights["phrase_match_bonus"] * phrase_bonus(F.col("_query"), terms, F.col("_body"))
-        + weights["title_section_match_bonus"] * coverage(terms, F.col("_titles"))
-    )
-    candidates = parts
-    scored = candidates.withColumn("score", F.round(total, digits))
+    texts = weights["query_term_coverage"] * coverage(terms, F.col("_words")) + weights["phrase_match_bonus"] * phrase_bonus(F.col("_query"), terms, F.col("_body")) + weights["title_section_match_bonus"] * coverage(terms, F.col("_titles"))
+    kept = [c for c in candidates.columns if c not in ("query", "body", "head")]
+    reduced = parts.select(*kept, texts.alias("_texts"))
+    total = weights["retrieval_score"] * min_max(F.col("score"), "query_id") + F.col("_texts")
+    scored = reduced.withColumn("score", F.round(total, digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
-    return scored.withColumn("rank", F.row_number().over(order)).drop("_query", "_body", "_head", "_terms", "_words", "_titles")
+    return scored.withColumn("rank", F.row_number().over(order)).drop("_texts")
 
 
 def merge_batches(scored: DataFrame, group: str, batch_size: int, global_sort: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS
 
-from ..session import materialise
+from ..session import join_hot, materialise
 
 
 def canonical_token(word: Column) -> Column:
@@ -45,6 +45,12 @@ def term_frequencies(token_rows: DataFrame, key: str) -> DataFrame:
     return token_rows.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def term_frequencies_and_lengths(token_rows: DataFrame, key: str) -> DataFrame:
+    """``key, token, tf, dl``: frequencies and the document's length by one shuffle on the key."""
+    tf = token_rows.repartition(key).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+
+
 def term_stats(tf: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Document frequency by token; and one row with documents and mean length (documents without a
     retained token don't count)."""
@@ -59,12 +65,16 @@ def okapi_idf(df: DataFrame, corpus: DataFrame, epsilon: float = 0.25) -> DataFr
     return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_document_weights(tf: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """``key, token, weight`` = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))."""
-    tf = materialise(tf, "tf")
-    df, corpus = term_stats(tf, key)
-    lengths = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    rows = tf.join(lengths, key).join(okapi_idf(df, corpus, epsilon), "token").crossJoin(F.broadcast(corpus.select("avgdl")))
+def bm25_document_weights(token_rows: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``key, token, weight`` = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)) of the tokens.
+
+    The vocabulary's idf is broadcast after a count; a larger one is joined with the rows of a token
+    spread over several keys, as a token may be in every document.
+    """
+    tf = materialise(term_frequencies_and_lengths(token_rows, key), "tf")
+    corpus = tf.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count("*").alias("documents"), F.avg("dl").alias("avgdl"))
+    idf = materialise(okapi_idf(tf.groupBy("token").agg(F.count("*").alias("df")), corpus, epsilon), "idf")
+    rows = join_hot(tf, idf, "token").crossJoin(F.broadcast(corpus.select("avgdl")))
     norm = 1 - b + b * F.col("dl") / F.col("avgdl")
     return rows.select(key, "token", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("weight"))
 

@@ -88,10 +88,12 @@ def rerank_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
     Chunks are taken in eights by their position, requests go round over the eights.
     """
-    c = global_row_number(chunks(spark, folder).select("chunk_id", "text", "document_title", "section_title"), ["chunk_id"], "n")
-    q = global_row_number(captures(spark, folder).where("raw_query is not null").select("request_id", "raw_query"), ["request_id"], "n")
+    texts = chunks(spark, folder).select("chunk_id", "text", "document_title", "section_title")
+    asked = captures(spark, folder).where("raw_query is not null").select("request_id", "raw_query")
+    c = global_row_number(texts.select("chunk_id"), ["chunk_id"], "n")
+    q = global_row_number(asked.select("request_id"), ["request_id"], "n")
     eights = c.agg(F.ceil(F.count("*") / 8).alias("eights"))
     head = F.concat_ws(" ", F.coalesce("document_title", F.lit("")), F.coalesce("section_title", F.lit("")))
-    c = c.select(F.col("chunk_id").alias("item_id"), F.col("text").alias("body"), head.alias("head"), (F.col("n") % 97 / 97.0).alias("score"), F.col("n").alias("rank"), F.floor(F.col("n") / 8).alias("grp"))
-    q = q.join(F.broadcast(eights)).select((F.col("n") % F.col("eights")).alias("grp"), F.col("request_id").alias("query_id"), F.col("raw_query").alias("query"))
+    c = texts.join(c, "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("text").alias("body"), head.alias("head"), (F.col("n") % 97 / 97.0).alias("score"), F.col("n").alias("rank"), F.floor(F.col("n") / 8).alias("grp"))
+    q = asked.join(q, "request_id").join(F.broadcast(eights)).select((F.col("n") % F.col("eights")).alias("grp"), F.col("request_id").alias("query_id"), F.col("raw_query").alias("query"))
     return q.join(c, "grp")

@@ -159,8 +159,7 @@ IDF = ", idf as (select token, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, n
 
 @Q("mth03_bm25_document_weights", sql("chk", body=f"with {TOKENS} {STATS} {IDF} select chunk_id, token, round(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 5) as weight from tf join dl using (chunk_id) join okapi using (token), av"))
 def mth03(spark, folder):
-    tf = S.term_frequencies(tokens(spark, folder), "chunk_id")
-    return S.bm25_document_weights(tf, "chunk_id").select("chunk_id", "token", F.round("weight", 5).alias("weight"))
+    return S.bm25_document_weights(tokens(spark, folder), "chunk_id").select("chunk_id", "token", F.round("weight", 5).alias("weight"))
 
 
 QTOK = """q as (select request_id as query_id, unnest(list_distinct(regexp_extract_all(lower(normalized_query), '[\\p{L}\\p{N}]{2,}'))) as token from cap where normalized_query is not null)"""
@@ -192,7 +191,7 @@ def mth04(spark, folder):
 @Q("jon16_sparse_dot", sql("chk", "cap", body=f"""with {TOKENS} {STATS}, {QSET}, s as (select query_id, chunk_id as item_id, round(sum(tf), 6)::double as score from q join tf using (token) group by 1, 2)
  select query_id, item_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) where rank <= 12"""))
 def jon16(spark, folder):
-    docs = S.term_frequencies(tokens(spark, folder), "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("token").alias("token_id"), F.col("tf").cast("double").alias("weight"))
+    docs = S.term_frequencies(tokens(spark, folder).repartition("chunk_id"), "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("token").alias("token_id"), F.col("tf").cast("double").alias("weight"))
     queries = _query_tokens(spark, folder, "cast(conv(right(request_id, 7), 16, 10) as bigint) % 100 = 0").select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
     return V.top_k(V.sparse_scores(queries, docs), 12)
 

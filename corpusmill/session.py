@@ -52,9 +52,28 @@ def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCA
     return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, "left_anti" if anti else "left_semi")
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the tables that this library wrote to the shared folder; results still to be computed
-    from them can't be read afterwards."""
+def join_hot(df: DataFrame, small: DataFrame, on: str, limit: int = BROADCAST_KEYS, salts: int = 16) -> DataFrame:
+    """Inner join with a materialised side of fewer rows, where one key may have most rows of ``df``.
+
+    ``small`` is broadcast only after counting that it has at most ``limit`` rows; else its rows are
+    repeated for each of ``salts`` parts, over which the rows of a key are spread.
+    """
+    if small.limit(limit + 1).count() <= limit:
+        return df.join(F.broadcast(small), on)
+    part = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(salts)).cast("int")
+    spread = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_part", part).join(spread.hint("merge"), [on, "_part"]).drop("_part")
+
+
+def sweep(spark: SparkSession, name: str | None = None) -> None:
+    """Delete the tables that this library wrote to the shared folder (``name``: only those that
+    ``materialise`` got this name for); results still to be computed from them can't be read afterwards."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusmill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusmill")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if name is None:
+        fs.delete(root, True)
+    elif fs.exists(root):
+        for s in fs.listStatus(root):
+            if s.getPath().getName().startswith(f"{name}-"):
+                fs.delete(s.getPath(), True)

@@ -311,3 +311,40 @@ def test_shared_suffix_has_no_longest_length(spark):
     rows = [(["x", *long], [*long, "y"], 12), (long, long, 12), (["a", "b"], ["b", "a"], 1), (["a"], ["b", "a"], 0), ([], ["a"], 0), (None, ["a"], 0)]
     d = spark.createDataFrame(rows, "a array<string>, b array<string>, k int")
     assert d.where(shared_suffix(F.col("a"), F.col("b")) != F.col("k")).count() == 0
+
+
+def test_dense_top_k_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(40, 4)), 1)
+    vectors[7] = vectors[9]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, vector array<double>")
+    q = d.where("item_id < 11").withColumnRenamed("item_id", "query_id")
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in V.dense_top_k(d, q, 5).collect()}
+    scores = np.round(vectors[:11] @ vectors.T, 6) + 0.0
+    for i in range(11):
+        best = sorted(range(40), key=lambda j: (-scores[i, j], j))[:5]
+        assert [got[(i, k + 1)][0] for k in range(5)] == best
+    assert len(got) == 55
+
+
+def test_joins_beyond_the_broadcast_bound(spark):
+    from corpusmill.session import join_hot
+
+    d = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), (None, 2)], "k string, v int")
+    s = spark.createDataFrame([("hot", 7), ("b", 8), ("c", 9)], "k string, w int")
+    want = sorted(map(tuple, join_hot(d, s, "k").select("k", "v", "w").collect()))
+    assert sorted(map(tuple, join_hot(d, s, "k", limit=1, salts=4).select("k", "v", "w").collect())) == want and len(want) == 51
+
+
+def test_sweep_deletes_the_tables(spark):
+    """By name here, so that tables of other tests stay."""
+    from corpusmill import session
+
+    mine, other = session.materialise(spark.range(3).toDF("x"), "swept"), session.materialise(spark.range(3).toDF("x"), "kept")
+    session.sweep(spark, "swept")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{session.shared_folder(spark)}/corpusmill")
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    assert other.count() == 3 and mine.columns == ["x"] and not any(n.startswith("swept-") for n in names) and any(n.startswith("kept-") for n in names)
