@@ -154,8 +154,9 @@ def p8_curves(spark, folder):
 
 @REGISTRY.query("p6_found")
 def p6_found(spark, folder):
-    packed = p6_containers(spark, folder)
-    return packed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Documents whose pieces lie in more than one container."""
+    packed = p6_containers(spark, folder).where("container is not null")
+    return packed.groupBy("doc_id").agg(F.min("container").alias("low"), F.max("container").alias("high")).where("low < high").select("doc_id")
 
 
 @REGISTRY.query("p6_containers")
@@ -185,7 +186,9 @@ select mix_name, source from mix left join held using (source) where coalesce(n,
 
 @REGISTRY.query("p7_found", REACH_SQL)
 def p7_found(spark, folder):
-    return mix_report(*_mixed(spark, folder)).where("not reachable").select("mix_name", "source")
+    """Rows of the targets that the mix falls short of with every copy used that it may use."""
+    report = mix_report(*_mixed(spark, folder))
+    return report.where("actual_tokens = source_tokens * max_repeats and actual_tokens < target_tokens").select("mix_name", "source")
 
 
 @REGISTRY.query("p7_shares")
