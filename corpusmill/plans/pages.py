@@ -185,6 +185,14 @@ def doc03(spark, folder):
     return CL.clean_pages(_laid_out(spark, folder), CL.PageRules(blocks=(CL.BlockRule(CL.TextAnchor("^See also"), most_lines=4, stops=(("gap", 2.0),), references=(("gap", "median_gap", 2.0),)),)))
 
 
+@Q("doc04_conditional_blocks")
+def doc04(spark, folder):
+    """Blocks that are dropped only where their conditions hold, before the line rules."""
+    tree = {"all": [{"kind": "candidate_line_count_gte", "value": 2}, {"not": {"kind": "candidate_line_count_gte", "value": 4}}]}
+    rule = CL.BlockRule(CL.TextAnchor("^(?:See also|Contents)"), before_lines=True, most_lines=4, stops=(("gap", 2.0),), references=(("gap", "median_gap", 2.0),), when=tree)
+    return CL.clean_pages(_laid_out(spark, folder), CL.PageRules(blocks=(rule,)))
+
+
 @Q("win09_line_grouping")
 def win09(spark, folder):
     return CL.clean_pages(_laid_out(spark, folder), CL.PageRules(y_tolerance=6.0, columns_at=160.0))
