@@ -72,3 +72,26 @@ def golden_rules() -> dict[str, Column]:
         "ungraded": F.size(F.array_except("soft", ids)) == 0,
         "grade": F.forall("graded", lambda g: g["grade"].isin(0.0, 0.5, 1.0)),
     }
+
+
+def exact_objects(text: Column, fields: dict[str, str]) -> Column:
+    """A JSON array whose elements are objects with exactly the given keys, each of its kind.
+
+    Kinds: text (not blank), number, flag.  An empty array holds; null and text that is no JSON array
+    don't, nor do elements that aren't objects, have a key too many or too few, or a value of another
+    kind (a number stored as text is text).
+    """
+    kinds = {"text": "STRING", "number": r"(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+,\d+\))", "flag": "BOOLEAN"}
+    items = F.from_json(text, "array<string>")
+
+    def holds(item: Column) -> Column:
+        value = F.try_parse_json(item)
+        ok = F.coalesce(F.array_sort(F.json_object_keys(item)) == F.array(*[F.lit(k) for k in sorted(fields)]), F.lit(False))
+        for key, kind in fields.items():
+            ok = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant")).rlike(f"^{kinds[kind]}$"), F.lit(False))
+            if kind == "text":
+                ok = ok & F.coalesce(F.length(F.trim(F.get_json_object(item, f"$.{key}"))) > 0, F.lit(False))
+        return ok
+
+    array = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.lit(False))
+    return array & F.coalesce(F.forall(items, holds), F.lit(False))

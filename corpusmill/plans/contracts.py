@@ -191,6 +191,17 @@ def prj18(spark, folder):
     return table(spark, folder, "bm25_term_stats").select("collection_name", "created_at", C.derived_collection(F.col("collection_name"), F.col("sparse_strategy.kind")).alias("derived"))
 
 
+@Q("val05_exact_objects", "select l_orderkey as request_id, bool_and(l_returnflag <> 'N' and l_linenumber <> 7) as valid from lineitem group by 1")
+def val05(spark, folder):
+    """Retrieved items as JSON: some scores are text, some items have a key too many."""
+    score = F.when(F.col("l_returnflag") == "N", F.concat(F.lit('"'), F.col("l_discount").cast("string"), F.lit('"'))).otherwise(F.col("l_discount").cast("string"))
+    extra = F.when(F.col("l_linenumber") == 7, ',"note":null').otherwise("")
+    item = F.concat(F.lit('{"chunk_id":"'), F.col("l_partkey").cast("string"), F.lit('","score":'), score, extra, F.lit("}"))
+    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("request_id")).agg(F.collect_list(item).alias("items"))
+    text = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
+    return rows.select("request_id", VA.exact_objects(text, {"chunk_id": "text", "score": "number"}).alias("valid"))
+
+
 @Q("val14_chunker_configs", "select chunking_version, list_filter([case when not coalesce(target_tokens >= 1, false) then 'target_tokens' end, case when not coalesce(overlap_ratio >= 0 and overlap_ratio < 0.2, false) then 'overlap_ratio' end, case when length(trim(chunking_version)) = 0 then 'chunking_version' end], lambda x: x is not null) as problems from chunker_config")
 def val14(spark, folder):
     """Configurations against their bounds, here with overlaps below a fifth."""

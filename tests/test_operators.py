@@ -348,3 +348,13 @@ def test_sweep_deletes_the_tables(spark):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{session.shared_folder(spark)}/corpusmill")
     names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
     assert other.count() == 3 and mine.columns == ["x"] and not any(n.startswith("swept-") for n in names) and any(n.startswith("kept-") for n in names)
+
+
+def test_exact_objects(spark):
+    from corpusmill.operators.validate import exact_objects
+
+    texts = {'[{"a": "x", "n": 1, "f": true}]': True, '[{"n": -2.5e3, "a": "x", "f": false}, {"a": "y", "n": 0, "f": true}]': True, "[]": True, '[{"a": " ", "n": 1, "f": true}]': False, '[{"a": "x", "n": "1", "f": true}]': False, '[{"a": "x", "n": 1}]': False}
+    texts |= {'[{"a": "x", "n": 1, "f": true, "z": 0}]': False, '[{"a": null, "n": 1, "f": true}]': False, '[1]': False, '["x"]': False, "{}": False, "[{": False, "": False, '[null]': False, '[{"a": {"b": 1}, "n": 1, "f": true}]': False}
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r.t: r.ok for r in d.select("t", exact_objects(F.col("t"), {"a": "text", "n": "number", "f": "flag"}).alias("ok")).collect()}
+    assert got == {**texts, None: False}
