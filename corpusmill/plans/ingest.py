@@ -293,7 +293,7 @@ def udf03(spark, folder):
     return merge_batches(scored, "query_id", 4, True)
 
 
-@Q("jsn01_judge_replies")
+@Q("jsn01_judge_replies", "select request_id, suite_name, raw_response ->> '$.label' as label, coalesce(json_valid(raw_response), false) as readable from judge_generation_results")
 def jsn01(spark, folder):
     reply = table(spark, folder, "judge_generation_results").select("request_id", "suite_name", "raw_response")
     fixed = reply.withColumn("object", jsonfix.tolerant_object(F.col("raw_response")))

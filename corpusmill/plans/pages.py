@@ -254,7 +254,7 @@ def top07(spark, folder):
     return s.groupBy("request_id").agg(F.count_if("selected").alias("selected"), F.count_if(~F.col("selected")).alias("passed_over"))
 
 
-@Q("jsn02_quote_repair")
+@Q("jsn02_quote_repair", """select event_id, 'a "' || event_type || '" b' as label from events""")
 def jsn02(spark, folder):
     """Replies with unescaped quotes inside, repaired."""
     e = table(spark, folder, "events")
