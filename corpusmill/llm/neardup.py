@@ -7,19 +7,23 @@ Plan, for a threshold ``t`` on the Jaccard similarity of the texts' sets of word
 2. A second pass sorts each set rarest first by the sketch (any total order that all tasks share
    keeps the join exact) and cuts its prefix.  Documents with identical prefix and size form one
    group.  Shingles whose cell counts one document cannot meet anybody and are not sent.
-3. The prefix shingles are hashed to buckets, of a number in proportion to all of them.  A bucket gets
-   a document once, with a parity bitmap of its set, and its shingles there.  Shingles that the sketch
-   shows to be very frequent are spread over a triangle of blocks.
-4. In a bucket, pairs of groups are filtered by size and position, then expanded to their members,
+3. Every document is written once, with its prefix shingles and a parity bitmap of its set.  Shingles
+   that the sketch shows to be very frequent are spread over a triangle of blocks.
+4. The prefix shingles are hashed to buckets, of a number in proportion to all of them.  A bucket gets
+   a document once, with its bitmap and its shingles there.  As a document goes to as many buckets as it
+   has prefix shingles once there are many, buckets are filled in *waves*: each reads the documents again,
+   shuffles those of its own buckets, and releases its shuffle files before the next one begins.
+5. In a bucket, pairs of groups are filtered by size and position, then expanded to their members,
    which the bitmaps filter (the bits in which two bitmaps differ bound the symmetric difference).
    Posting lists that turn out longer than ``block`` are sent on and joined by blocks, too.
-5. What is left, nearly only true pairs, is verified on the texts.
+6. What is left, nearly only true pairs, is verified on the texts.
 
 Results are classes and pairs of class representatives; copies are never expanded here.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_KEYS, materialise, semi_join_keys
+from ..session import BROADCAST_KEYS, materialise, semi_join_keys, sweep
 from .wordscan import mix64, shingle_sets
 
 SCAN_SCHEMA = "id string, rank struct<stamp: string, text_hash: long>, class long, n int, block int, counts binary"
 POST_SCHEMA = "bucket int, post binary"
+PREFIX_SCHEMA = "prefixes binary"
 PAIR_SCHEMA = "class_a long, class_b long, size long, post binary"
 POSTINGS_AT_ONCE = 1 << 18
 TEXTS_AT_ONCE = 256
@@ -42,7 +47,8 @@ TEXTS_AT_ONCE = 256
 class JoinSpec:
     """width: words in a shingle.  threshold: least Jaccard similarity.  sketch_bits: the sketch has
     two to this power cells of one byte (its broadcast size).  block: documents of one posting list
-    that meet in one task.  postings: of one bucket."""
+    that meet in one task.  postings: of one bucket.  wave: the shuffle of one wave of buckets, as a
+    multiple of the documents with their prefixes."""
 
     width: int = 5
     threshold: float = 0.8
@@ -50,6 +56,7 @@ class JoinSpec:
     sketch_blocks: int = 64
     block: int = 2048
     postings: int = 500_000
+    wave: float = 2.0
 
 
 @dataclass
@@ -141,15 +148,15 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
-    """load: the mean count of a sketch cell; what a cell counts beyond a few times of it is due to
+def _prefixes(spec: JoinSpec, sketch, load: float):
+    """Documents with their prefix shingles, whatever the buckets.  load: the mean count of a sketch cell; what a cell counts beyond a few times of it is due to
     one frequent shingle."""
     t = spec.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sketch.value, np.uint8)
         seen: dict[int, None] = {}
-        held = _Held(buckets)
+        held = _Held()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 for s in shingle_sets(batch.slice(at, TEXTS_AT_ONCE)["text"].to_pylist(), spec.width):
@@ -172,11 +179,11 @@ def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
                     blocks = np.ceil((decode_count(freq) - 4 * load) / spec.block).astype(np.int64)
                     if (blocks > 1).any():
                         token, place = spread(token, place, np.maximum(blocks, 1), name)
-                    held.add(name, group, n, token, place, _bitmap(s).tobytes())
+                    held.add(name, group, n, token, place, _bitmap(s))
                 if held.size > POSTINGS_AT_ONCE:
-                    yield held.hand_on()
+                    yield _stored(*held.take())
         if held.size:
-            yield held.hand_on()
+            yield _stored(*held.take())
 
     return run
 
@@ -186,41 +193,100 @@ def prefix_length(n, t: float):
 
 
 class _Held:
-    """Documents with shingles that wait to be sent, one record a bucket.
-
-    A record holds the numbers of documents and postings, the documents (name, group, size, number of
-    postings), the postings (the shingle's low 32 bits and its place in the prefix) and the bitmaps.
-    """
+    """Documents with shingles that wait to be handed on."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self) -> None:
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, name: int, group: int, n: int, token: np.ndarray, place: np.ndarray, bitmap: bytes) -> None:
+    def add(self, name: int, group: int, n: int, token: np.ndarray, place: np.ndarray, bitmap: np.ndarray) -> None:
         self.docs.append((name, group, n, token, place, bitmap))
         self.size += len(token)
 
-    def hand_on(self) -> pa.RecordBatch:
+    def take(self) -> tuple[np.ndarray, ...]:
+        """name, group, size, number of postings, token, place, words of the bitmaps."""
         names, groups, sizes, tokens, places, maps = zip(*self.docs)
-        name, group, size = np.array(names, np.int64), np.array(groups, np.uint32), np.array(sizes, np.uint32)
-        token, place = np.concatenate(tokens), np.concatenate(places).astype(np.uint32)
-        doc = np.repeat(np.arange(len(names)), [len(t) for t in tokens])
-        bucket = (mix64(token) % np.uint64(self.buckets)).astype(np.int32)
-        by = np.lexsort((doc, bucket))
-        bucket, doc, token, place = bucket[by], doc[by], (token[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), place[by]
-        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))
-        count = np.diff(np.append(starts, len(bucket))).astype(np.uint32)
-        of = doc[starts]
-        first = np.flatnonzero(np.append(True, bucket[starts][1:] != bucket[starts][:-1])).tolist()
-        edges = np.append(starts, len(bucket))
-        posts = []
-        for a, b in zip(first, [*first[1:], len(starts)]):
-            d, x, y = of[a:b], edges[a], edges[b]
-            posts.append(b"".join([np.array([b - a, y - x], np.uint32).tobytes(), name[d].tobytes(), group[d].tobytes(), size[d].tobytes(), count[a:b].tobytes(), token[x:y].tobytes(), place[x:y].tobytes(), *[maps[i] for i in d]]))
-        out = pa.record_batch([pa.array(bucket[starts[first]], pa.int32()), pa.array(posts, pa.binary())], names=["bucket", "post"])
         self.docs, self.size = [], 0
-        return out
+        return np.array(names, np.int64), np.array(groups, np.uint32), np.array(sizes, np.uint32), np.array([len(t) for t in tokens], np.uint32), np.concatenate(tokens), np.concatenate(places).astype(np.uint32), np.concatenate(maps)
+
+
+#: Bits of a shingle's hash that choose its bucket, and with the low 32 tell it from others there.
+TOKEN_BITS = 40
+
+
+def _stored(name, group, size, count, token, place, words) -> pa.RecordBatch:
+    """One record of documents: their number and that of the postings, the documents, the shingles'
+    low 32 bits and the eight above, the steps from place to place, and the bitmaps."""
+    steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
+    high = (token >> np.uint64(32)).astype(np.uint8)
+    raw = b"".join(x.tobytes() for x in (np.array([len(name), len(token)], np.uint32), name, group, size, count, token.astype(np.uint32), steps, words, high))
+    return pa.record_batch([pa.array([raw], pa.binary())], names=["prefixes"])
+
+
+def _restored(raw: bytes) -> tuple[np.ndarray, ...]:
+    """What _stored was given, of the shingles TOKEN_BITS bits."""
+    d, p = np.frombuffer(raw, np.uint32, 2).tolist()
+    group, size, count = (np.frombuffer(raw, np.uint32, d, 8 + 8 * d + 4 * d * k) for k in range(3))
+    at = 8 + 20 * d
+    token = np.frombuffer(raw, np.uint32, p, at).astype(np.uint64) | np.frombuffer(raw, np.uint8, p, len(raw) - p).astype(np.uint64) << np.uint64(32)
+    place = np.cumsum(np.frombuffer(raw, np.int32, p, at + 4 * p), dtype=np.int32).astype(np.uint32)
+    return np.frombuffer(raw, np.int64, d, 8), group, size, count, token, place, np.frombuffer(raw, np.uint64, (len(raw) - at - 9 * p) // 8, at + 8 * p)
+
+
+def _gather(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words from each ``at`` on, of each one's size, one after the other."""
+    ends = np.cumsum(sizes)
+    return words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - sizes), sizes)]
+
+
+def _packed(docs: tuple[np.ndarray, ...], buckets: int, waves: int = 1, wave: int = 0) -> pa.RecordBatch | None:
+    """One record for each bucket of the wave that the documents have shingles in.
+
+    A record holds the numbers of documents and postings, the documents (name, group, size, number of
+    postings), the postings (the shingle's low 32 bits and its place in the prefix) and the bitmaps.
+    """
+    name, group, size, count, token, place, words = docs
+    bucket = (mix64(token & np.uint64((1 << TOKEN_BITS) - 1)) % np.uint64(buckets)).astype(np.int32)
+    doc = np.repeat(np.arange(len(name)), count)
+    if waves > 1:
+        mine = np.flatnonzero(bucket % waves == wave)
+        bucket, doc, token, place = bucket[mine] // waves, doc[mine], token[mine], place[mine]
+    if not len(bucket):
+        return None
+    by = np.argsort(bucket, kind="stable")  # the documents are in order already
+    bucket, doc, token, place = bucket[by], doc[by], (token[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), place[by]
+    starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])))
+    edges = np.append(starts, len(bucket))
+    here, of = np.diff(edges).astype(np.uint32), doc[starts]
+    sizes = map_words(size.astype(np.int64))
+    at = np.cumsum(sizes) - sizes
+    maps, ends = _gather(words, at[of], sizes[of]), np.append(0, np.cumsum(sizes[of]))
+    first = np.flatnonzero(np.append(True, bucket[starts][1:] != bucket[starts][:-1])).tolist()
+    names, groups, all_sizes = name[of], group[of], size[of]
+    posts = []
+    for a, b in zip(first, [*first[1:], len(starts)]):
+        x, y = edges[a], edges[b]
+        posts.append(b"".join([np.array([b - a, y - x], np.uint32).tobytes(), names[a:b].tobytes(), groups[a:b].tobytes(), all_sizes[a:b].tobytes(), here[a:b].tobytes(), token[x:y].tobytes(), place[x:y].tobytes(), maps[ends[a] : ends[b]].tobytes()]))
+    return pa.record_batch([pa.array(bucket[starts[first]], pa.int32()), pa.array(posts, pa.binary())], names=["bucket", "post"])
+
+
+def _postings(spec: JoinSpec, sketch, buckets: int, load: float):
+    """The postings of all buckets, straight from the texts."""
+    prefixes, send = _prefixes(spec, sketch, load), _wave(buckets)
+    return lambda batches: send(prefixes(batches))
+
+
+def _wave(buckets: int, waves: int = 1, wave: int = 0):
+    """The postings of one wave's buckets (those with this remainder), numbered from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch["prefixes"]:
+                out = _packed(_restored(raw.as_py()), buckets, waves, wave)
+                if out is not None:
+                    yield out
+
+    return run
 
 
 def _unpack(post: bytes) -> tuple[np.ndarray, ...]:
@@ -248,7 +314,7 @@ def _divide(spec: JoinSpec, buckets: int):
     """Long posting lists, whose length is known now, over the triangles of their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(buckets)
+        held = _Held()
         for batch in batches:
             for size, post in zip(batch["size"].to_pylist(), batch["post"].to_pylist()):
                 name, group, n, _, token, place, maps = _unpack(post)
@@ -256,11 +322,11 @@ def _divide(spec: JoinSpec, buckets: int):
                 k = np.array([-(-size // spec.block)])
                 for i in range(len(name)):
                     t, p = spread(token[i : i + 1].astype(np.uint64), place[i : i + 1], k, int(name[i]))
-                    held.add(int(name[i]), int(group[i]), int(n[i]), t, p, maps[ends[i] - map_words(n[i : i + 1].astype(np.int64))[0] : ends[i]].tobytes())
+                    held.add(int(name[i]), int(group[i]), int(n[i]), t, p, maps[ends[i] - map_words(n[i : i + 1].astype(np.int64))[0] : ends[i]])
                     if held.size > POSTINGS_AT_ONCE:
-                        yield held.hand_on()
+                        yield _packed(held.take(), buckets)
         if held.size:
-            yield held.hand_on()
+            yield _packed(held.take(), buckets)
 
     return run
 
@@ -268,22 +334,25 @@ def _divide(spec: JoinSpec, buckets: int):
 class _Bitmaps:
     """Bitmaps of several sizes; a pair is compared at the smaller one's size (the larger is folded)."""
 
-    def __init__(self, maps: list[np.ndarray]):
-        self.size = np.array([len(m) for m in maps])
-        self.at: dict[int, np.ndarray] = {}
-        self.own = {int(s): (pick := np.flatnonzero(self.size == s), np.stack([maps[i] for i in pick])) for s in np.unique(self.size)}
-        self.count = len(maps)
+    def __init__(self, words: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.size = size
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.own = {int(s): (pick := np.flatnonzero(size == s), words[at[pick][:, None] + np.arange(s)]) for s in np.unique(size)}
 
-    def level(self, size: int) -> np.ndarray:
+    def level(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of at least this size, folded to it, and where each one's is."""
         if size not in self.at:
-            rows = np.zeros((self.count, size), np.uint64)
+            picks, rows = [], []
             for s, (pick, words) in self.own.items():
                 if s >= size:
                     while words.shape[1] > size:
                         half = words.shape[1] // 2
                         words = words[:, :half] ^ words[:, half:]
-                    rows[pick] = words
-            self.at[size] = rows
+                    picks.append(pick)
+                    rows.append(words)
+            place = np.zeros(len(self.size), np.int32)
+            place[np.concatenate(picks)] = np.arange(sum(map(len, picks)), dtype=np.int32)
+            self.at[size] = np.concatenate(rows), place
         return self.at[size]
 
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -291,10 +360,10 @@ class _Bitmaps:
         size = np.minimum(self.size[a], self.size[b])
         for s in np.unique(size):
             pick = np.flatnonzero(size == s)
-            rows = self.level(int(s))
+            rows, row = self.level(int(s))
             for at in range(0, len(pick), 1 << 16):
                 p = pick[at : at + (1 << 16)]
-                out[p] = np.bitwise_count(rows[a[p]] ^ rows[b[p]]).sum(axis=1)
+                out[p] = np.bitwise_count(rows[row[a[p]]] ^ rows[row[b[p]]]).sum(axis=1)
         return out
 
 
@@ -315,7 +384,7 @@ def _bucket_join(spec: JoinSpec, divide: bool):
         names, leader, same = np.unique(name, return_index=True, return_inverse=True)
         owner = np.repeat(same, count)
         size_of = n_of[leader].astype(np.int64)
-        bitmaps = _Bitmaps([words[at[i] : at[i] + sizes[i]] for i in leader])
+        bitmaps = _Bitmaps(words, at[leader], sizes[leader])
         # groups: documents with the same prefix and size; each has one posting a shingle
         groups, group_of = np.unique(group[leader].astype(np.uint64) << np.uint64(32) | size_of.astype(np.uint64), return_inverse=True)
         members = np.argsort(group_of, kind="stable")
@@ -333,7 +402,7 @@ def _bucket_join(spec: JoinSpec, divide: bool):
                 for i in range(a, a + n, spec.block):
                     d = own[i : min(i + spec.block, a + n)]
                     k = len(d)
-                    post = b"".join([np.array([k, k], np.uint32).tobytes(), names[d].tobytes(), group[leader][d].tobytes(), n_of[leader][d].tobytes(), np.ones(k, np.uint32).tobytes(), tok[i : i + k].tobytes(), place[i : i + k].astype(np.uint32).tobytes(), *[words[at[x] : at[x] + sizes[x]].tobytes() for x in leader[d]]])
+                    post = b"".join([np.array([k, k], np.uint32).tobytes(), names[d].tobytes(), group[leader][d].tobytes(), n_of[leader][d].tobytes(), np.ones(k, np.uint32).tobytes(), tok[i : i + k].tobytes(), place[i : i + k].astype(np.uint32).tobytes(), _gather(words, at[leader[d]], sizes[leader[d]]).tobytes()])
                     yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.array([post], pa.binary())], schema=schema)
             once &= np.repeat(length <= spec.block, length)
         tok, unit, place = tok[once], unit[once], place[once]
@@ -445,20 +514,41 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, stamp_col=None, s
     stamp = F.lit(None).cast("string") if stamp_col is None else F.coalesce((stamp_col if not isinstance(stamp_col, str) else F.col(stamp_col)).cast("string"), F.lit(""))
     text = F.col(text_col)
     base = df.select(F.col(id_col).cast("string").alias("id"), F.struct(stamp.alias("stamp"), F.xxhash64(text).alias("text_hash")).alias("rank"), text.alias("text")).where("id is not null and text is not null")
-    scanned = materialise(base.mapInArrow(_scan_and_count(spec), SCAN_SCHEMA), "scan")
+    scanned = materialise(base.mapInArrow(_scan_and_count(spec), SCAN_SCHEMA), "scan", lean=True)
     docs = scanned.where("block is null")
     members = docs.groupBy("id").agg(F.max_by(F.struct("class", "rank"), "rank").alias("m")).select("id", "m.class", "m.rank")
     coded = scanned.where("block is not null").select("block", "n", "counts").repartition(min(spec.sketch_blocks, 16), "block").mapInArrow(_merge_counts(spec), "block int, counts binary")
+    coded = materialise(coded, "sketch", lean=True)
     cell_count = (1 << spec.sketch_bits) // spec.sketch_blocks
     sketch = bytearray(1 << spec.sketch_bits)
     for row in coded.collect():  # sketch_blocks rows, whatever the data
         sketch[row["block"] * cell_count : (row["block"] + 1) * cell_count] = pa.decompress(row["counts"], cell_count, codec="zstd", asbytes=True)
     shared = spark.sparkContext.broadcast(bytes(sketch))
     n = F.col("n")
-    total, prefixes = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(n - F.ceil(n * spec.threshold - 1e-9) + 1), F.lit(0))).first()
+    prefix = n - F.ceil(n * spec.threshold - 1e-9) + 1
+    words = F.lit(8) * F.pow(F.lit(2), F.greatest(F.lit(0), F.least(F.lit(9), F.ceil(F.log2(2 * F.greatest(n, F.lit(1)))) - 6)))
+    total, prefixes = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(prefix), F.lit(0))).first()
     buckets = max(8, -(-int(prefixes) // spec.postings))
-    posts = base.select("text").mapInArrow(_postings(spec, shared, buckets, total / (1 << spec.sketch_bits)), POST_SCHEMA)
-    met = materialise(posts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket_join(spec, True), PAIR_SCHEMA), "met")
+    # bytes that the buckets get, where each prefix shingle falls into any of them, and bytes of the documents
+    sent, stored = docs.agg(F.sum((20 + words) * buckets * (1 - F.pow(F.lit(1 - 1 / buckets), prefix)) + 8 * prefix), F.sum(20 + words + 5 * prefix)).first()
+    waves = 1 if buckets <= 8 else max(1, int(np.ceil(sent / stored / spec.wave)))
+    each = max(8, -(-buckets // waves))
+    load = total / (1 << spec.sketch_bits)
+    join = _bucket_join(spec, True)
+    parts = []
+    if waves == 1:
+        posts = base.select("text").mapInArrow(_postings(spec, shared, each, load), POST_SCHEMA)
+        parts.append(materialise(posts.repartitionById(each, F.col("bucket")).mapInArrow(join, PAIR_SCHEMA), "met", lean=True))
+    else:
+        kept = f"prefixes-{uuid.uuid4().hex}"
+        held = materialise(base.select("text").mapInArrow(_prefixes(spec, shared, load), PREFIX_SCHEMA), kept, lean=True)
+        for wave in range(waves):
+            posts = held.mapInArrow(_wave(each * waves, waves, wave), POST_SCHEMA)
+            parts.append(materialise(posts.repartitionById(each, F.col("bucket")).mapInArrow(join, PAIR_SCHEMA), "met", lean=True))
+        sweep(spark, kept)
+    met = parts[0]
+    for p in parts[1:]:
+        met = met.unionByName(p)
     pairs = met.where("post is null").select("class_a", "class_b")
     long_ = met.where("post is not null").select("size", "post")
     length = long_.agg(F.sum(F.least("size", F.lit(spec.block)) * F.ceil(F.col("size") / F.lit(spec.block)))).first()[0]
@@ -466,12 +556,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, stamp_col=None, s
         more = max(8, -(-int(length) // spec.postings))
         divided = long_.mapInArrow(_divide(spec, more), POST_SCHEMA).repartitionById(more, F.col("bucket")).mapInArrow(_bucket_join(spec, False), PAIR_SCHEMA)
         pairs = pairs.unionByName(divided.select("class_a", "class_b"))
-    candidates = materialise(pairs.distinct(), "candidates")
+    candidates = materialise(pairs.distinct(), "candidates", lean=True)
     speaker = docs.groupBy("class").agg(F.max_by(F.struct("id", "rank"), F.struct("rank", "id")).alias("s")).select("class", "s.id", "s.rank")
     named = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    speakers = materialise(speaker.join(named, "class"), "speakers")
+    speakers = materialise(speaker.join(named, "class"), "speakers", lean=True)
     texts = semi_join_keys(base, speakers.select("id").distinct(), "id").join(speakers.hint("merge"), ["id", "rank"]).groupBy("class").agg(F.max("text").alias("text"))
-    texts = materialise(texts, "texts")
+    texts = materialise(texts, "texts", lean=True)
     a, b = texts.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("class_b"), F.col("text").alias("text_b"))
     verified = candidates.join(a, "class_a").join(b, "class_b").mapInArrow(_verify(spec), "class_a long, class_b long, similarity double")
     return NearDuplicates(members.select("id", "class"), verified)
@@ -483,8 +573,8 @@ def expand_pairs(found: NearDuplicates, block: int = 4096) -> DataFrame:
     A class with more than ``block`` members is divided into blocks; each pair of blocks is a join key
     of its own, so no task holds more than one pair of blocks of a class.
     """
-    members = materialise(found.members, "members")
-    large = materialise(members.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > block).select("class", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("k")), "large")
+    members = materialise(found.members, "members", lean=True)
+    large = materialise(members.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > block).select("class", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("k")), "large", lean=True)
     few = large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     m = members.join(F.broadcast(large) if few else large, "class", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     m = m.select("id", "class", "k", F.pmod(F.xxhash64("id"), "k").cast("int").alias("part"))

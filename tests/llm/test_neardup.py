@@ -88,6 +88,55 @@ def test_records_hold_every_posting_once(buckets):
     assert sum(len(p[0]) for p in posts) <= min(prefix, buckets * len(sets))
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_waves_of_buckets_against_brute_force(spark, monkeypatch, block):
+    """Many buckets are filled in waves: each is asked to release its shuffle files, and the pairs are those of the definition."""
+    from corpusmill import session
+
+    lean_ = []
+
+    def materialise(df, name, lean=False):
+        out = session.materialise(df, name, lean)
+        if name == "met":
+            lean_.append(lean)
+        return out
+
+    monkeypatch.setattr(N, "materialise", materialise)
+    rows = corpus(6, 240)
+    d = spark.createDataFrame(rows, "id string, text string").repartition(5)
+    spec = N.JoinSpec(width=3, threshold=0.6, sketch_bits=14, block=block, postings=60, wave=0.4)
+    found = N.expand_pairs(N.near_duplicates(d, "id", "text", spec=spec)).collect()
+    assert len(found) == len(set(found)) and {(r.id_a, r.id_b) for r in found} == brute(rows, 3, 0.6)
+    assert len(lean_) > 3 and all(lean_)
+
+
+def test_waves_hold_every_posting_once():
+    class Shared:
+        value = bytes([9]) * (1 << 14)
+
+    texts = [x for _, x in corpus(4, 200)]
+    spec = N.JoinSpec(width=3, threshold=0.6, sketch_bits=14)
+    stored = list(N._prefixes(spec, Shared, 9.0)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    all_, some = ([[r for b in N._wave(120, waves, w)(iter(stored)) for r in zip(b["bucket"].to_pylist(), b["post"].to_pylist())] for w in range(waves)] for waves in (1, 5))
+    assert sum(len(p) for _, p in all_[0]) > 4 * max(sum(len(p) for _, p in w) for w in some)
+    assert {(b * 5 + w, p) for w, records in enumerate(some) for b, p in records} == set(all_[0])
+
+
+def test_bitmaps_of_several_sizes():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 4, 512, 2, 4, 64])
+    maps = [rng.integers(0, 1 << 63, s).astype(np.uint64) for s in sizes]
+    b = N._Bitmaps(np.concatenate(maps), np.cumsum(sizes) - sizes, sizes)
+    i, j = (x.ravel() for x in np.indices((6, 6)))
+
+    def fold(m, s):
+        return np.bitwise_xor.reduce(m.reshape(-1, s), axis=0)
+
+    want = [int(np.bitwise_count(fold(maps[x], min(sizes[x], sizes[y])) ^ fold(maps[y], min(sizes[x], sizes[y]))).sum()) for x, y in zip(i, j)]
+    assert b.distance(i, j).tolist() == want
+    assert len(b.level(512)[0]) == 1  # no room for the bitmaps of smaller documents
+
+
 def test_large_classes_are_expanded_in_blocks(spark):
     rows = [(f"a{i:02d}", 1) for i in range(23)] + [(f"b{i}", 2) for i in range(3)] + [("c", 3)]
     found = N.NearDuplicates(spark.createDataFrame(rows, "id string, class long"), spark.createDataFrame([(1, 2, 0.9)], "class_a long, class_b long, similarity double"))
