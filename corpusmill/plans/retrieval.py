@@ -193,7 +193,7 @@ def mth04(spark, folder):
 def jon16(spark, folder):
     docs = S.term_frequencies(tokens(spark, folder).repartition("chunk_id"), "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("token").alias("token_id"), F.col("tf").cast("double").alias("weight"))
     queries = _query_tokens(spark, folder, "cast(conv(right(request_id, 7), 16, 10) as bigint) % 100 = 0").select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
-    return V.top_k(V.sparse_scores(queries, docs), 12)
+    return V.sparse_top_k(queries, docs, 12)
 
 
 # fusion: the dense branch and a second branch over the same vectors ranked by their first half ------

@@ -75,6 +75,31 @@ def test_dense_top_k_against_brute_force(spark):
     assert V.dense_top_k(d, q.limit(0), 3).count() == 0
 
 
+def test_sparse_top_k_against_the_scores(spark, monkeypatch):
+    """Blocks of queries, ties, items with a token twice, weights of both signs and nulls; the pairs of
+    queries and items are never rows."""
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "ITEMS_AT_ONCE", 16)
+    for signs in ([1.0, 2.0], [-1.0, 0.0, 1.5]):
+        q = spark.createDataFrame([(f"q{i:02d}", f"t{t}", rng.choice(signs)) for i in range(20) for t in rng.sample(range(30), 4)], "query_id string, token_id string, weight double")
+        d = spark.createDataFrame([(f"d{i:03d}", f"t{rng.randrange(40)}", rng.choice(signs)) for i in range(150) for _ in range(12)], "item_id string, token_id string, weight double").repartition(3)
+        nulls = spark.createDataFrame([(None, "t1", 1.0), ("n", None, 1.0), ("n", "t1", None)], "item_id string, token_id string, weight double")
+        got = V.sparse_top_k(q.unionByName(nulls.withColumnRenamed("item_id", "query_id")), d.unionByName(nulls), 5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, V.top_k(V.sparse_scores(q, d), 5).select("query_id", "item_id", "score", "rank").collect()))
+    none = V.sparse_top_k(q.limit(0), d, 5)
+    assert none.dtypes == got.dtypes and none.count() == 0 and V.sparse_top_k(q, d.limit(0), 5).count() == 0
+
+
+def test_sparse_search_writes_no_pairs(spark, small, monkeypatch):
+    from corpusmill.plans.retrieval import REGISTRY
+
+    monkeypatch.setattr(V, "sparse_scores", None)
+    assert REGISTRY.queries["jon16_sparse_dot"](spark, small).columns == ["query_id", "item_id", "score", "rank"]
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, item_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, item_id string, rank int")
