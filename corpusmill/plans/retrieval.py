@@ -163,15 +163,13 @@ def mth03(spark, folder):
 
 
 QTOK = """q as (select request_id as query_id, unnest(list_distinct(regexp_extract_all(lower(normalized_query), '[\\p{L}\\p{N}]{2,}'))) as token from cap where normalized_query is not null)"""
-#: The search's queries: requests whose id, read as a number, is divisible by 100.
-QSET = QTOK.replace("normalized_query is not null)", "normalized_query is not null and ('0x' || right(request_id, 7))::bigint % 100 = 0)")
 
 
-def _query_tokens(spark, folder, where="true"):
+def _query_tokens(spark, folder):
     from .entities import captures
 
     words = F.array_distinct(F.regexp_extract_all(F.lower("normalized_query"), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0)))
-    return captures(spark, folder).where("normalized_query is not null").where(where).select(F.col("request_id").alias("query_id"), F.explode(words).alias("token"))
+    return captures(spark, folder).where("normalized_query is not null").select(F.col("request_id").alias("query_id"), F.explode(words).alias("token"))
 
 
 @Q("mth05_bow_query_weights", sql("cap", body=f"with {QTOK} select query_id, token, 1.0::double as weight from q"))
@@ -188,11 +186,11 @@ def mth04(spark, folder):
     return S.bm25_query_weights(_query_tokens(spark, folder), tf, "chunk_id").select("query_id", "token", F.round("weight", 6).alias("weight"))
 
 
-@Q("jon16_sparse_dot", sql("chk", "cap", body=f"""with {TOKENS} {STATS}, {QSET}, s as (select query_id, chunk_id as item_id, round(sum(tf), 6)::double as score from q join tf using (token) group by 1, 2)
+@Q("jon16_sparse_dot", sql("chk", "cap", body=f"""with {TOKENS} {STATS}, {QTOK}, s as (select query_id, chunk_id as item_id, round(sum(tf), 6)::double as score from q join tf using (token) group by 1, 2)
  select query_id, item_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) where rank <= 12"""))
 def jon16(spark, folder):
     docs = S.term_frequencies(tokens(spark, folder).repartition("chunk_id"), "chunk_id").select(F.col("chunk_id").alias("item_id"), F.col("token").alias("token_id"), F.col("tf").cast("double").alias("weight"))
-    queries = _query_tokens(spark, folder, "cast(conv(right(request_id, 7), 16, 10) as bigint) % 100 = 0").select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
+    queries = _query_tokens(spark, folder).select("query_id", F.col("token").alias("token_id"), F.lit(1.0).alias("weight"))
     return V.sparse_top_k(queries, docs, 12)
 
 

@@ -3,6 +3,8 @@
 import random
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,43 @@ def test_sparse_search_writes_no_pairs(spark, small, monkeypatch):
     assert REGISTRY.queries["jon16_sparse_dot"](spark, small).columns == ["query_id", "item_id", "score", "rank"]
 
 
+def test_every_capture_is_searched(spark, small):
+    from corpusmill.plans.retrieval import REGISTRY, _query_tokens
+
+    asked = {r.query_id for r in _query_tokens(spark, small).select("query_id").distinct().collect()}
+    got = {r.query_id for r in REGISTRY.queries["jon16_sparse_dot"](spark, small).select("query_id").distinct().collect()}
+    assert len(asked) > 20 and got <= asked and len(got) > 0.9 * len(asked)
+
+
+@pytest.mark.parametrize("signs", [[1.0, 2.0], [0.25, 1.5], [-1.0, 0.0, 1.5]])
+@pytest.mark.parametrize("few, share", [(0, 0.0), (0, 2.0), (40, 0.05), (10**9, 2.0)])
+def test_sparse_products(monkeypatch, signs, few, share):
+    """Tokens as dense rows, one by one and cell by cell give the same; the cells kept hold each row's best."""
+    monkeypatch.setattr(V, "FEW", few)
+    monkeypatch.setattr(V, "DENSE_SHARE", share)
+    rng, n, m, k = np.random.default_rng(7), 30, 400, 5
+    ask, items = (rng.choice(signs, (n, 20)) * (rng.random((n, 20)) < 0.4), rng.choice(signs, (m, 25)) * (rng.random((m, 25)) < 0.5))
+    shared = (ask[:, :20] != 0).astype(int) @ (items[:, :20] != 0).T.astype(int) > 0
+    q, t = np.nonzero(ask)
+    got = pa.table({"_n": q + 100, "_t": t, "wq": ask[q, t]})
+    total, parts, whole, heaviest = V._query_parts(got, 100, 8)
+    t, i = np.nonzero(items.T)
+    edges = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    positive = min(signs) > 0
+    assert total == n and len(parts) == 4 and (heaviest is not None) == positive and whole == (signs == [1.0, 2.0])
+    for part in parts:
+        low, rows = part[0], part[1]
+        scores, met = np.full((rows, m), 9.0), None if positive else np.zeros((rows, m), bool)
+        V._part_scores(part, (t[edges], np.append(edges, len(t)), i, items[i, t]), scores, met)
+        assert np.allclose(scores, ask[low : low + rows] @ items[:, :20].T) and (met is None or (met == shared[low : low + rows]).all())
+        scores[~shared[low : low + rows]] = -np.inf
+        least = np.where(np.arange(rows) % 2, 2.0, -np.inf)
+        q, c, s = V._part_best(scores, least, k, 6, 0.0 if positive else -np.inf)
+        for r in range(rows):
+            want = sorted((-round(x, 6), j) for j, x in enumerate(scores[r].tolist()) if x > least[r])[:k]
+            assert sorted(zip((-s[q == r]).tolist(), c[q == r].tolist()))[:k] == want
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query_id int, item_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, item_id string, rank int")
